@@ -29,26 +29,46 @@ def md5_int(key: Column, digits: int = 15) -> Column:
 
 
 def global_rank(df: DataFrame, order_cols: list, bucket: Column, rank_col: str = "rank",
-                max_buckets: int = 1 << 16) -> DataFrame:
-    """Add a 0-based dense position over ``order_cols`` (which must be unique).
+                partition_by: list[str] | None = None) -> DataFrame:
+    """Add a 0-based position over ``order_cols`` (unique within the partition).
 
-    ``bucket`` must be monotone in ``order_cols``; ``max_buckets`` bounds the
-    number of distinct bucket values and so the size of the broadcast offsets.
-    """
+    ``bucket`` must be monotone in ``order_cols``. Rows are numbered inside
+    (partition, bucket) groups, so a hot partition key is still spread over
+    many tasks; the offsets table has one row per (partition, bucket) and is
+    joined back on those keys (broadcast only when no partition is given, as
+    its size is then bounded by the bucket count)."""
+    part = list(partition_by or [])
     b = df.withColumn("_bucket", bucket)
-    w = Window.partitionBy("_bucket").orderBy(*order_cols)
+    w = Window.partitionBy(*part, "_bucket").orderBy(*order_cols)
     local = b.withColumn("_local", F.row_number().over(w) - 1)
-    counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # Prefix sum over at most max_buckets rows (a tiny single-partition step).
-    offsets = counts.withColumn(
-        "_offset",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).select("_bucket", "_offset")
-    del max_buckets  # documented bound; bucket expressions below guarantee it
-    return (local.join(F.broadcast(offsets), "_bucket")
+    counts = b.groupBy(*part, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    ow = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))).orderBy("_bucket") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(ow), F.lit(0))).select(*part, "_bucket", "_offset")
+    if not part:
+        offsets = F.broadcast(offsets)
+    return (local.join(offsets, part + ["_bucket"])
             .withColumn(rank_col, (F.col("_local") + F.col("_offset")).cast("long"))
             .drop("_bucket", "_local", "_offset"))
 
 
+def blocked_cumsum(df: DataFrame, value: Column, order_col: str, out: str, partition_by: list[str] | None = None,
+                   block: int = 1 << 14) -> DataFrame:
+    """Running sum of ``value`` over ``order_col`` (unique within the partition,
+    numeric), inclusive: a running sum inside blocks of ``block`` order values
+    plus the total of all earlier blocks. No task holds more than one block of
+    one key, however large the key."""
+    part = list(partition_by or [])
+    b = df.withColumn("_v", value).withColumn("_blk", F.floor(F.col(order_col) / F.lit(block)))
+    w = Window.partitionBy(*part, "_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    local = b.withColumn("_loc", F.sum("_v").over(w))
+    tot = b.groupBy(*part, "_blk").agg(F.sum("_v").alias("_t"))
+    ow = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))).orderBy("_blk") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.withColumn("_off", F.coalesce(F.sum("_t").over(ow), F.lit(0))).select(*part, "_blk", "_off")
+    return (local.join(offs, part + ["_blk"])
+            .withColumn(out, F.col("_loc") + F.col("_off")).drop("_v", "_blk", "_loc", "_off"))
+
+
 def md5_bucket(key: Column, digits: int = MD5_BUCKET_DIGITS) -> Column:
     return F.substring(key, 1, digits)

@@ -74,3 +74,11 @@ dd AS (SELECT arg_min(w1, seq) AS w1, arg_min(w2, seq) AS w2, arg_min(common_tok
 SELECT * FROM dd ORDER BY score DESC, w1, w2 LIMIT 500"""
 
 register("flagship_top_candidates", ORACLE_TOP)(top_candidates)
+
+
+def _load_all():
+    """Import the query modules so they register themselves."""
+    from . import q_text  # noqa: F401
+
+
+_load_all()
