@@ -55,6 +55,11 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def at(arr, i: int) -> Column:
+    """Array element by 1-based index (negative from the end); null when out of range."""
+    return F.try_element_at(_c(arr), F.lit(i))
+
+
 def regex_quote(s: str) -> str:
     """Escape a literal for use inside a Java/RE2 regex (no \\Q..\\E so it
     also works inside character classes)."""
@@ -210,7 +215,7 @@ def file_extension(col) -> Column:
 def single_token_same_affix(w1, w2) -> Column:
     """Both sides are one token longer than 3 chars sharing a 3-char prefix or suffix."""
     t1, t2 = term_tokens(w1), term_tokens(w2)
-    a, b = F.element_at(t1, 1), F.element_at(t2, 1)
+    a, b = at(t1, 1), at(t2, 1)
     return ((F.size(t1) == 1) & (F.size(t2) == 1) & (F.length(a) > 3) & (F.length(b) > 3)
             & ((F.left(a, F.lit(3)) == F.left(b, F.lit(3))) | (F.right(a, F.lit(3)) == F.right(b, F.lit(3)))))
 
@@ -218,7 +223,7 @@ def single_token_same_affix(w1, w2) -> Column:
 # T20
 def topic_from_path(col) -> Column:
     """Parent directory name with underscores as spaces."""
-    return F.replace(F.element_at(F.split(_c(col), "/"), -2), F.lit("_"), F.lit(" "))
+    return F.replace(at(F.split(_c(col), "/"), -2), F.lit("_"), F.lit(" "))
 
 
 # T21

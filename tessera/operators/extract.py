@@ -103,7 +103,7 @@ def rule_field(html, rule: Rule) -> Column:
         vals = F.transform(blocks, lambda b: F.array_join(
             F.transform(F.regexp_extract_all(b, F.lit(inner), F.lit(1)), text_content), "\n"))
     if rule.first_only:
-        return F.coalesce(F.element_at(vals, 1), F.lit(""))
+        return F.coalesce(T.at(vals, 1), F.lit(""))
     return vals
 
 
@@ -159,7 +159,7 @@ def text_nodes(fragment) -> Column:
 def first_node_term(fragment) -> Column:
     """struct(term, definition): first text node, and the others joined by space."""
     nodes = text_nodes(fragment)
-    return F.struct(T.glossary_clean(F.coalesce(F.element_at(nodes, 1), F.lit(""))).alias("term"),
+    return F.struct(T.glossary_clean(F.coalesce(T.at(nodes, 1), F.lit(""))).alias("term"),
                     T.glossary_clean(F.array_join(F.slice(nodes, 2, 1 << 20), " ")).alias("definition"))
 
 
@@ -168,7 +168,7 @@ def heading_term(html, heading: str = "h2") -> Column:
     """struct(term, definition): lower-cased heading text and the first paragraph."""
     hpat = rf"(?is)<{heading}\b[^>]*>(.*?)</{heading}>"
     term = F.lower(T.glossary_clean(text_content(F.regexp_extract(_c(html), hpat, 1))))
-    definition = T.glossary_clean(F.coalesce(F.element_at(paragraphs(html), 1), F.lit("")))
+    definition = T.glossary_clean(F.coalesce(T.at(paragraphs(html), 1), F.lit("")))
     return F.struct(term.alias("term"), definition.alias("definition"))
 
 

@@ -24,12 +24,12 @@ def common_token_len(a, b) -> Column:
 
 # F15
 def same_last_token(a, b) -> Column:
-    return (F.element_at(_c(a), -1) == F.element_at(_c(b), -1)).cast("int")
+    return (T.at(_c(a), -1) == T.at(_c(b), -1)).cast("int")
 
 
 # F16
 def same_first_token(a, b) -> Column:
-    return (F.element_at(_c(a), 1) == F.element_at(_c(b), 1)).cast("int")
+    return (T.at(_c(a), 1) == T.at(_c(b), 1)).cast("int")
 
 
 # F17
@@ -56,8 +56,8 @@ def token_count(a) -> Column:
 # F21
 def same_suffix_len(w1, w2, max_len: int = 5) -> Column:
     """Number of equal trailing letters of the last tokens (at most ``max_len``)."""
-    a = F.reverse(F.element_at(T.term_tokens(_c(w1)), -1))
-    b = F.reverse(F.element_at(T.term_tokens(_c(w2)), -1))
+    a = F.reverse(T.at(T.term_tokens(_c(w1)), -1))
+    b = F.reverse(T.at(T.term_tokens(_c(w2)), -1))
     n = F.least(F.length(a), F.length(b), F.lit(max_len))
     idx = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
     # length of the common prefix of the reversed tokens = leading run of equal chars

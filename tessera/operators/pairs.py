@@ -22,12 +22,12 @@ def canonical(df: DataFrame, w1: str = "w1", w2: str = "w2") -> DataFrame:
 def same_first_or_last_token(w1, w2) -> Column:
     """Same first or same last whitespace token."""
     a, b = T.term_tokens(w1), T.term_tokens(w2)
-    return (F.element_at(a, 1) == F.element_at(b, 1)) | (F.element_at(a, -1) == F.element_at(b, -1))
+    return (T.at(a, 1) == T.at(b, 1)) | (T.at(a, -1) == T.at(b, -1))
 
 
 def same_first_or_last(a: Column, b: Column) -> Column:
     """P1/P2 on token arrays already computed (e.g. stems)."""
-    return (F.element_at(a, 1) == F.element_at(b, 1)) | (F.element_at(a, -1) == F.element_at(b, -1))
+    return (T.at(a, 1) == T.at(b, 1)) | (T.at(a, -1) == T.at(b, -1))
 
 
 # P3

@@ -79,6 +79,7 @@ register("flagship_top_candidates", ORACLE_TOP)(top_candidates)
 def _load_all():
     """Import the query modules so they register themselves."""
     from . import q_text  # noqa: F401
+    from . import q_pages  # noqa: F401
 
 
 _load_all()

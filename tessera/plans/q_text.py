@@ -81,7 +81,7 @@ def text_url_parts(spark, d):
 def text_query_texts(spark, d):
     t = B.terms(spark, d).select("term", F.explode(F.array(*[F.lit(x) for x in TEMPLATES])).alias("template"))
     slots = F.size(F.split(F.col("template"), r"\{\}", -1)) - 1
-    last = F.element_at(F.split(F.col("term"), " ", -1), -1)
+    last = T.at(F.split(F.col("term"), " ", -1), -1)
     args = F.when(slots >= 2, F.array(F.col("term"), last)).otherwise(F.array(F.col("term")))
     return t.select("term", "template", T.query_text(F.col("template"), args, F.lit(SITE)).alias("query"),
                     F.array_join(args, "|").alias("query_key"))
@@ -92,6 +92,6 @@ def text_query_texts(spark, d):
     SELECT w1, w2, a, b, (length(a) > 3 AND length(b) > 3 AND (left(a, 3) = left(b, 3) OR right(a, 3) = right(b, 3))) AS same_affix
     FROM (SELECT w1, w2, split_part(w1, ' ', -1) AS a, split_part(w2, ' ', -1) AS b FROM golden)""")
 def text_single_token_affix(spark, d):
-    g = B.golden(spark, d).select("w1", "w2", F.element_at(F.split("w1", " ", -1), -1).alias("a"),
-                                   F.element_at(F.split("w2", " ", -1), -1).alias("b"))
+    g = B.golden(spark, d).select("w1", "w2", T.at(F.split("w1", " ", -1), -1).alias("a"),
+                                   T.at(F.split("w2", " ", -1), -1).alias("b"))
     return g.withColumn("same_affix", T.single_token_same_affix(F.col("a"), F.col("b")))

@@ -46,8 +46,8 @@ def parse_pair_lines(lines: DataFrame, kind: str | None = None) -> tuple[DataFra
     bad = parts.filter(F.size("_parts") != 2).drop("_parts")
     pairs = ok.select(
         *[c for c in lines.columns if c != "value"],
-        T.clean_phrase(F.element_at("_parts", 1)).alias("w1"),
-        T.clean_phrase(F.element_at("_parts", 2)).alias("w2"),
+        T.clean_phrase(T.at("_parts", 1)).alias("w1"),
+        T.clean_phrase(T.at("_parts", 2)).alias("w2"),
     )
     if kind is not None:
         pairs = pairs.withColumn("kind", F.lit(kind))
@@ -62,11 +62,11 @@ def parse_list_lines(lines: DataFrame, kind: str | None = None) -> tuple[DataFra
     parts = lines.withColumn("_parts", F.split(T.strip_chars(F.col("value"), " \n"), ":", -1))
     ok = parts.filter(F.size("_parts") == 2)
     bad = parts.filter(F.size("_parts") != 2).drop("_parts")
-    rest = F.element_at("_parts", 2)
+    rest = T.at("_parts", 2)
     keep_cols = [c for c in lines.columns if c != "value"]
     items = (ok.filter(rest != "")
              .select(*keep_cols,
-                     T.clean_phrase(F.element_at("_parts", 1)).alias("w1"),
+                     T.clean_phrase(T.at("_parts", 1)).alias("w1"),
                      F.posexplode(F.split(T.strip_chars(rest, " "), ",", -1)).alias("item_no", "_item"))
              .withColumn("w2", T.clean_phrase(F.col("_item"))).drop("_item"))
     if kind is not None:
