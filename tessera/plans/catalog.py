@@ -80,6 +80,7 @@ def _load_all():
     """Import the query modules so they register themselves."""
     from . import q_text  # noqa: F401
     from . import q_pages  # noqa: F401
+    from . import q_pairs  # noqa: F401
 
 
 _load_all()
