@@ -55,18 +55,14 @@ def token_count(a) -> Column:
 
 # F21
 def same_suffix_len(w1, w2, max_len: int = 5) -> Column:
-    """Number of equal trailing letters of the last tokens (at most ``max_len``)."""
-    a = F.reverse(T.at(T.term_tokens(_c(w1)), -1))
-    b = F.reverse(T.at(T.term_tokens(_c(w2)), -1))
+    """Number of equal trailing letters of the two last tokens, at most ``max_len``.
+    Prefix equality of the reversed tokens is monotone in the length, so the
+    common length is the number of lengths whose prefixes agree."""
+    a = F.reverse(F.coalesce(T.at(T.term_tokens(_c(w1)), -1), F.lit("")))
+    b = F.reverse(F.coalesce(T.at(T.term_tokens(_c(w2)), -1), F.lit("")))
     n = F.least(F.length(a), F.length(b), F.lit(max_len))
-    idx = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    # length of the common prefix of the reversed tokens = leading run of equal chars
-    flags = F.transform(idx, lambda i: F.substring(a, i, 1) == F.substring(b, i, 1))
-    run = F.aggregate(flags, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
-                      lambda acc, x: F.struct(
-                          F.when(acc["on"] & x, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
-                          (acc["on"] & x).alias("on")))
-    return F.when(n == 0, F.lit(0)).otherwise(run["n"])
+    agree = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, 1, i) == F.substring(b, 1, i))
+    return F.when(n == 0, F.lit(0)).otherwise(F.size(agree))
 
 
 # F8 / F9
