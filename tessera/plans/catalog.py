@@ -83,6 +83,7 @@ def _load_all():
     from . import q_pairs  # noqa: F401
     from . import q_eval  # noqa: F401
     from . import q_features  # noqa: F401
+    from . import q_store  # noqa: F401
 
 
 _load_all()
