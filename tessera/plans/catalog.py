@@ -84,6 +84,7 @@ def _load_all():
     from . import q_eval  # noqa: F401
     from . import q_features  # noqa: F401
     from . import q_store  # noqa: F401
+    from . import q_models  # noqa: F401
 
 
 _load_all()
