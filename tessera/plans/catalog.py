@@ -85,6 +85,8 @@ def _load_all():
     from . import q_features  # noqa: F401
     from . import q_store  # noqa: F401
     from . import q_models  # noqa: F401
+    from . import q_stems  # noqa: F401
+    from . import q_stream  # noqa: F401
 
 
 _load_all()
