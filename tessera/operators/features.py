@@ -100,10 +100,9 @@ def rule_score() -> Column:
 def term_bags(docs: DataFrame, term: str = "term", text: str = "text") -> DataFrame:
     """Per-term bag of words: (term, tok, n). Tokens are lower-cased word runs
     with stop words removed. Partial aggregation happens map-side."""
-    stops = T.stop_word_array()
     toks = docs.select(F.col(term).alias("term"),
                        F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[" + T.WORD + "]+"), F.lit(0))).alias("tok"))
-    toks = toks.filter(~F.array_contains(stops, F.col("tok")))
+    toks = toks.filter(~T.is_stop_word(F.col("tok")))
     return toks.groupBy("term", "tok").agg(F.count(F.lit(1)).alias("n"))
 
 
