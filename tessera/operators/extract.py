@@ -80,6 +80,7 @@ class Rule:
     inner: str | None = None
     exact: bool = False
     first_only: bool = False
+    inner_first: bool = False
 
 
 def _element_pattern(rule: Rule) -> str:
@@ -100,8 +101,12 @@ def rule_field(html, rule: Rule) -> Column:
         vals = F.transform(blocks, text_content)
     else:
         inner = rf"(?is)<{T.regex_quote(rule.inner)}\b[^>]*>(.*?)</{T.regex_quote(rule.inner)}>"
-        vals = F.transform(blocks, lambda b: F.array_join(
-            F.transform(F.regexp_extract_all(b, F.lit(inner), F.lit(1)), text_content), "\n"))
+        if rule.inner_first:
+            vals = F.transform(blocks, lambda b: F.coalesce(
+                T.at(F.transform(F.regexp_extract_all(b, F.lit(inner), F.lit(1)), text_content), 1), F.lit("")))
+        else:
+            vals = F.transform(blocks, lambda b: F.array_join(
+                F.transform(F.regexp_extract_all(b, F.lit(inner), F.lit(1)), text_content), "\n"))
     if rule.first_only:
         return F.coalesce(T.at(vals, 1), F.lit(""))
     return vals
@@ -119,6 +124,11 @@ QA_RULES = [Rule("questions", "td", "class", "postcell", "p"), Rule("answers", "
 QA2_RULES = [Rule("questions", "span", "class", "rendered_qtext"), Rule("answers", "span", "class", "ui_qtext_rendered_qtext")]
 ENCYCLOPEDIA_RULES = [Rule("definition", "div", "id", "encyc_entry", exact=True, first_only=True),
                       Rule("title", "span", "class", "term_title", first_only=True)]
+GLOSSARY_SITE_RULES = [Rule("definition", "article", "class", "text-page", inner="p", inner_first=True, first_only=True),
+                       Rule("title", "header", first_only=True)]
+
+
+RELATED_DIV = r"""(?is)<div\b[^>]*\bclass\s*=\s*"[^"]*related[^"]*"[^>]*>(.*?)</div>"""
 
 
 def related_links(html, container_class: str = "related", link_class: str = "question-hyperlink") -> Column:

@@ -106,21 +106,25 @@ def term_bags(docs: DataFrame, term: str = "term", text: str = "text") -> DataFr
     return toks.groupBy("term", "tok").agg(F.count(F.lit(1)).alias("n"))
 
 
-def bag_cosine(pairs: DataFrame, bags: DataFrame, out: str = "cosine") -> DataFrame:
+def bag_cosine(pairs: DataFrame, bags: DataFrame, out: str = "cosine", bags2: DataFrame | None = None) -> DataFrame:
     """Cosine of the two terms' bags for each pair, as a sparse dot product.
 
     dot(w1, w2) = sum over shared tokens of n1 * n2: an equi join of the two
     bags on (term, tok), aggregated per pair. Counts are integers so the result
     does not depend on summation order. Pairs with an empty side get 0.
+    ``bags2`` (default ``bags``) is the bag table of the second side, e.g. a
+    term's own tokens against the other term's definition (F10, F11).
     """
+    bags2 = bags if bags2 is None else bags2
     norms = bags.groupBy("term").agg(F.sum(F.col("n") * F.col("n")).alias("nn"))
+    norms2 = bags2.groupBy("term").agg(F.sum(F.col("n") * F.col("n")).alias("nn"))
     keys = pairs.select("w1", "w2").distinct()
     b1 = bags.select(F.col("term").alias("w1"), "tok", F.col("n").alias("n1"))
-    b2 = bags.select(F.col("term").alias("w2"), "tok", F.col("n").alias("n2"))
+    b2 = bags2.select(F.col("term").alias("w2"), "tok", F.col("n").alias("n2"))
     dots = (keys.join(b1, "w1").join(b2, ["w2", "tok"])
             .groupBy("w1", "w2").agg(F.sum(F.col("n1") * F.col("n2")).alias("_dot")))
     n1 = norms.select(F.col("term").alias("w1"), F.col("nn").alias("_nn1"))
-    n2 = norms.select(F.col("term").alias("w2"), F.col("nn").alias("_nn2"))
+    n2 = norms2.select(F.col("term").alias("w2"), F.col("nn").alias("_nn2"))
     scored = (keys.join(dots, ["w1", "w2"], "left").join(n1, "w1", "left").join(n2, "w2", "left")
               .withColumn(out, F.when(F.col("_dot").isNull() | F.col("_nn1").isNull() | F.col("_nn2").isNull(), F.lit(0.0))
                           .otherwise(F.col("_dot") / F.sqrt(F.col("_nn1").cast("double") * F.col("_nn2").cast("double"))))
@@ -128,6 +132,20 @@ def bag_cosine(pairs: DataFrame, bags: DataFrame, out: str = "cosine") -> DataFr
     return pairs.join(scored, ["w1", "w2"], "left")
 
 
+# F22
+def related_overlap(pairs: DataFrame, terms: DataFrame, syn: DataFrame, out: str = "related_overlap") -> DataFrame:
+    """Size of the intersection of the two sides' related sets: a term's tokens
+    plus the related words of its tokens from a (tok, rel) table. Built once per
+    term, joined to pairs on (term, tok)."""
+    side = terms.select("term", F.explode(F.array_distinct(T.term_tokens("term"))).alias("tok")).distinct()
+    related = side.unionByName(side.join(syn, "tok").select("term", F.col("rel").alias("tok"))).distinct()
+    a = related.select(F.col("term").alias("w1"), "tok")
+    b = related.select(F.col("term").alias("w2"), "tok")
+    keys = pairs.select("w1", "w2").distinct()
+    cnt = keys.join(a, "w1").join(b, ["w2", "tok"]).groupBy("w1", "w2").agg(F.count(F.lit(1)).alias(out))
+    return pairs.join(cnt, ["w1", "w2"], "left").fillna(0, subset=[out])
+
+
 def vector_cosine(a, b) -> Column:
     """Cosine of two equal-length numeric arrays (zip + aggregate, JVM-side)."""
     a, b = _c(a), _c(b)

@@ -87,6 +87,7 @@ def _load_all():
     from . import q_models  # noqa: F401
     from . import q_stems  # noqa: F401
     from . import q_stream  # noqa: F401
+    from . import q_more  # noqa: F401
 
 
 _load_all()

@@ -63,8 +63,12 @@ def _rule_sql(r: X.Rule) -> str:
         vals = f"list_transform({blocks}, lambda b: {_text_content('b')})"
     else:
         inner = rf"(?is)<{T.regex_quote(r.inner)}\b[^>]*>(.*?)</{T.regex_quote(r.inner)}>"
-        vals = (f"list_transform({blocks}, lambda b: array_to_string(list_transform("
-                f"regexp_extract_all(b, {D.rx(inner)}, 1), lambda y: {_text_content('y')}), chr(10)))")
+        if r.inner_first:
+            vals = (f"list_transform({blocks}, lambda b: coalesce(list_transform("
+                    f"regexp_extract_all(b, {D.rx(inner)}, 1), lambda y: {_text_content('y')})[1], ''))")
+        else:
+            vals = (f"list_transform({blocks}, lambda b: array_to_string(list_transform("
+                    f"regexp_extract_all(b, {D.rx(inner)}, 1), lambda y: {_text_content('y')}), chr(10)))")
     if r.first_only:
         return f"coalesce({vals}[1], '')"
     return vals
@@ -133,3 +137,33 @@ def links_per_query(spark, d):
     link = X.anchor_rows(_pages(spark, d)).select(F.col("page_id").alias("serp_id"), F.col("href").alias("link"))
     j = link.join(serp, link.serp_id == serp.id).select("query", "link", "serp_id").distinct()
     return j.groupBy("query").agg(F.countDistinct("link").alias("n_links"), F.countDistinct("serp_id").alias("n_pages"))
+
+
+# H3-H6: the other known layouts as rule fields (second Q/A site, encyclopedia,
+# glossary site) plus the plain article's first paragraph; H5 definitions are cut
+# after four newlines (T11) and titles lose a fixed prefix
+SITE_RULES = [
+    X.Rule("qa2_questions", "span", "class", "rendered_qtext"),
+    X.Rule("qa2_answers", "span", "class", "ui_qtext_rendered_qtext"),
+    X.Rule("encyc_definition", "div", "id", "encyc_entry", exact=True, first_only=True),
+    X.Rule("encyc_title", "span", "class", "term_title", first_only=True),
+    X.Rule("site_definition", "article", "class", "text-page", inner="p", inner_first=True, first_only=True),
+    X.Rule("article_first_p", "article", inner="p", inner_first=True, first_only=True),
+    X.Rule("site_title", "header", first_only=True),
+]
+TITLE_PREFIX = 11
+
+
+@register("pages_site_rules", "SELECT page_id, " + ", ".join(
+    f"{_rule_sql(r)} AS {r.field}" for r in SITE_RULES if r.field not in ("encyc_definition", "encyc_title"))
+    + ", " + D.replace_all(_rule_sql(SITE_RULES[2]), "(?s)\n{4}.*$", "") + " AS encyc_definition"
+    + f", trim(substring({_rule_sql(SITE_RULES[3])}, {TITLE_PREFIX + 1}, 1073741824)) AS encyc_title"
+    + f", len(regexp_extract_all(html, {D.rx(X.RELATED_DIV)}, 1)) AS n_related_blocks"
+    + " FROM pages WHERE html IS NOT NULL AND html <> ''")
+def pages_site_rules(spark, d):
+    p = _pages(spark, d)
+    f = X.extract_fields(p, SITE_RULES)
+    f = (f.withColumn("encyc_definition", T.cut_after_blank_lines(F.col("encyc_definition")))
+         .withColumn("encyc_title", T.strip_prefix(F.col("encyc_title"), TITLE_PREFIX)))
+    rel = p.select("page_id", F.size(F.regexp_extract_all("html", F.lit(X.RELATED_DIV), F.lit(1))).alias("n_related_blocks"))
+    return f.join(rel, "page_id")
