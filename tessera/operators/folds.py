@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import global_rank, md5_bucket, md5_int, md5_key
+from .rank import global_rank, md5_bucket, md5_int, md5_key, numeric_rank
 
 
 # O3
@@ -20,12 +20,12 @@ def shard(df: DataFrame, key: str, total: int, node: int) -> DataFrame:
 
 
 # O4 + W1
-def round_robin(df: DataFrame, key: str, order: str, n: int, block: int = 1 << 14) -> DataFrame:
+def round_robin(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """Part index of each item: items of a key are dealt round robin into n
     parts in their order (the index restarts for every key). ``order`` is a
-    unique numeric position within the key; positions are computed in blocks
-    so a hot key is not numbered by a single task."""
-    ranked = global_rank(df, [order], F.floor(F.col(order) / F.lit(block)), "_pos", partition_by=[key])
+    unique numeric position within the key; positions are computed in quantile
+    blocks so a hot key is not numbered by a single task."""
+    ranked = numeric_rank(df, order, "_pos", partition_by=[key])
     return ranked.withColumn("part", F.pmod(F.col("_pos"), F.lit(n))).drop("_pos")
 
 
@@ -61,8 +61,7 @@ def hash_folds(df: DataFrame, key_cols: list[str], seed: str = "folds", k: int =
 
 
 # O7
-def slice_parts(df: DataFrame, order: str, parts: int = 10, n: int | None = None,
-                block: int = 1 << 14) -> DataFrame:
+def slice_parts(df: DataFrame, order: str, parts: int = 10, n: int | None = None) -> DataFrame:
     """Slice rows ordered by a unique numeric ``order`` into ``parts`` equal parts
     (remainder dropped); part = position div floor(n/parts)."""
     if n is None:
@@ -70,6 +69,6 @@ def slice_parts(df: DataFrame, order: str, parts: int = 10, n: int | None = None
     size = n // parts
     if size == 0:
         return df.withColumn("part", F.lit(None).cast("int")).limit(0)
-    ranked = global_rank(df, [order], F.floor(F.col(order) / F.lit(block)), "_pos")
+    ranked = numeric_rank(df, order, "_pos")
     return (ranked.withColumn("part", (F.col("_pos") / F.lit(size)).cast("int"))
             .filter(F.col("part") < parts).drop("_pos"))

@@ -28,8 +28,22 @@ PAIR_FILE_OF_TYPE = {"PROMO": "synonym", "STANDARD": "synonym", "SMALL": "contra
 FILE_ORDER = {"synonym": 1, "contrast": 2, "related": 3, "hyper": 4}
 
 
+# Tables whose rows carry long text: per-row regex work dominates, so a scan
+# with fewer splits than the cluster has cores is spread before the work.
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition only when the scan yields fewer partitions than
+    the default parallelism (e.g. one large row group). Large inputs already
+    have enough splits and are left alone, so no 100 TB shuffle is added."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def term_lines(spark, d) -> DataFrame:

@@ -6,7 +6,7 @@ from tessera.functions.stem import porter, stem_tokens
 from tessera.operators import folds as O
 from tessera.operators import metrics as M
 from tessera.operators import pairs as P
-from tessera.operators.rank import blocked_cumsum, global_rank
+from tessera.operators.rank import blocked_cumsum, global_rank, numeric_rank
 
 
 def test_global_rank_equals_row_number(spark):
@@ -21,10 +21,17 @@ def test_partitioned_rank_and_cumsum(spark):
     r = global_rank(df, ["o"], F.floor(F.col("o") / 100), "r", partition_by=["k"])
     ref = df.withColumn("r2", F.row_number().over(Window.partitionBy("k").orderBy("o")) - 1)
     assert r.join(ref, ["k", "o"]).filter(F.col("r") != F.col("r2")).count() == 0
-    c = blocked_cumsum(df, F.col("v"), "o", "c", ["k"], block=128)
+    c = blocked_cumsum(df, F.col("v"), "o", "c", ["k"], n=16)
     assert c.filter(F.col("c") != F.floor(F.col("o") / 3) + 1).count() == 0
 
 
+def test_numeric_rank_sparse_orders(spark):
+    df = spark.range(2000).select((F.col("id") * F.col("id") * 1000003).alias("o"))
+    r = numeric_rank(df, "o", "r", n=32)
+    ref = df.withColumn("r2", F.row_number().over(Window.orderBy("o")) - 1)
+    assert r.join(ref, "o").filter(F.col("r") != F.col("r2")).count() == 0
+
+
 def test_folds_disjoint_equal(spark):
     df = spark.range(1003)
     f = O.ten_folds(df, ["id"])
