@@ -122,7 +122,14 @@ VECTOR_ORDER = ["w1_in_def2", "w2_in_def1", "w1_see_also2", "w2_see_also1", "com
                 "same_count", "edit_distance", "single_sides"]
 
 
-@register("features_vector")
+@register("features_vector", with_("golden", "definitions") + f"""
+    SELECT l.w1, l.w2, [CAST({_count_sql('l.w1', 'd2.definition')} AS DOUBLE), CAST({_count_sql('l.w2', 'd1.definition')} AS DOUBLE),
+          CAST({_see_also_sql('l.w1', 'd2.definition')} AS DOUBLE), CAST({_see_also_sql('l.w2', 'd1.definition')} AS DOUBLE),
+          CAST(len(list_intersect(t1, t2)) AS DOUBLE), CAST(t1[-1] = t2[-1] AS DOUBLE), CAST(t1[1] = t2[1] AS DOUBLE),
+          CAST(len(t1) = len(t2) AS DOUBLE), CAST(levenshtein(l.w1, l.w2) AS DOUBLE),
+          CAST(CAST(len(t1) = 1 AS INTEGER) + CAST(len(t2) = 1 AS INTEGER) AS DOUBLE)] AS features
+    FROM (SELECT w1, w2, {D.split_tokens('w1')} AS t1, {D.split_tokens('w2')} AS t2 FROM golden) l
+    LEFT JOIN definitions d1 ON d1.term = l.w1 LEFT JOIN definitions d2 ON d2.term = l.w2""")
 def features_vector(spark, d):
     f = features_definition(spark, d).join(features_token(spark, d), ["w1", "w2"])
     return f.select("w1", "w2", F.array(*[F.col(c).cast("double") for c in VECTOR_ORDER]).alias("features"))

@@ -12,7 +12,10 @@ from . import bindings as B
 from ..session import ensure_checkpoint_dir
 from .catalog import register
 from .q_features import VECTOR_ORDER, feature_vectors
-from .q_pairs import NEG_FACTOR, NEG_SEED
+from .q_pairs import NEG_CTES, NEG_FACTOR, NEG_SEED
+from .q_features import _count_sql, _see_also_sql
+from . import duck as D
+from .sql_bindings import with_
 
 FOLD_SEED = "pairfolds"
 
@@ -38,14 +41,34 @@ def dataset(spark, d):
     return feature_vectors(spark, d, O.ten_folds(lp, ["key"], seed=FOLD_SEED)).checkpoint(eager=True)
 
 
+_LP_SQL = with_("terms", "golden", "definitions", extra=NEG_CTES + [
+    f"""lp AS (SELECT 'yes' AS label, w1, w2, seq AS id FROM golden UNION ALL SELECT 'no', w1, w2, draw FROM neg)""",
+    """lpk AS (SELECT *, label || '|' || w1 || '|' || w2 || '|' || CAST(id AS VARCHAR) AS key FROM lp)""",
+    f"""lpf AS (SELECT * FROM (SELECT *, CAST(floor((row_number() OVER (ORDER BY md5('{FOLD_SEED}|' || key)) - 1)
+          / ((SELECT count(*) FROM lpk) // 10)) AS INTEGER) AS fold FROM lpk) WHERE fold < 10)""",
+    f"""ds AS (SELECT l.*, [CAST({_count_sql('l.w1', 'd2.definition')} AS DOUBLE), CAST({_count_sql('l.w2', 'd1.definition')} AS DOUBLE),
+          CAST({_see_also_sql('l.w1', 'd2.definition')} AS DOUBLE), CAST({_see_also_sql('l.w2', 'd1.definition')} AS DOUBLE),
+          CAST(len(list_intersect(t1, t2)) AS DOUBLE), CAST(t1[-1] = t2[-1] AS DOUBLE), CAST(t1[1] = t2[1] AS DOUBLE),
+          CAST(len(t1) = len(t2) AS DOUBLE), CAST(levenshtein(l.w1, l.w2) AS DOUBLE),
+          CAST(CAST(len(t1) = 1 AS INTEGER) + CAST(len(t2) = 1 AS INTEGER) AS DOUBLE)] AS features
+        FROM (SELECT *, {D.split_tokens('w1')} AS t1, {D.split_tokens('w2')} AS t2 FROM lpf) l
+        LEFT JOIN definitions d1 ON d1.term = l.w1 LEFT JOIN definitions d2 ON d2.term = l.w2)""",
+    "codec AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT label FROM lpk))",
+])
+
+
 # C1
-@register("label_codec")
+@register("label_codec", _LP_SQL + "SELECT label, idx FROM codec")
 def label_codec(spark, d):
     return MD.label_index(labelled_pairs(spark, d))
 
 
 # C2 + C3 + C5 + C6: codes and named feature map of every labelled pair
-@register("label_coding")
+@register("label_coding", _LP_SQL + """
+    SELECT key, label, idx, oh AS one_hot, CAST(list_position(oh, 1) - 1 AS INTEGER) AS decoded, len(features) AS vec_len,
+      CAST(list_position(oh, list_max(oh)) - 1 AS INTEGER) AS argmax, features[-1] AS last_feature
+    FROM (SELECT ds.*, c.idx, list_transform(range(2), lambda k: CASE WHEN k = c.idx THEN 1 ELSE 0 END) AS oh
+          FROM ds JOIN codec c ON c.label = ds.label)""")
 def label_coding(spark, d):
     ds = dataset(spark, d)
     codec = MD.label_index(ds)
@@ -71,7 +94,17 @@ for _name in ("logistic", "forest", "mlp", "svm_rff"):
 
 
 # M5: random baseline, per fold
-@register("model_folds_random")
+@register("model_folds_random", _LP_SQL + """
+    , pr AS (SELECT fold, label = 'yes' AS truth_yes,
+          (""" + D.md5_int("md5('guess|' || key)") + """ % 100) + 1 < 50 AS pred_yes FROM ds),
+    cf AS (SELECT fold, count_if(pred_yes AND truth_yes) AS tp, count_if(pred_yes AND NOT truth_yes) AS fp,
+        count_if(NOT pred_yes AND NOT truth_yes) AS tn, count_if(NOT pred_yes AND truth_yes) AS fn FROM pr GROUP BY fold),
+    rp AS (SELECT *, CASE WHEN tp + fn = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS recall,
+                     CASE WHEN tp + fp = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS precision FROM cf)
+    SELECT fold, tp, fp, tn, fn, recall, precision,
+      CASE WHEN recall + precision = 0 THEN 0.0 ELSE 2.0 * precision * recall / (precision + recall) END AS f1,
+      CASE WHEN tp + fp + tn + fn = 0 THEN NULL ELSE CAST(tp + tn AS DOUBLE) / (tp + fp + tn + fn) END AS accuracy,
+      'random' AS model FROM rp""")
 def model_folds_random(spark, d):
     ds = dataset(spark, d).withColumn("y", (F.col("label") == MD.YES).cast("double"))
     pred = ds.withColumn("pred_yes", MD.random_guess(F.col("key"))).withColumn("truth_yes", F.col("y") == 1.0)

@@ -78,18 +78,24 @@ def membership_undirected_anti(spark, d):
 
 
 # Random negatives, as many as golden pairs
-@register("negative_pairs", with_("terms", "golden", extra=[
-    f"idx AS (SELECT term, row_number() OVER (ORDER BY md5('{NEG_SEED}|' || term)) - 1 AS idx FROM terms)",
-    "nv AS (SELECT count(*) AS v FROM idx)",
-    "ng AS (SELECT count(*) AS n FROM golden)",
-    f"""draws AS (SELECT draw,
+NEG_CTES = [
+    f"neg_idx AS (SELECT term, row_number() OVER (ORDER BY md5('{NEG_SEED}|' || term)) - 1 AS idx FROM terms)",
+    "neg_v AS (SELECT count(*) AS v FROM neg_idx)",
+    "neg_n AS (SELECT count(*) AS n FROM golden)",
+    f"""neg_draws AS (SELECT draw,
           {D.md5_int(f"md5('{NEG_SEED}|' || CAST(draw AS VARCHAR) || '|a')")} % v AS i1,
           {D.md5_int(f"md5('{NEG_SEED}|' || CAST(draw AS VARCHAR) || '|b')")} % v AS i2
-        FROM (SELECT unnest(range(n * {NEG_FACTOR})) AS draw FROM ng), nv)""",
-    """cand AS (SELECT d.draw, a.term AS w1, b.term AS w2 FROM draws d JOIN idx a ON a.idx = d.i1 JOIN idx b ON b.idx = d.i2
+        FROM (SELECT unnest(range(n * {NEG_FACTOR})) AS draw FROM neg_n), neg_v)""",
+    """neg_cand AS (SELECT d.draw, a.term AS w1, b.term AS w2 FROM neg_draws d JOIN neg_idx a ON a.idx = d.i1
+        JOIN neg_idx b ON b.idx = d.i2
         WHERE a.term <> b.term AND NOT EXISTS (SELECT 1 FROM golden g
-          WHERE least(g.w1, g.w2) = least(a.term, b.term) AND greatest(g.w1, g.w2) = greatest(a.term, b.term)))"""])
-    + "SELECT draw, w1, w2 FROM (SELECT *, row_number() OVER (ORDER BY draw) - 1 AS r FROM cand), ng WHERE r < n")
+          WHERE least(g.w1, g.w2) = least(a.term, b.term) AND greatest(g.w1, g.w2) = greatest(a.term, b.term)))""",
+    """neg AS (SELECT draw, w1, w2 FROM (SELECT *, row_number() OVER (ORDER BY draw) - 1 AS r FROM neg_cand), neg_n
+        WHERE r < n)""",
+]
+
+
+@register("negative_pairs", with_("terms", "golden", extra=NEG_CTES) + "SELECT draw, w1, w2 FROM neg")
 def negative_pairs(spark, d):
     return P.random_negatives(spark, B.terms(spark, d), B.golden(spark, d), factor=NEG_FACTOR, seed=NEG_SEED)
 
