@@ -18,6 +18,10 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # AQE may turn a sort-merge join into a shuffled hash join when every
+        # post-shuffle partition of the build side is below this size (checked
+        # at run time), which saves sorting the large side of pair x bag joins.
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "128MB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
