@@ -128,9 +128,9 @@ def svm_rff(n_features: int, dims: int = 32, gamma: float = 0.1, seed: int = 0)
     return Pipeline(stages=[
         rff_transformer(n_features, dims, gamma, seed),
         VectorAssembler(inputCols=[f"_rff_{k}" for k in range(dims)], outputCol="_rffv"),
-        LinearSVC(featuresCol="_rffv", labelCol="y", rawPredictionCol="_svm_raw", predictionCol="_svm_pred", maxIter=20),
+        LinearSVC(featuresCol="_rffv", labelCol="y", rawPredictionCol="_svm_raw", predictionCol="_svm_pred", maxIter=10),
         MarginVector("_svm_raw", "_margin"),
-        LogisticRegression(featuresCol="_margin", labelCol="y", maxIter=20),
+        LogisticRegression(featuresCol="_margin", labelCol="y", maxIter=10),
     ])
 
 
