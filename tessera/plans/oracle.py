@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 
+# ORACLE_STRICT=1 compares floats exactly (repr) instead of rounded to 9 places.
+STRICT = os.environ.get("ORACLE_STRICT") == "1"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
 
@@ -19,7 +22,7 @@ def duck_connection(d: str):
 
 def norm(v) -> str:
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(round(v, 9))
+        return "nan" if math.isnan(v) else (repr(v) if STRICT else repr(round(v, 9)))
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(norm(x) for x in v) + "]"
     if isinstance(v, dict):
