@@ -37,8 +37,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin repartition only when the scan yields fewer partitions than
     the default parallelism (e.g. one large row group). Large inputs already
     have enough splits and are left alone, so no 100 TB shuffle is added."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the scan as it is
+        return df
+    return df.repartition(par) if n < par else df
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
