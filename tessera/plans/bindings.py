@@ -10,7 +10,9 @@ fixed, stated rule (the same rule is written in SQL for the oracle):
   the next three keys are its items (an empty list is possible).
 * documents of a term: ``documents`` row ``doc_id = p_partkey``;
   questions / answers: ``conversations`` user / assistant turns with
-  ``conv_id = p_partkey``; definitions: ``benchmark`` item ``item_id = p_partkey``.
+  ``conv_id = p_partkey``; definitions: ``benchmark`` item ``item_id = p_partkey``;
+  result pages: ``pages`` row ``page_id = p_partkey`` (headline = question,
+  paragraphs = answers, link texts = related questions).
 All links are equi joins, so the work grows with the tables.
 """
 from __future__ import annotations
@@ -131,6 +133,13 @@ def term_turns(spark, d) -> DataFrame:
     return c.join(p, c.conv_id == p.p_partkey).select("term", "conv_id", "turn", "role", "text")
 
 
+def term_pages(spark, d) -> DataFrame:
+    """(term, page_id, html) — pages linked to a term by part key (its result pages)."""
+    p = table(spark, d, "part").select(F.col("p_partkey"), T.strip_chars(F.col("p_name")).alias("term"))
+    pg = table(spark, d, "pages").select("page_id", "html")
+    return pg.join(p, pg.page_id == p.p_partkey).select("term", "page_id", "html")
+
+
 def term_definition_lines(spark, d) -> DataFrame:
     """``term:definition`` lines from benchmark items linked by part key."""
     p = table(spark, d, "part").select(F.col("p_partkey"), T.strip_chars(F.col("p_name")).alias("term"))

@@ -183,3 +183,39 @@ def features_related_overlap(spark, d):
     g = B.golden(spark, d).select("w1", "w2").distinct()
     terms = g.select(F.col("w1").alias("term")).unionByName(g.select(F.col("w2").alias("term"))).distinct()
     return FT.related_overlap(g, terms, syn)
+
+
+# F3-F6 (re-aimed): similarity of the terms' result pages, field by field:
+# headlines (questions), paragraphs (answers) and link texts (related questions)
+def _page_fields(spark, d):
+    from ..operators import extract as X
+    tp = B.term_pages(spark, d).filter(F.col("html").isNotNull() & (F.col("html") != ""))
+    head = tp.select("term", X.text_content(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)).alias("text"))
+    paras = tp.select("term", F.explode(X.paragraphs(F.col("html"))).alias("text"))
+    links = tp.select("term", F.explode(F.transform(X.anchors(F.col("html")), lambda a: a["text"])).alias("text"))
+    return head, paras, links
+
+
+def _page_field_sql():
+    from ..operators import extract as X
+    from .q_pages import _text_content as tc
+    return [
+        f"pf_head AS (SELECT term, {tc(chr(39) + chr(39) + ' || regexp_extract(html, ' + D.rx(r'(?is)<h1\b[^>]*>(.*?)</h1>') + ', 1)')} AS text FROM term_pages WHERE html IS NOT NULL AND html <> '')",
+        f"pf_para AS (SELECT term, {tc('p')} AS text FROM (SELECT term, unnest(regexp_extract_all(html, {D.rx(X.PARAGRAPH)}, 1)) AS p FROM term_pages WHERE html IS NOT NULL AND html <> ''))",
+        f"pf_link AS (SELECT term, {tc('a')} AS text FROM (SELECT term, unnest(regexp_extract_all(html, {D.rx(X.ANCHOR)}, 2)) AS a FROM term_pages WHERE html IS NOT NULL AND html <> ''))",
+    ]
+
+
+@register("features_page_cosine", with_("golden", "term_pages", extra=_page_field_sql() + [
+    _cosine_sql(_bags_sql("pf_head"), "head_cosine"),
+    _cosine_sql(_bags_sql("pf_para"), "para_cosine"),
+    _cosine_sql(_bags_sql("pf_link"), "link_cosine")]) + """
+    SELECT h.w1, h.w2, h.head_cosine, p.para_cosine, l.link_cosine FROM head_cosine h
+    JOIN para_cosine p ON p.w1 = h.w1 AND p.w2 = h.w2 JOIN link_cosine l ON l.w1 = h.w1 AND l.w2 = h.w2""")
+def features_page_cosine(spark, d):
+    g = B.golden(spark, d).select("w1", "w2").distinct()
+    head, paras, links = _page_fields(spark, d)
+    h = FT.bag_cosine(g, FT.term_bags(head), "head_cosine")
+    p = FT.bag_cosine(g, FT.term_bags(paras), "para_cosine")
+    lk = FT.bag_cosine(g, FT.term_bags(links), "link_cosine")
+    return h.join(p, ["w1", "w2"]).join(lk, ["w1", "w2"])

@@ -26,10 +26,13 @@ def term_stems(spark, d):
 @register("document_stem_counts")
 def document_stem_counts(spark, d):
     docs = B.table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
-    toks = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("tok"))
+    # distinct tokens per document first (map-side), so the join to stems
+    # and the counts see each (document, token) once
+    toks = docs.select("doc_id", F.explode(F.array_distinct(
+        F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("tok"))
     stems = toks.select("tok").distinct().select("tok", ST.porter_udf(F.col("tok")).alias("stem"))
     return toks.join(stems, "tok").groupBy("doc_id").agg(F.countDistinct("stem").alias("n_stems"),
-                                                           F.countDistinct("tok").alias("n_tokens"))
+                                                           F.count(F.lit(1)).alias("n_tokens"))
 
 
 # P2 + P3 + F14-F16 on stems of golden pairs

@@ -50,6 +50,8 @@ CTES = {
         SELECT p.term, d.doc_id, d.text, d.source FROM documents d JOIN term_part p ON d.doc_id = p.p_partkey)""",
     "term_turns": """term_turns AS (
         SELECT p.term, c.conv_id, c.turn, c.role, c.text FROM conversations c JOIN term_part p ON c.conv_id = p.p_partkey)""",
+    "term_pages": """term_pages AS (
+        SELECT p.term, g.page_id, g.html FROM pages g JOIN term_part p ON g.page_id = p.p_partkey)""",
     "definition_lines": f"""definition_lines AS (
         SELECT b.item_id AS line_no, p.term || ':' || {D.replace_all('b.text', '[' + chr(13) + chr(10) + ']+', ' ')} AS value
         FROM benchmark b JOIN term_part p ON b.item_id = p.p_partkey)""",
@@ -68,6 +70,7 @@ DEPS = {
     "golden": ["rel_rows"],
     "term_documents": ["term_part"],
     "term_turns": ["term_part"],
+    "term_pages": ["term_part"],
     "definition_lines": ["term_part"],
     "definitions": ["definition_lines"],
 }
