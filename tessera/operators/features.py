@@ -74,9 +74,18 @@ def term_count_in_text(term, text) -> Column:
 
 
 # F12 / F13
-def listed_in_see_also(term, text) -> Column:
-    """Term is one of the items of the other side's see-also clause (0/1)."""
-    return F.array_contains(T.see_also_items(F.coalesce(_c(text), F.lit(""))), _c(term)).cast("int")
+def listed_in_see_also(term, text, strict: bool = False) -> Column:
+    """Term is one of the items of the other side's see-also clause (0/1).
+
+    Default: items split on commas or the whole word "and", trimmed.
+    ``strict=True`` keeps the reference's literal behaviour: split on "," or
+    on "and" anywhere (also inside words) and compare untrimmed items."""
+    t = F.coalesce(_c(text), F.lit(""))
+    if strict:
+        items = F.split(T.see_also_clause(t), ",|and", -1)
+    else:
+        items = T.see_also_items(t)
+    return F.array_contains(items, _c(term)).cast("int")
 
 
 def pair_token_features(pairs: DataFrame, t1: str = "t1", t2: str = "t2") -> DataFrame:
@@ -153,3 +162,29 @@ def vector_cosine(a, b) -> Column:
     na = F.aggregate(F.transform(a, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
     nb = F.aggregate(F.transform(b, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
     return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot / F.sqrt(na * nb))
+
+
+# pluggable feature list. Each entry builds one numeric column from a pair
+# row that carries w1, w2, token arrays t1/t2 and the definitions def1/def2.
+FEATURES = {
+    "w1_in_def2": lambda: term_count_in_text("w1", "def2"),
+    "w2_in_def1": lambda: term_count_in_text("w2", "def1"),
+    "w1_see_also2": lambda: listed_in_see_also("w1", "def2"),
+    "w2_see_also1": lambda: listed_in_see_also("w2", "def1"),
+    "common_tokens": lambda: common_token_len("t1", "t2"),
+    "same_last": lambda: same_last_token("t1", "t2"),
+    "same_first": lambda: same_first_token("t1", "t2"),
+    "same_count": lambda: token_num_same("t1", "t2"),
+    "edit_distance": lambda: edit_distance("w1", "w2"),
+    "single_sides": lambda: one_side_single_token("t1", "t2"),
+    "suffix_len": lambda: same_suffix_len("w1", "w2"),
+    "n_tokens_1": lambda: token_count("t1"),
+    "n_tokens_2": lambda: token_count("t2"),
+}
+
+
+def assemble(df: DataFrame, names: list[str], out: str = "features", registry: dict | None = None) -> DataFrame:
+    """Feature vector (array<double>) in the given order from a name -> column
+    builder registry; users add entries to extend the vector."""
+    reg = registry or FEATURES
+    return df.withColumn(out, F.array(*[reg[n]().cast("double") for n in names]))

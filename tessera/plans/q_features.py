@@ -142,11 +142,5 @@ def feature_vectors(spark, d, pairs):
     d1 = defs.select(F.col("term").alias("w1"), F.col("definition").alias("def1"))
     d2 = defs.select(F.col("term").alias("w2"), F.col("definition").alias("def2"))
     j = pairs.join(d1, "w1", "left").join(d2, "w2", "left")
-    j = (j.withColumn("w1_in_def2", FT.term_count_in_text("w1", "def2"))
-         .withColumn("w2_in_def1", FT.term_count_in_text("w2", "def1"))
-         .withColumn("w1_see_also2", FT.listed_in_see_also("w1", "def2"))
-         .withColumn("w2_see_also1", FT.listed_in_see_also("w2", "def1"))
-         .withColumn("t1", T.split_tokens("w1")).withColumn("t2", T.split_tokens("w2")))
-    j = FT.pair_token_features(j)
-    keep = [c for c in pairs.columns]
-    return j.select(*keep, F.array(*[F.col(c).cast("double") for c in VECTOR_ORDER]).alias("features"))
+    j = j.withColumn("t1", T.split_tokens("w1")).withColumn("t2", T.split_tokens("w2"))
+    return FT.assemble(j, VECTOR_ORDER).select(*pairs.columns, "features")

@@ -84,3 +84,15 @@ def parse_definition_lines(lines: DataFrame) -> DataFrame:
         F.col("value").rlike(":").alias("_ok"),
     ).filter("_ok")
     return m.groupBy("term").agg(F.max_by("definition", "line_no").alias("definition"))
+
+
+# S13
+def read_judged_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``w1,w2,code`` CSV lines read in PERMISSIVE mode: malformed lines land in
+    ``_corrupt_record`` and are returned as the reject table."""
+    df = (spark.read.schema("w1 string, w2 string, code string, _corrupt_record string")
+          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
+    df = df.cache()  # Spark requires materialising before filtering on the corrupt column alone
+    ok = df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    bad = df.filter(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
+    return ok, bad

@@ -87,3 +87,23 @@ def test_decode_json_array_empty(spark):
     df = spark.createDataFrame([("",), (None,), ('[{"term":"a","definition":"b"}]',)], "c string")
     sizes = [r.n for r in df.select(F.size(ST.decode_json_array("c", "struct<term:string,definition:string>")).alias("n")).collect()]
     assert sizes == [0, 0, 1]
+
+
+def test_judged_csv_rejects(spark):
+    d = scratch(spark)
+    os.makedirs(d)
+    with open(f"{d}/judged.csv", "w") as f:
+        f.write("assumptions,assumption,s\nschedule performance\nx,y,hypon\n")
+    ok, bad = R.read_judged_csv(spark, f"{d}/judged.csv")
+    assert sorted((r.w1, r.w2, r.code) for r in ok.collect()) == [("assumptions", "assumption", "s"), ("x", "y", "hypon")]
+    assert [r._corrupt_record for r in bad.collect()] == ["schedule performance"]
+
+
+def test_see_also_strict_and_default(spark):
+    from tessera.operators import features as FT
+    df = spark.createDataFrame([("standard", "See also standard model, cache and queue. Rest.")], "w string, t string")
+    row = df.select(FT.listed_in_see_also("w", "t").alias("a"), FT.listed_in_see_also("w", "t", strict=True).alias("b")).first()
+    assert (row.a, row.b) == (0, 0)
+    df = spark.createDataFrame([("cache", "See also standard model, cache and queue. Rest.")], "w string, t string")
+    row = df.select(FT.listed_in_see_also("w", "t").alias("a"), FT.listed_in_see_also("w", "t", strict=True).alias("b")).first()
+    assert (row.a, row.b) == (1, 0)
