@@ -85,36 +85,39 @@ def dedupe_results(df: DataFrame, seq: str = "seq", extra: list[str] | None = No
 
 
 # --------------------------------------------------------------- candidates
-def _term_tokens(df: DataFrame, col: str, out: str) -> DataFrame:
-    return df.select(F.col(col).alias(out), F.explode(F.array_distinct(T.term_tokens(F.col(col)))).alias("tok"))
+def sub_phrases(term) -> Column:
+    """All proper contiguous sub-phrases of a term's whitespace tokens, joined
+    by one space (a term of n tokens has n(n-1)/2 + n - 1 of them)."""
+    toks = T.term_tokens(term)
+    n = F.size(toks)
+    subs = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda ln: F.transform(
+        F.sequence(F.lit(1), n - ln + 1), lambda st: F.array_join(F.slice(toks, st, ln), " "))))
+    return F.when(n >= 2, subs).otherwise(F.array().cast("array<string>"))
+
+
+def phrase_key(term) -> Column:
+    """Whitespace-normalised form of a term used as the join key."""
+    return F.array_join(T.term_tokens(term), " ")
 
 
 # J1
-def candidate_pairs(vocab: DataFrame, expansion: DataFrame, relations: DataFrame | None = None,
-                    hot_rows: int = 100_000, salt_buckets: int = 64) -> DataFrame:
-    """Candidate pairs (w1 from ``vocab``, w2 from ``expansion``) that share a token,
-    minus self pairs and minus known relations in either order.
-
-    The all-against-all product of the reference is replaced by token blocking:
-    an equi join on shared whitespace tokens. Hot tokens (more than ``hot_rows``
-    vocabulary rows) are salted: the vocabulary side is spread over
-    ``salt_buckets`` sub-keys and only the hot tokens of the expansion side are
-    replicated, so no single task receives a whole hot group. The hot-token list
-    is bounded by ``rows / hot_rows`` entries, which is what makes it safe to
-    broadcast.
-    """
-    v = _term_tokens(vocab.select(F.col("term")).distinct(), "term", "w1")
-    e = _term_tokens(expansion.select(F.col("term")).distinct(), "term", "w2")
-    hot = (v.groupBy("tok").count().filter(F.col("count") > hot_rows)
-           .select("tok", F.lit(True).alias("_hot")))
-    v = (v.join(F.broadcast(hot), "tok", "left")
-         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("w1"), F.lit(salt_buckets))).otherwise(F.lit(0)))
-         .drop("_hot"))
-    e = (e.join(F.broadcast(hot), "tok", "left")
-         .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt_buckets - 1)))
-                                        .otherwise(F.array(F.lit(0)))))
-         .drop("_hot"))
-    pairs = v.join(e, ["tok", "_salt"]).select("w1", "w2").filter(F.col("w1") != F.col("w2")).distinct()
+def candidate_pairs(vocab: DataFrame, expansion: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs (w1 from ``vocab``, w2 from ``expansion``): the vocabulary
+    term is a proper contiguous sub-phrase of the expansion term (its head,
+    modifier or inner phrase), minus self pairs and minus known relations in
+    either order.
+
+    The reference pairs every vocabulary term with every expansion term. That
+    product is quadratic, and so is pairing every two terms that share a token
+    (a hot token would pair a third of the vocabulary with itself). Here each
+    expansion term emits only its own sub-phrases, a number fixed by its length,
+    and they meet the vocabulary in one equi join on the phrase: the work and
+    the output grow linearly with the input, whatever the key skew (a phrase
+    key matches at most one distinct vocabulary term)."""
+    v = vocab.select(F.col("term").alias("w1")).distinct().withColumn("_k", phrase_key(F.col("w1")))
+    e = (expansion.select(F.col("term").alias("w2")).distinct()
+         .select("w2", F.explode(F.array_distinct(sub_phrases(F.col("w2")))).alias("_k")))
+    pairs = e.join(v, "_k").select("w1", "w2").filter(F.col("w1") != F.col("w2"))
     if relations is not None:
         pairs = pair_in_collection(pairs, relations, directed=False, keep=False)
     return pairs

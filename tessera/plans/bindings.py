@@ -60,6 +60,13 @@ def terms(spark, d) -> DataFrame:
     return R.terms_from_lines(term_lines(spark, d))
 
 
+def vocabulary(spark, d) -> DataFrame:
+    """Vocabulary for candidate generation: every term and every word of a term."""
+    t = terms(spark, d)
+    words = t.select(F.explode(T.term_tokens(F.col("term"))).alias("term"))
+    return t.unionByName(words).distinct()
+
+
 def _file_of_type(col):
     expr = None
     for t, f in PAIR_FILE_OF_TYPE.items():

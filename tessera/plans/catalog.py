@@ -36,24 +36,21 @@ FEATURE_COLS = ["common_tokens", "same_last", "same_first", "same_count", "edit_
 
 
 def scored_candidates(spark, d) -> DataFrame:
-    t = B.terms(spark, d)
-    cands = P.candidate_pairs(t, t, B.relations(spark, d))
+    cands = P.candidate_pairs(B.vocabulary(spark, d), B.terms(spark, d), B.relations(spark, d))
     cands = cands.withColumn("t1", T.split_tokens("w1")).withColumn("t2", T.split_tokens("w2"))
     return FT.pair_token_features(cands).withColumn("score", FT.rule_score()).drop("t1", "t2")
 
 
 def top_candidates(spark: SparkSession, d: str, k: int = 500) -> DataFrame:
-    """Slice: terms -> token-blocked candidates minus relations -> F14-F19 ->
+    """Slice: terms -> sub-phrase candidates minus relations -> F14-F19 ->
     rule score -> unordered dedupe (first seen) -> top-k by score."""
     s = scored_candidates(spark, d).withColumn("seq", F.concat_ws("|", "w1", "w2"))
     dd = P.dedupe_results(s, "seq", FEATURE_COLS).drop("seq")
     return dd.orderBy(F.desc("score"), "w1", "w2").limit(k)
 
 
-_SCORED_SQL = with_("terms", "relations", extra=[
-    f"""tok AS (SELECT term, unnest(list_distinct({D.term_tokens('term')})) AS tok FROM terms)""",
-    """cand AS (SELECT DISTINCT a.term AS w1, b.term AS w2 FROM tok a JOIN tok b ON a.tok = b.tok WHERE a.term <> b.term)""",
-    """cand2 AS (SELECT c.* FROM cand c WHERE NOT EXISTS (SELECT 1 FROM relations r
+_SCORED_SQL = with_("candidates", "relations", extra=[
+    """cand2 AS (SELECT c.* FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM relations r
                WHERE least(r.w1, r.w2) = least(c.w1, c.w2) AND greatest(r.w1, r.w2) = greatest(c.w1, c.w2)))""",
     f"""toks AS (SELECT w1, w2, {D.split_tokens('w1')} AS t1, {D.split_tokens('w2')} AS t2 FROM cand2)""",
     """feats AS (SELECT w1, w2, len(list_intersect(t1, t2)) AS common_tokens,

@@ -125,7 +125,6 @@ def model_arms_non_heuristic(spark, d):
 @register("model_batch_scores")
 def model_batch_scores(spark, d):
     path = MD.fit_and_save(dataset(spark, d), MD.logistic(), MD.model_path(spark, "logistic_all"))
-    t = B.terms(spark, d)
-    cands = P.not_in_golden(P.candidate_pairs(t, t), B.golden(spark, d))
+    cands = P.not_in_golden(P.candidate_pairs(B.vocabulary(spark, d), B.terms(spark, d)), B.golden(spark, d))
     scored = MD.batch_score(feature_vectors(spark, d, cands), path)
     return scored.select("w1", "w2", "p_no", "p_yes", (F.col("prediction") == 1.0).alias("pred_yes"))

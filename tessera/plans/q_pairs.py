@@ -31,19 +31,13 @@ def golden_pairs(spark, d):
     return B.golden(spark, d)
 
 
-# Token-blocked candidates that are not golden pairs (either order)
-_CAND_SQL = [
-    f"tok AS (SELECT term, unnest(list_distinct({D.term_tokens('term')})) AS tok FROM terms)",
-    "cand AS (SELECT DISTINCT a.term AS w1, b.term AS w2 FROM tok a JOIN tok b ON a.tok = b.tok WHERE a.term <> b.term)",
-]
-
-
-@register("candidates_not_golden", with_("terms", "golden", extra=_CAND_SQL) + """
-    SELECT c.w1, c.w2 FROM cand c WHERE NOT EXISTS (SELECT 1 FROM golden g
+# J1 + J3: sub-phrase candidates that are not golden pairs (either order)
+@register("candidates_not_golden", with_("candidates", "golden") + """
+    SELECT c.w1, c.w2 FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM golden g
       WHERE least(g.w1, g.w2) = least(c.w1, c.w2) AND greatest(g.w1, g.w2) = greatest(c.w1, c.w2))""")
 def candidates_not_golden(spark, d):
-    t = B.terms(spark, d)
-    return P.not_in_golden(P.candidate_pairs(t, t), B.golden(spark, d))
+    cands = P.candidate_pairs(B.vocabulary(spark, d), B.terms(spark, d))
+    return P.not_in_golden(cands, B.golden(spark, d))
 
 
 # P1 + P3 + P4 + T15 over golden pairs

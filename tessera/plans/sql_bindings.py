@@ -16,6 +16,14 @@ ORDER_EXPR = _case("file", FILE_ORDER)
 
 CTES = {
     "terms": f"terms AS (SELECT DISTINCT {D.strip('p_name')} AS term FROM part)",
+    "vocabulary": f"""vocabulary AS (SELECT term FROM terms UNION SELECT unnest({D.term_tokens('term')}) FROM terms)""",
+    "candidates": f"""candidates AS (SELECT DISTINCT v.term AS w1, e.w2 FROM (
+          SELECT w2, unnest(list_distinct(CASE WHEN len(toks) >= 2 THEN flatten(list_transform(range(1, len(toks)),
+            lambda ln: list_transform(range(1, len(toks) - ln + 2), lambda st: array_to_string(toks[st:st + ln - 1], ' '))))
+            ELSE [] END)) AS k
+          FROM (SELECT DISTINCT term AS w2, {D.term_tokens('term')} AS toks FROM terms)) e
+        JOIN (SELECT DISTINCT term, array_to_string({D.term_tokens('term')}, ' ') AS k FROM vocabulary) v ON v.k = e.k
+        WHERE v.term <> e.w2)""",
     "pair_lines": f"""pair_lines AS (
         SELECT file, {ORDER_EXPR} AS file_order, line_no, value FROM (
           SELECT {FILE_EXPR} AS file, a.p_partkey AS line_no, a.p_name || ',' || b.p_name AS value
@@ -63,6 +71,8 @@ CTES = {
 }
 
 DEPS = {
+    "vocabulary": ["terms"],
+    "candidates": ["vocabulary", "terms"],
     "pair_rows": ["pair_lines"],
     "list_rows": ["list_lines"],
     "rel_rows": ["pair_rows", "list_rows"],

@@ -53,12 +53,24 @@ def test_canonical_symmetry(spark):
     assert P.pair_in_collection(a, b, directed=True, keep=True).count() == 0
 
 
-def test_candidates_salting_is_exact(spark):
-    terms = spark.createDataFrame([(f"hot w{i}",) for i in range(40)] + [("cold x",), ("cold y",)], "term string")
-    plain = P.candidate_pairs(terms, terms, hot_rows=10 ** 9)
-    salted = P.candidate_pairs(terms, terms, hot_rows=5, salt_buckets=4)
-    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, salted.collect()))
-    assert plain.count() == 40 * 39 + 2
+def test_candidates_are_sub_phrases(spark):
+    vocab = spark.createDataFrame([("assembler",), ("absolute assembler",), ("relocating",), ("unit test",), ("x y z",)],
+                                  "term string")
+    exp = spark.createDataFrame([("absolute assembler",), ("relocating  assembler",), ("unit test driver",), ("x y z",)],
+                                "term string")
+    got = sorted(map(tuple, P.candidate_pairs(vocab, exp).collect()))
+    assert got == [
+        ("assembler", "absolute assembler"), ("assembler", "relocating  assembler"),
+        ("relocating", "relocating  assembler"), ("unit test", "unit test driver")]
+    rel = spark.createDataFrame([("relocating  assembler", "relocating", "hyper")], "w1 string, w2 string, kind string")
+    assert P.candidate_pairs(vocab, exp, rel).count() == 3
+
+
+def test_candidate_count_is_linear_in_hot_tokens(spark):
+    # one token shared by every expansion term: output stays one row per term
+    exp = spark.createDataFrame([(f"hot w{i}",) for i in range(200)], "term string")
+    vocab = spark.createDataFrame([("hot",)], "term string")
+    assert P.candidate_pairs(vocab, exp).count() == 200
 
 
 def test_negatives_are_valid(spark):
