@@ -39,9 +39,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must already be set to a shared folder (HDFS/S3/...);
-    only when it is unset (local tests) is a scratch folder created."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    a machine-local folder would vanish with its executor, so an unset value
+    is an error there. Only a local-mode session (tests) gets a scratch folder."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
