@@ -28,7 +28,7 @@ def store_upsert(spark, d):
     e = _events(spark, d)
     old = e.filter(F.col("event_type") == "view").drop("event_type")
     new = e.filter(F.col("event_type") != "view").drop("event_type")
-    base = ST.upsert_last_wins(old.limit(0), old, ["key"], "version", "event_id")
+    base = ST.latest_per_key(old, ["key"], "version", "event_id")
     return ST.upsert_last_wins(base, new, ["key"], "version", "event_id")
 
 
@@ -42,7 +42,7 @@ def store_upsert(spark, d):
 def store_insert_if_absent(spark, d):
     e = _events(spark, d)
     views = e.filter(F.col("event_type") == "view").drop("event_type")
-    old = ST.upsert_last_wins(views.limit(0), views, ["key"], "version", "event_id")
+    old = ST.latest_per_key(views, ["key"], "version", "event_id")
     new = e.filter(F.col("event_type") == "purchase").drop("event_type")
     return ST.insert_if_absent(old, new, ["key"], "version", "event_id")
 

@@ -27,6 +27,19 @@ def upsert_last_wins(old: DataFrame, new: DataFrame, keys: list[str], version: s
     return agg.select(*keys, *[F.col("_last." + c).alias(c) for c in cols])
 
 
+def latest_per_key(df: DataFrame, keys: list[str], version: str = "version", tiebreak: str | None = None) -> DataFrame:
+    """A store built from scratch: the last row per key."""
+    cols = [c for c in df.columns if c not in keys]
+    agg = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), _order(version, tiebreak)).alias("_last"))
+    return agg.select(*keys, *[F.col("_last." + c).alias(c) for c in cols])
+
+
+# S7
+def rows_for_table(spark, path: str, cols: list[str]) -> DataFrame:
+    """Named columns of a stored table (the projection reaches the scan)."""
+    return spark.read.parquet(path).select(*cols)
+
+
 def first_per_key(df: DataFrame, keys: list[str], version: str = "version", tiebreak: str | None = None) -> DataFrame:
     cols = [c for c in df.columns if c not in keys]
     agg = df.groupBy(*keys).agg(F.min_by(F.struct(*cols), _order(version, tiebreak)).alias("_first"))

@@ -67,7 +67,7 @@ def test_stream_upsert_equals_batch_and_is_idempotent(spark):
     SU.upsert_stream(s, f"{tmp}/store", ["key"], "version", "event_id", f"{tmp}/ck").awaitTermination()
     got = sorted(tuple(r) for r in SU.read_store(spark, f"{tmp}/store", s.schema).collect())
     df = spark.createDataFrame(pdf)
-    batch = ST.upsert_last_wins(df.limit(0), df, ["key"], "version", "event_id")
+    batch = ST.latest_per_key(df, ["key"], "version", "event_id")
     assert got == sorted(tuple(r) for r in batch.select("key", "content", "version", "event_id").collect())
     again = ST.upsert_last_wins(batch, df, ["key"], "version", "event_id")
     assert sorted(tuple(r) for r in again.collect()) == sorted(tuple(r) for r in batch.collect())
