@@ -21,10 +21,7 @@ def upsert_last_wins(old: DataFrame, new: DataFrame, keys: list[str], version: s
                      tiebreak: str | None = None) -> DataFrame:
     """Union old and new rows and keep, per key, the row with the largest
     (version, tiebreak). Partial aggregation runs map-side."""
-    cols = [c for c in old.columns if c not in keys]
-    u = old.unionByName(new.select(*old.columns))
-    agg = u.groupBy(*keys).agg(F.max_by(F.struct(*cols), _order(version, tiebreak)).alias("_last"))
-    return agg.select(*keys, *[F.col("_last." + c).alias(c) for c in cols])
+    return latest_per_key(old.unionByName(new.select(*old.columns)), keys, version, tiebreak)
 
 
 def latest_per_key(df: DataFrame, keys: list[str], version: str = "version", tiebreak: str | None = None) -> DataFrame:
