@@ -128,3 +128,20 @@ def model_batch_scores(spark, d):
     cands = P.not_in_golden(P.candidate_pairs(B.vocabulary(spark, d), B.terms(spark, d)), B.golden(spark, d))
     scored = MD.batch_score(feature_vectors(spark, d, cands), path)
     return scored.select("w1", "w2", "p_no", "p_yes", (F.col("prediction") == 1.0).alias("pred_yes"))
+
+
+# 3.2 candidate classification end to end: scores -> unordered dedupe (first
+# seen) -> strictly-above-threshold fan-out counts and the top 500
+@register("classified_fanout")
+def classified_fanout(spark, d):
+    from ..operators import metrics as M
+    s = model_batch_scores(spark, d).withColumn("seq", F.concat_ws("|", "w1", "w2"))
+    dd = P.dedupe_results(s, "seq", ["p_yes"])
+    return M.threshold_fanout(dd, "p_yes").groupBy("threshold").agg(F.count(F.lit(1)).alias("n_above"))
+
+
+@register("classified_top_pairs")
+def classified_top_pairs(spark, d):
+    s = model_batch_scores(spark, d).withColumn("seq", F.concat_ws("|", "w1", "w2"))
+    dd = P.dedupe_results(s, "seq", ["p_yes"])
+    return dd.orderBy(F.desc("p_yes"), "seq").limit(500).select("w1", "w2", "p_yes")

@@ -13,6 +13,7 @@ from . import duck as D
 from .catalog import register
 from .q_eval import FOLDS_SQL, PRED_SQL, _conf_sql, _ratios_sql, eval_folds
 from .q_features import _bags_sql, _cosine_sql
+from .q_pages import _text_content as _tc
 from .sql_bindings import with_
 
 # Category white list (P7), shard count (O3), parts (O4), seeds.
@@ -219,3 +220,20 @@ def features_page_cosine(spark, d):
     p = FT.bag_cosine(g, FT.term_bags(paras), "para_cosine")
     lk = FT.bag_cosine(g, FT.term_bags(links), "link_cosine")
     return h.join(p, ["w1", "w2"]).join(lk, ["w1", "w2"])
+
+
+# 3.3 corpus collection, back half: each term's result pages -> paragraph
+# content as a JSON list -> store row per (source, query); a later page of the
+# same term replaces an earlier one (K6 last wins by page id)
+@register("corpus_store", with_("term_pages") + f"""
+    SELECT 'pages' AS source, term AS query, arg_max(content, page_id) AS content, max(page_id) AS version FROM (
+      SELECT term, page_id, to_json(list_transform(regexp_extract_all(html, {D.rx(r"(?is)<p\b[^>]*>(.*?)</p>")}, 1),
+        lambda x: {_tc('x')})) AS content
+      FROM term_pages WHERE html IS NOT NULL AND html <> '') GROUP BY term""")
+def corpus_store(spark, d):
+    from ..operators import extract as X
+    from ..sources import store as ST
+    tp = X.valid_pages(B.term_pages(spark, d))
+    rows = tp.select(F.lit("pages").alias("source"), F.col("term").alias("query"),
+                     F.to_json(X.paragraphs(F.col("html"))).alias("content"), F.col("page_id").alias("version"))
+    return ST.latest_per_key(rows, ["source", "query"], "version")
