@@ -11,7 +11,7 @@ from .sql_bindings import with_
 
 # Search templates (two slots or one) and the site used with them.
 TEMPLATES = ["what is {} in {}", "{} vs {}", "definition of {}"]
-SITE = "stackoverflow.com"
+SITE = "example.org"
 
 
 def _docs(spark, d):

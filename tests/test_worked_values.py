@@ -39,10 +39,10 @@ def test_split_keeps_empty_tokens(spark):
 
 
 def test_query_text(spark):
-    df = spark.createDataFrame([("what is {} in {}", ["taskboard", "agile"], "stackoverflow.com")],
+    df = spark.createDataFrame([("what is {} in {}", ["taskboard", "agile"], "example.org")],
                                "t string, terms array<string>, d string")
     got = df.select(T.query_text(F.col("t"), F.col("terms"), F.col("d")).alias("q")).first()["q"]
-    assert got == "what is taskboard in agile site:stackoverflow.com"
+    assert got == "what is taskboard in agile site:example.org"
 
 
 def test_stop_words(spark):
