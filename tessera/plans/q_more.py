@@ -237,3 +237,29 @@ def corpus_store(spark, d):
     rows = tp.select(F.lit("pages").alias("source"), F.col("term").alias("query"),
                      F.to_json(X.paragraphs(F.col("html"))).alias("content"), F.col("page_id").alias("version"))
     return ST.latest_per_key(rows, ["source", "query"], "version")
+
+
+# J1 over whole texts: vocabulary = every distinct word of the documents,
+# expansion = every distinct word bigram; each bigram meets its two words in one
+# equi join (linear in the corpus); reported as the number of phrases per word
+def _doc_words(spark, d):
+    docs = B.table(spark, d, "documents").select(F.lower("text").alias("text"))
+    return docs.select(F.regexp_extract_all("text", F.lit("[" + T.WORD + "]+"), F.lit(0)).alias("w"))
+
+
+@register("document_phrase_candidates", f"""
+    WITH w AS (SELECT regexp_extract_all(lower(text), {D.rx('[' + T.WORD + ']+')}) AS w FROM documents),
+    vocab AS (SELECT DISTINCT unnest(w) AS term FROM w),
+    bigrams AS (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w),
+    cand AS (SELECT v.term AS w1, b.term AS w2 FROM bigrams b JOIN vocab v ON v.term = split_part(b.term, ' ', 1)
+             UNION SELECT v.term, b.term FROM bigrams b JOIN vocab v ON v.term = split_part(b.term, ' ', 2))
+    SELECT w1 AS word, count(*) AS n_phrases FROM cand GROUP BY w1""")
+def document_phrase_candidates(spark, d):
+    w = _doc_words(spark, d)
+    vocab = w.select(F.explode("w").alias("term")).distinct()
+    n = F.size("w")
+    bigrams = w.select(F.explode(F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(
+        F.element_at("w", i), F.lit(" "), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>")))
+        .alias("term")).distinct()
+    cands = P.candidate_pairs(vocab, bigrams)
+    return cands.groupBy(F.col("w1").alias("word")).agg(F.count(F.lit(1)).alias("n_phrases"))
