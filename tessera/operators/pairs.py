@@ -151,7 +151,7 @@ def random_negatives(spark, vocab: DataFrame, golden: DataFrame, factor: int = 4
     """
     if n is None:
         n = golden.count()
-    idx = index_terms(vocab, seed).cache()
+    idx = index_terms(vocab, seed)
     v = idx.count()
     if n == 0 or v < 2:
         return spark.createDataFrame([], "draw long, w1 string, w2 string")
