@@ -32,7 +32,7 @@ def stream_upsert_events(spark, d):
                                        F.col("ts").alias("version"), "event_id")
     q = SU.upsert_stream(s, f"{base}/store", ["key"], "version", "event_id", f"{base}/checkpoint")
     q.awaitTermination()
-    return SU.read_store(spark, f"{base}/store", s.schema)
+    return SU.read_store(spark, f"{base}/store", s.schema, ["key"], "version", "event_id")
 
 
 # X2 (W5 as a stream)

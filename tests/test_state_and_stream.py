@@ -64,8 +64,9 @@ def test_stream_upsert_equals_batch_and_is_idempotent(spark):
         spark.createDataFrame(pdf.iloc[i::3]).coalesce(1).write.parquet(f"{tmp}/in/f{i}")
     schema = "key long, content string, version long, event_id long"
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp}/in")
-    SU.upsert_stream(s, f"{tmp}/store", ["key"], "version", "event_id", f"{tmp}/ck").awaitTermination()
-    got = sorted(tuple(r) for r in SU.read_store(spark, f"{tmp}/store", s.schema).collect())
+    SU.upsert_stream(s, f"{tmp}/store", ["key"], "version", "event_id", f"{tmp}/ck", compact_every=2).awaitTermination()
+    got = sorted(tuple(r) for r in SU.read_store(spark, f"{tmp}/store", s.schema, ["key"], "version", "event_id")
+                 .select("key", "content", "version", "event_id").collect())
     df = spark.createDataFrame(pdf)
     batch = ST.latest_per_key(df, ["key"], "version", "event_id")
     assert got == sorted(tuple(r) for r in batch.select("key", "content", "version", "event_id").collect())
