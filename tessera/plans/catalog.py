@@ -73,18 +73,13 @@ SELECT * FROM dd ORDER BY score DESC, w1, w2 LIMIT 500"""
 register("flagship_top_candidates", ORACLE_TOP)(top_candidates)
 
 
-def _load_all():
-    """Import the query modules so they register themselves."""
-    from . import q_text  # noqa: F401
-    from . import q_pages  # noqa: F401
-    from . import q_pairs  # noqa: F401
-    from . import q_eval  # noqa: F401
-    from . import q_features  # noqa: F401
-    from . import q_store  # noqa: F401
-    from . import q_models  # noqa: F401
-    from . import q_stems  # noqa: F401
-    from . import q_stream  # noqa: F401
-    from . import q_more  # noqa: F401
-
-
-_load_all()
+_LOADED = False
+
+
+def load() -> None:
+    """Import the query modules so they register themselves (once)."""
+    global _LOADED
+    if _LOADED:
+        return
+    from . import q_eval, q_features, q_models, q_more, q_pages, q_pairs, q_stems, q_store, q_stream, q_text  # noqa: F401
+    _LOADED = True

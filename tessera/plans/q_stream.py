@@ -11,6 +11,7 @@ from ..session import ensure_checkpoint_dir
 from ..streaming import credit as SC
 from ..streaming import upsert as SU
 from . import bindings as B
+from . import q_store  # noqa: F401  (registers the batch twins whose SQL is reused)
 from .catalog import ORACLE, register
 
 
