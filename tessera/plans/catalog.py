@@ -53,9 +53,9 @@ _SCORED_SQL = with_("candidates", "relations", extra=[
     """cand2 AS (SELECT c.* FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM relations r
                WHERE least(r.w1, r.w2) = least(c.w1, c.w2) AND greatest(r.w1, r.w2) = greatest(c.w1, c.w2)))""",
     f"""toks AS (SELECT w1, w2, {D.split_tokens('w1')} AS t1, {D.split_tokens('w2')} AS t2 FROM cand2)""",
-    """feats AS (SELECT w1, w2, len(list_intersect(t1, t2)) AS common_tokens,
+    """feats AS (SELECT w1, w2, CAST(len(list_intersect(t1, t2)) AS INTEGER) AS common_tokens,
                CAST(t1[-1] = t2[-1] AS INTEGER) AS same_last, CAST(t1[1] = t2[1] AS INTEGER) AS same_first,
-               CAST(len(t1) = len(t2) AS INTEGER) AS same_count, levenshtein(w1, w2) AS edit_distance,
+               CAST(len(t1) = len(t2) AS INTEGER) AS same_count, CAST(levenshtein(w1, w2) AS INTEGER) AS edit_distance,
                CAST(len(t1) = 1 AS INTEGER) + CAST(len(t2) = 1 AS INTEGER) AS single_sides FROM toks)""",
     """scored AS (SELECT *, ((2 * common_tokens + same_last + same_first + same_count) + 1.0 / (1 + edit_distance)) / 6.0 AS score
                FROM feats)""",

@@ -58,8 +58,9 @@ def _ratios_sql(src: str, keys: str) -> str:
 def _conf_sql(src: str, keys: str, pred: str = "pred_yes", truth: str = "truth_yes") -> str:
     k = f"{keys}, " if keys else ""
     g = f" GROUP BY {keys}" if keys else ""
-    return f"""(SELECT {k}count_if({pred} AND {truth}) AS tp, count_if({pred} AND NOT {truth}) AS fp,
-        count_if(NOT {pred} AND NOT {truth}) AS tn, count_if(NOT {pred} AND {truth}) AS fn FROM {src}{g})"""
+    return f"""(SELECT {k}CAST(count_if({pred} AND {truth}) AS BIGINT) AS tp, CAST(count_if({pred} AND NOT {truth}) AS BIGINT) AS fp,
+        CAST(count_if(NOT {pred} AND NOT {truth}) AS BIGINT) AS tn, CAST(count_if(NOT {pred} AND {truth}) AS BIGINT) AS fn
+        FROM {src}{g})"""
 
 
 # A7 + A8
@@ -111,13 +112,14 @@ def eval_fold_means(spark, d):
     hist AS (SELECT model, CASE WHEN score < 0 THEN -1 ELSE CAST(least(floor(score * 50.0 + 1e-9), 49) AS INTEGER) END AS b,
                     count_if(truth_yes) AS pos, count_if(NOT truth_yes) AS neg FROM pred GROUP BY 1, 2),
     tot AS (SELECT model, sum(pos) AS P, sum(neg) AS N FROM hist GROUP BY model),
-    grid AS (SELECT model, P, N, unnest(range(50)) AS i FROM tot),
+    grid AS (SELECT model, P, N, CAST(unnest(range(50)) AS INTEGER) AS i FROM tot),
     full_ AS (SELECT g.*, coalesce(h.pos, 0) AS pos, coalesce(h.neg, 0) AS neg FROM grid g
               LEFT JOIN hist h ON h.model = g.model AND h.b = g.i),
     cum AS (SELECT model, i, round(i * 0.02::DOUBLE, 2) AS threshold,
               sum(pos) OVER (PARTITION BY model ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS tp,
               sum(neg) OVER (PARTITION BY model ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS fp, P, N FROM full_),
-    c2 AS (SELECT model, i, threshold, tp, fp, N - fp AS tn, P - tp AS fn FROM cum)
+    c2 AS (SELECT model, i, threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(N - fp AS BIGINT) AS tn,
+               CAST(P - tp AS BIGINT) AS fn FROM cum)
     SELECT model, i, threshold, tp, fp, tn, fn,
       CASE WHEN tp + fn = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS recall,
       CASE WHEN tp + fp = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS precision FROM c2""")
@@ -228,7 +230,7 @@ _LOG_SQL = f"""{FOLDS_SQL},
       FROM (SELECT unnest(range(10)) AS f), (SELECT unnest([{', '.join(D.q(m) for m in MODELS)}]) AS m)),
     heads AS (SELECT *, sum(CAST(contains(value, '{LOG_HEADER}') AS INTEGER)) OVER (PARTITION BY file ORDER BY line_no
               ROWS UNBOUNDED PRECEDING) AS h FROM lines),
-    parsed AS (SELECT file, h - 1 AS fold, p[1] AS label, p[2] = 'Correct' AS correct,
+    parsed AS (SELECT file, CAST(h - 1 AS BIGINT) AS fold, p[1] AS label, p[2] = 'Correct' AS correct,
                  CAST(string_split(regexp_replace(p[3], '[\\[\\]]', '', 'g'), ' ')[1] AS DOUBLE) AS p_yes, p[4] AS w1, p[5] AS w2
                FROM (SELECT *, list_filter(string_split(value, chr(9)), lambda x: length(x) > 0) AS p FROM heads
                      WHERE NOT contains(value, '{LOG_HEADER}')) WHERE len(p) >= 5)"""

@@ -17,11 +17,11 @@ def _tok_sql(x):
 
 # F14-F19, F21, F24, F25 on raw tokens (split on whitespace or hyphen)
 @register("features_token", with_("golden") + f"""
-    SELECT w1, w2, len(list_intersect(t1, t2)) AS common_tokens, CAST(t1[-1] = t2[-1] AS INTEGER) AS same_last,
+    SELECT w1, w2, CAST(len(list_intersect(t1, t2)) AS INTEGER) AS common_tokens, CAST(t1[-1] = t2[-1] AS INTEGER) AS same_last,
       CAST(t1[1] = t2[1] AS INTEGER) AS same_first, CAST(len(t1) = len(t2) AS INTEGER) AS same_count,
-      levenshtein(w1, w2) AS edit_distance, CAST(len(t1) = 1 AS INTEGER) + CAST(len(t2) = 1 AS INTEGER) AS single_sides,
-      CASE WHEN n = 0 THEN 0 ELSE len(list_filter(range(1, n + 1), lambda i: left(ra, i) = left(rb, i))) END AS suffix_len,
-      len(t1) AS n_tokens_1, len(t2) AS n_tokens_2
+      CAST(levenshtein(w1, w2) AS INTEGER) AS edit_distance, CAST(len(t1) = 1 AS INTEGER) + CAST(len(t2) = 1 AS INTEGER) AS single_sides,
+      CAST(CASE WHEN n = 0 THEN 0 ELSE len(list_filter(range(1, n + 1), lambda i: left(ra, i) = left(rb, i))) END AS INTEGER) AS suffix_len,
+      CAST(len(t1) AS INTEGER) AS n_tokens_1, CAST(len(t2) AS INTEGER) AS n_tokens_2
     FROM (SELECT *, least(length(ra), length(rb), 5) AS n FROM (
       SELECT w1, w2, {_tok_sql('w1')} AS t1, {_tok_sql('w2')} AS t2,
         reverse(coalesce({D.term_tokens('w1')}[-1], '')) AS ra, reverse(coalesce({D.term_tokens('w2')}[-1], '')) AS rb
@@ -37,7 +37,7 @@ def features_token(spark, d):
 # F8, F9, F12, F13 + J8: each term against the other side's definition
 def _count_sql(term, text):
     pat = f"'(?i)[{T.WS}]+\\Q' || {term} || '\\E[{T.WS}]'"
-    return f"len(regexp_extract_all(coalesce({text}, ''), {pat}))"
+    return f"CAST(len(regexp_extract_all(coalesce({text}, ''), {pat})) AS INTEGER)"
 
 
 def _see_also_sql(term, text):

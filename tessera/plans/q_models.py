@@ -65,7 +65,7 @@ def label_codec(spark, d):
 
 # C2 + C3 + C5 + C6: codes and named feature map of every labelled pair
 @register("label_coding", _LP_SQL + """
-    SELECT key, label, idx, oh AS one_hot, CAST(list_position(oh, 1) - 1 AS INTEGER) AS decoded, len(features) AS vec_len,
+    SELECT key, label, idx, oh AS one_hot, CAST(list_position(oh, 1) - 1 AS INTEGER) AS decoded, CAST(len(features) AS INTEGER) AS vec_len,
       CAST(list_position(oh, list_max(oh)) - 1 AS INTEGER) AS argmax, features[-1] AS last_feature
     FROM (SELECT ds.*, c.idx, list_transform(range(2), lambda k: CASE WHEN k = c.idx THEN 1 ELSE 0 END) AS oh
           FROM ds JOIN codec c ON c.label = ds.label)""")
@@ -97,8 +97,9 @@ for _name in ("logistic", "forest", "mlp", "svm_rff"):
 @register("model_folds_random", _LP_SQL + """
     , pr AS (SELECT fold, label = 'yes' AS truth_yes,
           (""" + D.md5_int("md5('guess|' || key)") + """ % 100) + 1 < 50 AS pred_yes FROM ds),
-    cf AS (SELECT fold, count_if(pred_yes AND truth_yes) AS tp, count_if(pred_yes AND NOT truth_yes) AS fp,
-        count_if(NOT pred_yes AND NOT truth_yes) AS tn, count_if(NOT pred_yes AND truth_yes) AS fn FROM pr GROUP BY fold),
+    cf AS (SELECT fold, CAST(count_if(pred_yes AND truth_yes) AS BIGINT) AS tp, CAST(count_if(pred_yes AND NOT truth_yes) AS BIGINT) AS fp,
+        CAST(count_if(NOT pred_yes AND NOT truth_yes) AS BIGINT) AS tn, CAST(count_if(NOT pred_yes AND truth_yes) AS BIGINT) AS fn
+        FROM pr GROUP BY fold),
     rp AS (SELECT *, CASE WHEN tp + fn = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS recall,
                      CASE WHEN tp + fp = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS precision FROM cf)
     SELECT fold, tp, fp, tn, fn, recall, precision,

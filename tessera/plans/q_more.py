@@ -67,7 +67,7 @@ def _any(conds):
     , packs AS (SELECT term, count(*) AS n_docs, sum(length(text)) AS n_chars, count(DISTINCT source) AS n_sources
                 FROM term_documents GROUP BY term)
     SELECT g.w1, g.w2, coalesce(a.n_docs, 0) AS n_docs_1, coalesce(b.n_docs, 0) AS n_docs_2,
-      coalesce(a.n_chars, 0) AS n_chars_1, coalesce(b.n_chars, 0) AS n_chars_2,
+      CAST(coalesce(a.n_chars, 0) AS BIGINT) AS n_chars_1, CAST(coalesce(b.n_chars, 0) AS BIGINT) AS n_chars_2,
       coalesce(a.n_sources, 0) AS n_sources_1, coalesce(b.n_sources, 0) AS n_sources_2
     FROM golden g LEFT JOIN packs a ON a.term = g.w1 LEFT JOIN packs b ON b.term = g.w2""")
 def pair_document_packs(spark, d):
@@ -226,7 +226,7 @@ def features_page_cosine(spark, d):
 # content as a JSON list -> store row per (source, query); a later page of the
 # same term replaces an earlier one (K6 last wins by page id)
 @register("corpus_store", with_("term_pages") + f"""
-    SELECT 'pages' AS source, term AS query, arg_max(content, page_id) AS content, max(page_id) AS version FROM (
+    SELECT 'pages' AS source, term AS query, CAST(arg_max(content, page_id) AS VARCHAR) AS content, max(page_id) AS version FROM (
       SELECT term, page_id, to_json(list_transform(regexp_extract_all(html, {D.rx(r"(?is)<p\b[^>]*>(.*?)</p>")}, 1),
         lambda x: {_tc('x')})) AS content
       FROM term_pages WHERE html IS NOT NULL AND html <> '') GROUP BY term""")

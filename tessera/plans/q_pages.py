@@ -23,7 +23,7 @@ def _pages(spark, d):
 
 _PARA_SQL = f"""para AS (
     SELECT page_id, pos, raw, {_text_content('raw')} AS text FROM (
-      SELECT page_id, unnest(ps) AS raw, unnest(range(len(ps))) AS pos
+      SELECT page_id, unnest(ps) AS raw, CAST(unnest(range(len(ps))) AS INTEGER) AS pos
       FROM (SELECT page_id, regexp_extract_all(html, {D.rx(X.PARAGRAPH)}, 1) AS ps
             FROM pages WHERE html IS NOT NULL AND html <> '')))"""
 
@@ -41,7 +41,7 @@ def pages_paragraphs(spark, d):
 
 
 # H8
-@register("pages_anchors", f"""SELECT page_id, unnest(range(len(h))) AS pos, unnest(list_transform(t, lambda x: {_text_content('x')})) AS text,
+@register("pages_anchors", f"""SELECT page_id, CAST(unnest(range(len(h))) AS INTEGER) AS pos, unnest(list_transform(t, lambda x: {_text_content('x')})) AS text,
     unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, {D.rx(X.ANCHOR)}, 1) AS h,
     regexp_extract_all(html, {D.rx(X.ANCHOR)}, 2) AS t FROM pages WHERE html IS NOT NULL AND html <> '')""")
 def pages_anchors(spark, d):
@@ -87,7 +87,7 @@ def pages_records(spark, d):
     b AS (SELECT *, CAST(starts_with(raw, '<b>') AS INTEGER) AS t,
           sum(CAST(starts_with(raw, '<b>') AS INTEGER)) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS block
           FROM para)
-    SELECT page_id, block, {D.glossary_clean('arg_min(text, pos)')} AS term,
+    SELECT page_id, CAST(block AS BIGINT) AS block, {D.glossary_clean('arg_min(text, pos)')} AS term,
       {D.glossary_clean("coalesce(string_agg(CASE WHEN t = 0 THEN text END, ' ' ORDER BY pos), '')")} AS definition
     FROM b WHERE block > 0 GROUP BY page_id, block""")
 def pages_glossary_blocks(spark, d):
@@ -158,7 +158,7 @@ TITLE_PREFIX = 11
     f"{_rule_sql(r)} AS {r.field}" for r in SITE_RULES if r.field not in ("encyc_definition", "encyc_title"))
     + ", " + D.replace_all(_rule_sql(SITE_RULES[2]), "(?s)\n{4}.*$", "") + " AS encyc_definition"
     + f", trim(substring({_rule_sql(SITE_RULES[3])}, {TITLE_PREFIX + 1}, 1073741824)) AS encyc_title"
-    + f", len(regexp_extract_all(html, {D.rx(X.RELATED_DIV)}, 1)) AS n_related_blocks"
+    + f", CAST(len(regexp_extract_all(html, {D.rx(X.RELATED_DIV)}, 1)) AS INTEGER) AS n_related_blocks"
     + " FROM pages WHERE html IS NOT NULL AND html <> ''")
 def pages_site_rules(spark, d):
     p = _pages(spark, d)

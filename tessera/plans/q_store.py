@@ -57,14 +57,14 @@ def events_props_decode(spark, d):
 
 # S5 + A6: content of each term per source (documents linked by part key)
 @register("term_source_content", with_("term_documents") + """
-    SELECT term, source, count(*) AS n_docs, sum(length(text)) AS n_chars FROM term_documents GROUP BY term, source""")
+    SELECT term, source, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM term_documents GROUP BY term, source""")
 def term_source_content(spark, d):
     return ST.content_per_source(B.term_documents(spark, d))
 
 
 # A6 second form: questions / answers per term flattened from conversation turns
 @register("term_qa_counts", with_("term_turns") + """
-    SELECT term, count_if(role = 'user') AS n_questions, count_if(role = 'assistant') AS n_answers,
+    SELECT term, CAST(count_if(role = 'user') AS BIGINT) AS n_questions, CAST(count_if(role = 'assistant') AS BIGINT) AS n_answers,
       count(DISTINCT conv_id) AS n_conversations FROM term_turns GROUP BY term""")
 def term_qa_counts(spark, d):
     t = B.term_turns(spark, d)
@@ -75,7 +75,7 @@ def term_qa_counts(spark, d):
 
 # Definitions imported into the store as JSON content (one record per term)
 @register("definitions_store", with_("definitions") + """
-    SELECT term AS key, to_json([{'term': term, 'definition': definition}]) AS content FROM definitions""")
+    SELECT term AS key, CAST(to_json([{'term': term, 'definition': definition}]) AS VARCHAR) AS content FROM definitions""")
 def definitions_store(spark, d):
     defs = B.definitions(spark, d)
     return defs.select(F.col("term").alias("key"), ST.to_json_list("term", "definition").alias("content"))
@@ -83,7 +83,7 @@ def definitions_store(spark, d):
 
 # Page record with distinct link texts as categories and the first paragraph as summary
 @register("page_category_records", f"""
-    SELECT page_id, len(c) AS n_categories, array_to_string(c, '|') AS categories, summary FROM (
+    SELECT page_id, CAST(len(c) AS INTEGER) AS n_categories, array_to_string(c, '|') AS categories, summary FROM (
       SELECT page_id,
         list_sort(list_distinct(list_transform(regexp_extract_all(html, {D.rx(X.ANCHOR)}, 2), lambda x: {_tc('x')}))) AS c,
         coalesce(list_transform(regexp_extract_all(html, {D.rx(X.PARAGRAPH)}, 1), lambda x: {_tc('x')})[1], '') AS summary

@@ -41,7 +41,8 @@ _simple("text_extract_ipv4", T.extract_ipv4, lambda x: f"regexp_extract({x}, {D.
 
 
 # Token split keeps empty tokens
-@register("text_split_tokens", f"""SELECT doc_id, len(toks) AS n_tokens, len(list_filter(toks, lambda t: t = '')) AS n_empty
+@register("text_split_tokens", f"""SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens,
+    CAST(len(list_filter(toks, lambda t: t = '')) AS INTEGER) AS n_empty
     FROM (SELECT doc_id, {D.split_tokens('text')} AS toks FROM documents)""")
 def text_split_tokens(spark, d):
     toks = T.split_tokens(F.col("text"))
