@@ -55,3 +55,26 @@ def compare(spark_df, con, sql: str) -> tuple[bool, str]:
         only_d = sorted(set(ld) - set(ls))[:2]
         return False, f"rows spark={len(srows)} duck={len(drows)} spark-only={only_s} duck-only={only_d}"
     return True, f"{len(srows)} rows"
+
+
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT", "smallint": "SMALLINT",
+                 "tinyint": "TINYINT", "date": "DATE"}
+
+
+def spark_type_name(t: str) -> str:
+    if t.startswith("array<") and t.endswith(">"):
+        return spark_type_name(t[6:-1]) + "[]"
+    return SPARK_TO_DUCK.get(t, t.upper())
+
+
+def type_mismatches(spark_df, con, sql: str) -> list[str]:
+    """Columns whose Spark type and oracle type differ (naive timestamps are equal)."""
+    rel = con.sql(sql)
+    duck = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    out = []
+    for f in spark_df.schema.fields:
+        s = spark_type_name(f.dataType.simpleString())
+        if duck.get(f.name) != s:
+            out.append(f"{f.name}: spark={s} oracle={duck.get(f.name)}")
+    return out

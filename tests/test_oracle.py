@@ -3,7 +3,7 @@ queries without one must at least run and keep a stable schema."""
 import pytest
 
 import __spark_entry__ as E
-from tessera.plans.oracle import compare, duck_connection
+from tessera.plans.oracle import compare, duck_connection, type_mismatches
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"model_folds_mlp", "model_folds_svm_rff", "model_folds_forest", "model_arms_non_heuristic"}
@@ -16,8 +16,10 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_matches_oracle(spark, con, name):
-    ok, msg = compare(E.queries()[name](spark, SF), con, E.oracle_sql()[name])
+    df = E.queries()[name](spark, SF)
+    ok, msg = compare(df, con, E.oracle_sql()[name])
     assert ok, msg
+    assert type_mismatches(df, con, E.oracle_sql()[name]) == []
 
 
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql()) - SLOW))
