@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import folds as O
 from ..operators import metrics as M
 from ..operators import pairs as P
-from ..operators.rank import blocked_cumsum, md5_int
+from ..operators.rank import blocked_cumsum, global_rank, md5_bucket, md5_int
 from . import duck as D
 from . import bindings as B
 from .catalog import _SCORED_SQL, register, scored_candidates
@@ -190,7 +190,6 @@ def prediction_log(spark, d):
     pf = predictions(spark, d).join(O.ten_folds(B.table(spark, d, "labels").select("doc_id"), ["doc_id"],
                                                 seed=FOLD_SEED), "doc_id")
     pf = pf.withColumn("_h", F.md5(F.concat_ws("|", F.lit(FOLD_SEED), F.col("doc_id").cast("string"))))
-    from ..operators.rank import global_rank, md5_bucket
     ranked = global_rank(pf, ["_h"], md5_bucket(F.col("_h")), "rank", partition_by=["model"])
     size_ = B.table(spark, d, "labels").count() // 10
     rows = ranked.select(F.col("model").alias("file"),
