@@ -35,16 +35,28 @@ FILE_ORDER = {"synonym": 1, "contrast": 2, "related": 3, "hyper": 4}
 TEXT_TABLES = {"documents", "pages", "conversations"}
 
 
+# Compressed input bytes per task worth spreading for regex-heavy text work.
+SPREAD_BYTES_PER_TASK = 1 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition only when the scan yields fewer partitions than
-    the default parallelism (e.g. one large row group). Large inputs already
-    have enough splits and are left alone, so no 100 TB shuffle is added."""
+    """Round-robin repartition when the scan yields fewer partitions than its
+    size calls for (e.g. one large row group): target = input bytes / 1 MB,
+    at most the default parallelism. Large inputs already have enough splits
+    and small ones need none, so no shuffle is added in either case."""
     try:
-        par = df.sparkSession.sparkContext.defaultParallelism
+        sc = df.sparkSession.sparkContext
         n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the scan as it is
+        jvm = sc._jvm
+        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        total = 0
+        for f in df.inputFiles():
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    except Exception:  # noqa: BLE001 - no RDD / file view (e.g. a remote session): leave the scan as it is
         return df
-    return df.repartition(par) if n < par else df
+    target = max(1, min(sc.defaultParallelism, -(-total // SPREAD_BYTES_PER_TASK)))
+    return df.repartition(target) if n < target else df
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
