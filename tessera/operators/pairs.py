@@ -155,18 +155,32 @@ def random_negatives(spark, vocab: DataFrame, golden: DataFrame, factor: int = 4
     v = idx.count()
     if n == 0 or v < 2:
         return spark.createDataFrame([], "draw long, w1 string, w2 string")
-    total = n * factor
-    draws = (spark.range(total).withColumnRenamed("id", "draw")
-             .withColumn("i1", draw_index(F.col("draw"), "a", v, seed))
-             .withColumn("i2", draw_index(F.col("draw"), "b", v, seed)))
     a = idx.select(F.col("idx").alias("i1"), F.col("term").alias("w1"))
     b = idx.select(F.col("idx").alias("i2"), F.col("term").alias("w2"))
-    pairs = draws.join(a, "i1").join(b, "i2").select("draw", "w1", "w2").filter(F.col("w1") != F.col("w2"))
-    if drop_heuristic:
-        pairs = pairs.filter(~same_first_or_last_token(F.col("w1"), F.col("w2")))
-    pairs = not_in_golden(pairs, golden)
+
+    def valid_draws(total: int) -> DataFrame:
+        draws = (spark.range(total).withColumnRenamed("id", "draw")
+                 .withColumn("i1", draw_index(F.col("draw"), "a", v, seed))
+                 .withColumn("i2", draw_index(F.col("draw"), "b", v, seed)))
+        pairs = draws.join(a, "i1").join(b, "i2").select("draw", "w1", "w2").filter(F.col("w1") != F.col("w2"))
+        if drop_heuristic:
+            pairs = pairs.filter(~same_first_or_last_token(F.col("w1"), F.col("w2")))
+        return not_in_golden(pairs, golden)
+
+    # Draw ids are stable, so a larger draw keeps every earlier draw: when too
+    # few draws survive the filters, draw more (doubling) instead of returning
+    # fewer negatives; the loop ends once n are found or draws stop adding any.
+    total = n * factor
+    pairs = valid_draws(total)
+    found = pairs.count()
+    while found < n:
+        more = valid_draws(total * 2)
+        got = more.count()
+        if got == found:
+            break
+        total, pairs, found = total * 2, more, got
     block = max(1, total // (1 << 16) + 1)
-    ranked = global_rank(pairs, ["draw"], (F.col("draw") / F.lit(block)).cast("long"), "_r")
+    ranked = global_rank(pairs, ["draw"], F.floor(F.col("draw") / F.lit(block)), "_r")
     return ranked.filter(F.col("_r") < n).drop("_r")
 
 
