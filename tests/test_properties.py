@@ -87,3 +87,13 @@ def test_stem_tokens_matches_helper(spark):
     got = {r.term: r.stems for r in stem_tokens(df, "term", "term").collect()}
     assert got == {"relational databases": [porter("relational"), porter("databases")],
                    "hopping-mad": [porter("hopping"), porter("mad")]}
+
+
+def test_negatives_top_up_when_first_draws_fall_short(spark):
+    vocab = spark.createDataFrame([(f"t{i}",) for i in range(4)], "term string")
+    golden = spark.createDataFrame([("t0", "t1"), ("t1", "t2"), ("t2", "t3"), ("t0", "t2"), ("t1", "t3")],
+                                   "w1 string, w2 string")
+    # only (t0, t3) in either order is a valid negative, and one draw per golden pair is not enough
+    neg = P.random_negatives(spark, vocab, golden, factor=1)
+    rows = neg.collect()
+    assert len(rows) == 5 and all({r.w1, r.w2} == {"t0", "t3"} for r in rows)
