@@ -172,16 +172,16 @@ def random_negatives(spark, vocab: DataFrame, golden: DataFrame, factor: int = 4
     # fewer negatives. A valid ordered pair has probability >= 2 / V^2 when one
     # exists, so n * V^2 * 4 draws find n of them with near certainty; the loop
     # stops there, or at once when no valid pair can exist.
-    if not drop_heuristic:
+    total = n * factor
+    pairs = valid_draws(total)
+    found = pairs.count()
+    if found < n and not drop_heuristic:
         gk = canonical(golden).filter(F.col("k1") != F.col("k2")).select("k1", "k2").distinct()
         gk = gk.join(idx.select(F.col("term").alias("k1")), "k1", "left_semi").join(
             idx.select(F.col("term").alias("k2")), "k2", "left_semi")
         if v * (v - 1) // 2 - gk.count() <= 0:
             return spark.createDataFrame([], "draw long, w1 string, w2 string")
-    total = n * factor
     cap = max(total, n * v * v * 4)
-    pairs = valid_draws(total)
-    found = pairs.count()
     while found < n and total < cap:
         total = min(total * 2, cap)
         pairs = valid_draws(total)
