@@ -38,11 +38,16 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-HUGE = 1 << 15  # characters from which a text is encoded in overlapping chunks
-CHUNK, OVERLAP, AGREE = 1 << 14, 1 << 9, 3
+HUGE = 1 << 16  # characters from which a text is encoded in overlapping chunks
+CHUNK, OVERLAP, AGREE = 1 << 15, 1 << 9, 3
 MEMO = 1 << 18  # pieces kept per generation; two generations are held
 
 _CUT = re.compile(r"(?<=\S) ")
+# Letters in every Unicode version: a piece of these alone is a single pre-token.
+_LETTERS = 0x250
+# Byte-level alphabet by rule: printable bytes stand for themselves, the others follow from U+0100 on.
+_PRINTABLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 
 class Counter:
@@ -53,15 +58,27 @@ class Counter:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.byte_level = isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and self.tokenizer.normalizer is None
         self.new: dict[str, int] = {}
         self.old: dict[str, int] = {}
 
     def lengths(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Token counts of pieces; a piece that is a single pre-token goes straight to the model."""
+        out, rest, merge = [0] * len(texts), [], self.tokenizer.model.tokenize
+        for i, t in enumerate(texts):
+            word = t[1:] if t[:1] == " " else t
+            if self.byte_level and word.isalpha() and max(word) < chr(_LETTERS):
+                out[i] = len(merge(t.encode().decode("latin-1").translate(_BYTES)))
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = len(e)
+        return out
 
     def counts(self, texts: list[str]) -> list[int]:
         """Token counts of texts of ordinary length."""
@@ -82,61 +99,60 @@ class Counter:
         of = self.new.__getitem__
         return [sum(map(of, p)) for p in pieces]
 
-    def _encode(self, text: str) -> tuple[list[int | None], list[int]]:
-        """Word id and start of each token."""
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        return e.word_ids, [a for a, _ in e.offsets]
+    def _encode(self, text: str):
+        return self.tokenizer.encode(text, add_special_tokens=False)
 
     @staticmethod
-    def _starts(words: list, starts: list[int], base: int) -> dict[int, int]:
-        """Start position of each pre-token -> index of its first token; positions are those of the whole text."""
-        found: dict[int, int] = {}
-        for i, (w, s) in enumerate(zip(words, starts, strict=True)):
-            if w is not None and (i == 0 or w != words[i - 1]):
-                found.setdefault(base + s, i)
+    def _starts(encoding, base: int, low: int, high: int) -> list[tuple[int, int]]:
+        """(start position in the whole text, token index) of the pre-tokens that start in [low, high), in order."""
+        n = len(encoding)
+        at = lambda i: base + encoding.token_to_chars(i)[0]
+        lo, hi = 0, n
+        while lo < hi:  # token starts ascend
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if at(mid) < low else (lo, mid)
+        found: list[tuple[int, int]] = []
+        for i in range(lo, n):
+            p = at(i)
+            if p >= high:
+                break
+            word = encoding.token_to_word(i)
+            if word is not None and (i == 0 or word != encoding.token_to_word(i - 1)) and (not found or found[-1][0] != p):
+                found.append((p, i))
         return found
 
     def huge(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
         """Tokens of a long text from overlapping chunks spliced at proven boundaries."""
         total, base, end = 0, 0, min(len(text), chunk)
-        words, starts = self._encode(text[base:end])
+        left = self._encode(text[base:end])
         first = 0  # index of the first token of the current chunk that counts
+        wide = overlap
         while end < len(text):
-            wide = overlap
-            while True:
-                begin, stop = max(base, end - wide), min(len(text), end - min(wide, end - base) + chunk + wide)
-                right_words, right_starts = self._encode(text[begin:stop])
-                at = self._splice(self._starts(words, starts, base), self._starts(right_words, right_starts, begin), begin, end, first)
-                if at is not None:
-                    total += at[0] - first
-                    first, words, starts, base, end = at[1], right_words, right_starts, begin, stop
-                    break
-                if begin == base or stop == len(text):
-                    # No boundary in the whole chunk: grow the left chunk instead.
-                    end = min(len(text), end + 4 * chunk)
-                    words, starts = self._encode(text[base:end])
-                    if end == len(text):
-                        return total + len(words) - first
-                    wide = overlap
-                    continue
+            begin = end - wide
+            if begin <= base:
+                # No boundary in the whole chunk: the chunk itself grows.
+                end, wide = min(len(text), end + 4 * (end - base)), overlap
+                left = self._encode(text[base:end])
+                continue
+            stop = min(len(text), begin + chunk + wide)
+            right = self._encode(text[begin:stop])
+            at = self._splice(self._starts(left, base, begin + 1, end), self._starts(right, begin, begin + 1, end), first)
+            if at is None:
                 wide *= 4
-        return total + len(words) - first
+                continue
+            total += at[0] - first
+            first, left, base, end, wide = at[1], right, begin, stop, overlap
+        return total + len(left) - first
 
     @staticmethod
-    def _splice(left: dict[int, int], right: dict[int, int], begin: int, end: int, first: int) -> tuple[int, int] | None:
+    def _splice(left: list[tuple[int, int]], right: list[tuple[int, int]], first: int) -> tuple[int, int] | None:
         """(left token index, right token index) at the last proven common boundary of an overlap."""
-        a = [p for p in sorted(left) if p > begin and left[p] > first]
-        trusted = a[:-2]  # the last pre-tokens may be shaped by the cut end
-        place = {p: i for i, p in enumerate(a)}
-        b = sorted(right)
-        index = {p: i for i, p in enumerate(b)}
-        for p in reversed(trusted):
-            i, j = place[p], index.get(p)
-            if j is None or j == 0:
-                continue
-            run = a[i:i + AGREE]
-            if len(run) == AGREE and run == b[j:j + AGREE] and run[-1] < end:
-                return left[p], right[p]
+        place = {p: j for j, (p, _) in enumerate(right)}
+        # The last two pre-tokens may be shaped by the cut end.
+        for i in range(len(left) - 2 - AGREE, -1, -1):
+            j = place.get(left[i][0])
+            if j is not None and left[i][1] > first and [p for p, _ in left[i:i + AGREE]] == [p for p, _ in right[j:j + AGREE]]:
+                return left[i][1], right[j][1]
         return None
 
 
