@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality, token_counts
+from . import exact_dedup, mixing, quality, secrets, spans, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,3 +53,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality.score_documents(docs, model)
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@register("op1_secrets")
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [secrets.counted(F.col("base_secrets"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, spans.digest(F.col("base_secrets")).alias("base_sha256"),
+                        spans.joined(F.col("secrets")).alias("spans"))
