@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality, secrets, spans, token_counts
+from . import exact_dedup, mixing, pii, quality, secrets, spans, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,3 +61,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [secrets.counted(F.col("base_secrets"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, spans.digest(F.col("base_secrets")).alias("base_sha256"),
                         spans.joined(F.col("secrets")).alias("spans"))
+
+
+@register("op5_private")
+def op5_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [secrets.counted(F.col("base_private"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, spans.digest(F.col("base_private")).alias("base_sha256"),
+                        spans.joined(F.col("private")).alias("spans"))
