@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pii, quality, secrets, spans, token_counts
+from . import ann, exact_dedup, mixing, pii, quality, secrets, spans, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,3 +69,9 @@ def op5_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [secrets.counted(F.col("base_private"), k).alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, spans.digest(F.col("base_private")).alias("base_sha256"),
                         spans.joined(F.col("private")).alias("spans"))
+
+
+@register("op7_nearest")
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, F.col("vec_id") % 100 == 0)
