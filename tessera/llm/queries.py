@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, mixing, pii, quality, secrets, spans, token_counts
+from . import ann, exact_dedup, jaccard, mixing, pii, quality, secrets, spans, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -75,3 +75,8 @@ def op5_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
+@register("op9_ngram_join")
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
