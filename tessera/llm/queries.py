@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, jaccard, mixing, pii, quality, secrets, spans, token_counts
+from . import ann, exact_dedup, html_text, jaccard, mixing, pii, quality, secrets, spans, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -80,3 +80,9 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_ngram_join")
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
+
+
+@register("op8_html_text")
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract_text(pages, html_text.train_labeller(pages))
