@@ -4,22 +4,48 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``documents``."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing
-from tessera.llm.common import materialise
+from tessera.llm import exact_dedup, jaccard, mixing, pieces, quality
+from tessera.llm.common import checked_broadcast, materialise
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from the labels of the documents at hand."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score_documents(docs, model).filter("predicted = 1").select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.mark_duplicates(docs).filter("kept").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each component of similar texts (5-word shingles, similarity 0.8)."""
+    found = jaccard.near_duplicates(docs)
+    gone = materialise(found.filter("doc_id <> component_id").select("doc_id"), "near_copies")
+    return docs.join(checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Source mixing: a document appears as often as the mix takes it."""
     mixed = mixing.mix_sources(docs).filter(F.col("copies") > 0)
     return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).drop("_copy")
 
 
-STAGES = [("mix", mix)]
+def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of each document, as piece ids."""
+    out = pieces.encode_samples(docs, public_tokenizers.path("piece_bpe_32k.model"), carry=["doc_id", "lang", "source"])
+    return out.select("doc_id", "lang", "source", "samples")
+
+
+STAGES = [("quality", keep_quality), ("exact_dedup", drop_copies), ("near_duplicates", drop_near_copies), ("mixing", mix_sources),
+          ("pieces", sample_pieces)]
 
-# Learned scores and sampled segmentations have no SQL form; tests compare the run with a brute-force version.
+# Learned scores and sampled segmentations have no SQL form; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 

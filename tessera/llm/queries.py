@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_text, jaccard, mixing, pii, quality, secrets, spans, token_counts
+from . import ann, exact_dedup, html_text, jaccard, mixing, pieces, pii, quality, secrets, spans, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -86,3 +86,14 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_text.extract_text(pages, html_text.train_labeller(pages))
+
+
+@register("op4_sample_pieces")
+def op4_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and sample, by falling perturbed score."""
+    import public_tokenizers
+
+    out = pieces.encode_samples(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), carry=["doc_id"])
+    one = out.select("doc_id", F.posexplode("samples").alias("sample", "s"))
+    return one.select("doc_id", "sample", F.size("s.ids").cast("long").alias("n_pieces"), F.xxhash64("s.ids").alias("ids_hash"),
+                      "s.log_prob", "s.perturbed", "s.log_inclusion")
