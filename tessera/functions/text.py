@@ -163,7 +163,7 @@ def cut_after_blank_lines(col, n: int = 4) -> Column:
 
 # T12
 def strip_prefix(col, n: int) -> Column:
-    return F.trim(F.substring(_c(col), n + 1, 1 << 30))
+    return F.trim(F.substring(_c(col), F.lit(n + 1), F.length(_c(col))))
 
 
 # T13

@@ -17,7 +17,10 @@ from ..functions import text as T
 # HTML entities decoded in text content (ampersand last).
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
             ("&amp;", "&")]
-PARAGRAPH = r"(?is)<p\b[^>]*>(.*?)</p>"
+# A paragraph opens at its tag and ends at its end tag, at the next block-level tag or where an element around it ends.
+PARAGRAPH_OPEN = r"(?is)<p(?:\s[^>]*)?>"
+PARAGRAPH_END = (r"(?is)</(?:p|address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|footer|form|header|html|li|main|nav|ol|section|table|td|th|tr|ul)\s*>"
+                 r"|<(?:address|article|aside|blockquote|div|dl|fieldset|footer|form|h[1-6]|header|hr|main|nav|ol|pre|section|table|ul)(?:\s[^>]*)?/?>")
 ANCHOR = r"""(?is)<a\b[^>]*?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>"""
 TAG = r"<[^>]*>"
 
@@ -44,9 +47,15 @@ def valid_pages(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 # H7
+def paragraph_fragments(html) -> Column:
+    """Markup inside every <p> element; an unclosed one ends where the next paragraph or block starts."""
+    pieces = F.split(_c(html), PARAGRAPH_OPEN, -1)
+    return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), lambda x: F.split(x, PARAGRAPH_END, 2)[0])
+
+
 def paragraphs(html) -> Column:
-    """Text of every <p> element (non-greedy up to the next </p>)."""
-    return F.transform(F.regexp_extract_all(_c(html), F.lit(PARAGRAPH), F.lit(1)), text_content)
+    """Text of every <p> element."""
+    return F.transform(paragraph_fragments(html), text_content)
 
 
 def paragraph_rows(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
@@ -170,7 +179,7 @@ def first_node_term(fragment) -> Column:
     """struct(term, definition): first text node, and the others joined by space."""
     nodes = text_nodes(fragment)
     return F.struct(T.glossary_clean(F.coalesce(T.at(nodes, 1), F.lit(""))).alias("term"),
-                    T.glossary_clean(F.array_join(F.slice(nodes, 2, 1 << 20), " ")).alias("definition"))
+                    T.glossary_clean(F.array_join(F.slice(nodes, 2, F.greatest(F.size(nodes), F.lit(1))), " ")).alias("definition"))
 
 
 # H12

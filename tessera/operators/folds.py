@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rank import global_rank, md5_bucket, md5_int, md5_key, numeric_rank
+from .rank import global_rank, md5_bucket, md5_digits, md5_int, md5_key, numeric_rank
 
 
 # O3
@@ -50,7 +50,7 @@ def ten_folds(df: DataFrame, key_cols: list[str], seed: str = "folds", k: int =
     if size == 0:
         raise ValueError(f"need at least {k} rows for {k} folds, got {n}")
     keyed = df.withColumn("_h", md5_key(*key_cols, seed=seed))
-    ranked = global_rank(keyed, ["_h"], md5_bucket(F.col("_h")), "_rank")
+    ranked = global_rank(keyed, ["_h"], md5_bucket(F.col("_h"), md5_digits(n)), "_rank", bucket_bound=16 ** md5_digits(n))
     return (ranked.withColumn("fold", (F.col("_rank") / F.lit(size)).cast("int"))
             .filter(F.col("fold") < k).drop("_h", "_rank"))
 
@@ -68,7 +68,7 @@ def slice_parts(df: DataFrame, order: str, parts: int = 10, n: int | None = None
         n = df.count()
     size = n // parts
     if size == 0:
-        return df.withColumn("part", F.lit(None).cast("int")).limit(0)
+        raise ValueError(f"need at least {parts} rows for {parts} parts, got {n}")
     ranked = numeric_rank(df, order, "_pos")
     return (ranked.withColumn("part", (F.col("_pos") / F.lit(size)).cast("int"))
             .filter(F.col("part") < parts).drop("_pos"))

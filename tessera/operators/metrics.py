@@ -64,11 +64,10 @@ def pooled(df: DataFrame, pred_yes: Column, truth_yes: Column, keys: list[str] |
 
 # E3 + W4
 def score_bucket(score: Column, step: float = CURVE_STEP, points: int = CURVE_POINTS) -> Column:
-    """Index of the highest threshold i*step that the score reaches (>=), -1 if none.
-    A 1e-9 tolerance keeps scores such as 0.58 (= 28.999..96 / 50) on their threshold."""
-    scale = float(round(1 / step))
-    b = F.least(F.floor(score * F.lit(scale) + F.lit(1e-9)), F.lit(points - 1)).cast("int")
-    return F.when(score < 0, F.lit(-1)).otherwise(b)
+    """Index of the highest threshold that the score reaches (exactly >=), -1 if none.
+    The thresholds are the decimal literals 0, step, 2 step, ..."""
+    literals = F.array(*[F.lit(round(i * step, 10)) for i in range(points)])
+    return F.size(F.filter(literals, lambda t: score >= t)) - 1
 
 
 def pr_curve(df: DataFrame, score: str, truth_yes: Column, keys: list[str] | None = None,

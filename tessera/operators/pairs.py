@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .rank import global_rank, md5_int
+from .rank import MAX_BROADCAST_BUCKETS, global_rank, md5_int
 
 
 def canonical(df: DataFrame, w1: str = "w1", w2: str = "w2") -> DataFrame:
@@ -133,7 +133,7 @@ def index_terms(vocab: DataFrame, seed: str = "") -> DataFrame:
     """Dense 0-based index of distinct terms in md5(seed|term) order, computed
     without a single-task window (see ``rank.global_rank``)."""
     t = vocab.select("term").distinct().withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.col("term"))))
-    return global_rank(t, ["_h"], F.substring("_h", 1, 4), "idx").drop("_h")
+    return global_rank(t, ["_h"], F.substring("_h", 1, 4), "idx", bucket_bound=MAX_BROADCAST_BUCKETS).drop("_h")
 
 
 def draw_index(draw: Column, side: str, n_terms: int, seed: str) -> Column:
@@ -141,13 +141,36 @@ def draw_index(draw: Column, side: str, n_terms: int, seed: str) -> Column:
     return F.pmod(md5_int(h), F.lit(n_terms))
 
 
+def _same_pairs(idx: DataFrame, *keys: Column) -> int:
+    """Number of unordered pairs of terms that agree on all keys: sum of C(group size, 2)."""
+    groups = idx.groupBy(*keys).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("c"))
+    return int(groups.agg(F.sum((F.col("c") * (F.col("c") - 1) / 2).cast("decimal(38,0)"))).first()[0] or 0)
+
+
+def valid_pair_count(idx: DataFrame, golden: DataFrame, drop_heuristic: bool) -> int:
+    """Unordered pairs of different terms that are not golden (and, if asked,
+    share neither first nor last token), by inclusion and exclusion of group
+    counts: pairs are never formed."""
+    gk = canonical(golden).filter(F.col("k1") != F.col("k2")).select("k1", "k2").distinct()
+    gk = gk.join(idx.select(F.col("term").alias("k1")), "k1", "left_semi").join(idx.select(F.col("term").alias("k2")), "k2", "left_semi")
+    n = idx.count()
+    pairs = n * (n - 1) // 2
+    if drop_heuristic:
+        tokens = T.split_tokens("term")
+        first, last = T.at(tokens, 1).alias("f"), T.at(tokens, -1).alias("l")
+        pairs -= _same_pairs(idx, first) + _same_pairs(idx, last) - _same_pairs(idx, first, last)
+        gk = gk.filter(~same_first_or_last_token(F.col("k1"), F.col("k2")))
+    return pairs - gk.count()
+
+
 # J10
 def random_negatives(spark, vocab: DataFrame, golden: DataFrame, factor: int = 4, seed: str = "neg",
                      drop_heuristic: bool = False, n: int | None = None) -> DataFrame:
     """As many random non-self pairs as golden pairs, none of them golden in
-    either order (duplicates allowed). Draws are md5-hashed so they can be
-    repeated anywhere; ``factor`` x n draws are made and the first n valid
-    draws (by draw id) are kept. The vocabulary is never squared.
+    either order (duplicates allowed); an error when there is no such pair.
+    Draws are md5-hashed so they can be repeated anywhere; ``factor`` x n draws
+    are made, doubled until n are valid, and the first n valid draws (by draw
+    id) are kept. The vocabulary is never squared.
     """
     if n is None:
         n = golden.count()
@@ -168,26 +191,20 @@ def random_negatives(spark, vocab: DataFrame, golden: DataFrame, factor: int = 4
         return not_in_golden(pairs, golden)
 
     # Draw ids are stable, so a larger draw keeps every earlier draw: when too
-    # few draws survive the filters, draw more (doubling) instead of returning
-    # fewer negatives. A valid ordered pair has probability >= 2 / V^2 when one
-    # exists, so n * V^2 * 4 draws find n of them with near certainty; the loop
-    # stops there, or at once when no valid pair can exist.
+    # few draws survive the filters, draw more (doubling) until n are found. Only
+    # when no valid pair exists at all would that never end, so that is counted
+    # (without forming pairs) as soon as the first draws fall short.
     total = n * factor
     pairs = valid_draws(total)
     found = pairs.count()
-    if found < n and not drop_heuristic:
-        gk = canonical(golden).filter(F.col("k1") != F.col("k2")).select("k1", "k2").distinct()
-        gk = gk.join(idx.select(F.col("term").alias("k1")), "k1", "left_semi").join(
-            idx.select(F.col("term").alias("k2")), "k2", "left_semi")
-        if v * (v - 1) // 2 - gk.count() <= 0:
-            return spark.createDataFrame([], "draw long, w1 string, w2 string")
-    cap = max(total, n * v * v * 4)
-    while found < n and total < cap:
-        total = min(total * 2, cap)
+    if found < n and valid_pair_count(idx, golden, drop_heuristic) <= 0:
+        raise ValueError("no pair of different vocabulary terms is left to draw negatives from")
+    while found < n:
+        total *= 2
         pairs = valid_draws(total)
         found = pairs.count()
     block = max(1, total // (1 << 16) + 1)
-    ranked = global_rank(pairs, ["draw"], F.floor(F.col("draw") / F.lit(block)), "_r")
+    ranked = global_rank(pairs, ["draw"], F.floor(F.col("draw") / F.lit(block)), "_r", bucket_bound=MAX_BROADCAST_BUCKETS)
     return ranked.filter(F.col("_r") < n).drop("_r")
 
 

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 # Hex digits of md5 used as bucket: 16**4 = 65,536 buckets at most.
 MD5_BUCKET_DIGITS = 4
 MAX_BROADCAST_BUCKETS = 1 << 16
-# Quantile buckets for numeric orders.
+# Quantile buckets for numeric orders: at least so many, and one for each so many rows.
 QUANTILE_BUCKETS = 1024
+ROWS_PER_BUCKET = 1_000_000
 
 
 def md5_key(*cols, seed: str = "") -> Column:
@@ -34,23 +35,36 @@ def md5_int(key: Column, digits: int = 15) -> Column:
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("long")
 
 
+def bucket_count(rows: int) -> int:
+    """Buckets that keep about ``ROWS_PER_BUCKET`` rows each at any size."""
+    return max(QUANTILE_BUCKETS, -(-rows // ROWS_PER_BUCKET))
+
+
+def md5_digits(rows: int) -> int:
+    """Leading hex digits whose buckets keep about ``ROWS_PER_BUCKET`` rows each."""
+    digits = MD5_BUCKET_DIGITS
+    while 16 ** digits * ROWS_PER_BUCKET < rows:
+        digits += 1
+    return digits
+
+
 def md5_bucket(key: Column, digits: int = MD5_BUCKET_DIGITS) -> Column:
     return F.substring(key, 1, digits)
 
 
 def with_quantile_bucket(df: DataFrame, col: str, out: str = "_qb", n: int = QUANTILE_BUCKETS,
-                         rel_err: float = 1e-3) -> DataFrame:
+                         rel_err: float | None = None) -> DataFrame:
     """Add a bucket column monotone in numeric ``col`` with at most ``n`` + 1
     values: split points are approximate quantiles (one small job; the driver
     receives at most ``n`` numbers), applied with a binary search (Bucketizer)."""
-    qs = df.approxQuantile(col, [i / n for i in range(1, n)], rel_err)
+    qs = df.approxQuantile(col, [i / n for i in range(1, n)], 1 / n if rel_err is None else rel_err)
     splits = [float("-inf")] + sorted(set(float(q) for q in qs if q is not None)) + [float("inf")]
     b = Bucketizer(splits=splits, inputCol="_qb_in", outputCol=out, handleInvalid="keep")
     return b.transform(df.withColumn("_qb_in", F.col(col).cast("double"))).drop("_qb_in")
 
 
 def global_rank(df: DataFrame, order_cols: list, bucket: Column, rank_col: str = "rank",
-                partition_by: list[str] | None = None, bucket_bound: int | None = MAX_BROADCAST_BUCKETS) -> DataFrame:
+                partition_by: list[str] | None = None, bucket_bound: int | None = None) -> DataFrame:
     """Add a 0-based position over ``order_cols`` (unique within the partition).
 
     ``bucket`` must be monotone in ``order_cols``. Rows are numbered inside
@@ -74,19 +88,21 @@ def global_rank(df: DataFrame, order_cols: list, bucket: Column, rank_col: str =
 
 
 def numeric_rank(df: DataFrame, order: str, rank_col: str = "rank", partition_by: list[str] | None = None,
-                 n: int = QUANTILE_BUCKETS) -> DataFrame:
-    """``global_rank`` over a unique numeric order using quantile buckets."""
+                 n: int | None = None) -> DataFrame:
+    """``global_rank`` over a unique numeric order using quantile buckets (default: by the row count)."""
+    n = bucket_count(df.count()) if n is None else n
     q = with_quantile_bucket(df, order, "_qb", n)
     return global_rank(q, [order], F.col("_qb"), rank_col, partition_by, bucket_bound=n + 1).drop("_qb")
 
 
 def blocked_cumsum(df: DataFrame, value: Column, order_col: str, out: str, partition_by: list[str] | None = None,
-                   n: int = QUANTILE_BUCKETS) -> DataFrame:
+                   n: int | None = None) -> DataFrame:
     """Running sum of ``value`` over numeric ``order_col`` (unique within the
     partition), inclusive: a running sum inside quantile blocks plus the total
     of all earlier blocks. No task holds more than one block of one key,
     however large the key; the block table has at most n + 1 rows per key."""
     part = list(partition_by or [])
+    n = bucket_count(df.count()) if n is None else n
     b = with_quantile_bucket(df.withColumn("_v", value), order_col, "_blk", n)
     w = Window.partitionBy(*part, "_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     local = b.withColumn("_loc", F.sum("_v").over(w))

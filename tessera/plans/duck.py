@@ -6,6 +6,7 @@ all). The regex class bodies are the same fixed values as the Spark side.
 from __future__ import annotations
 
 from ..functions import text as T
+from ..operators import extract as X
 
 
 def q(s: str) -> str:
@@ -18,6 +19,12 @@ def rx(s: str) -> str:
     return q(s.replace("\n", r"\n").replace("\t", r"\t").replace("\r", r"\r"))
 
 
+def paragraph_fragments(html: str) -> str:
+    """Markup of each paragraph: tags become marks, then texts are cut at the marks."""
+    marked = f"regexp_replace(regexp_replace({html}, {rx(X.PARAGRAPH_OPEN)}, chr(1), 'g'), {rx(X.PARAGRAPH_END)}, chr(2), 'g')"
+    return f"list_transform(string_split({marked}, chr(1))[2:], lambda x: string_split(x, chr(2))[1])"
+
+
 def replace_all(x: str, pattern: str, rep: str) -> str:
     return f"regexp_replace({x}, {rx(pattern)}, {q(rep)}, 'g')"
 

@@ -109,7 +109,7 @@ def eval_fold_means(spark, d):
 
 # E3 + W4: precision-recall curve
 @register("eval_pr_curve", f"""WITH {PRED_SQL},
-    hist AS (SELECT model, CASE WHEN score < 0 THEN -1 ELSE CAST(least(floor(score * 50.0 + 1e-9), 49) AS INTEGER) END AS b,
+    hist AS (SELECT model, CAST(len(list_filter([{', '.join(f'{i * 0.02:.2f}::DOUBLE' for i in range(50))}], lambda t: score >= t)) AS INTEGER) - 1 AS b,
                     count_if(truth_yes) AS pos, count_if(NOT truth_yes) AS neg FROM pred GROUP BY 1, 2),
     tot AS (SELECT model, sum(pos) AS P, sum(neg) AS N FROM hist GROUP BY model),
     grid AS (SELECT model, P, N, CAST(unnest(range(50)) AS INTEGER) AS i FROM tot),
@@ -181,8 +181,9 @@ def eval_slices(spark, d):
 
 # S10 + S11 + W2 + A8: tab prediction log with repeated fold headers
 def _score_text(x):
-    return F.concat(F.lit("["), F.col(x).cast("decimal(10,6)").cast("string"), F.lit(" "),
-                    (F.lit(1.0) - F.col(x)).cast("decimal(10,6)").cast("string"), F.lit("]"))
+    """``[ p_no  p_yes]``, padded as printed arrays are."""
+    return F.concat(F.lit("[ "), (F.lit(1.0) - F.col(x)).cast("decimal(10,6)").cast("string"), F.lit("  "),
+                    F.col(x).cast("decimal(10,6)").cast("string"), F.lit("]"))
 
 
 def prediction_log(spark, d):
@@ -211,9 +212,9 @@ def parse_prediction_log(lines):
     rows = (withfold.filter(~is_head).withColumn("_p", parts).filter(F.size("_p") >= 5)
             .select("file", (F.col("_heads") - 1).alias("fold"), T.at("_p", 1).alias("label"),
                     (T.at("_p", 2) == "Correct").alias("correct"),
-                    F.split(F.regexp_replace(T.at("_p", 3), r"[\[\]]", ""), " ", -1).alias("_s"),
+                    F.filter(F.split(F.regexp_replace(T.at("_p", 3), r"[\[\]]", ""), " ", -1), lambda x: x != "").alias("_s"),
                     T.at("_p", 4).alias("w1"), T.at("_p", 5).alias("w2")))
-    return rows.withColumn("p_yes", T.at("_s", 1).cast("double")).drop("_s")
+    return rows.withColumn("p_yes", T.at("_s", 2).try_cast("double")).drop("_s")
 
 
 _LOG_SQL = f"""{FOLDS_SQL},
@@ -222,7 +223,7 @@ _LOG_SQL = f"""{FOLDS_SQL},
     lines AS (
       SELECT model AS file, rank + fold + 2 AS line_no,
         concat_ws(chr(9), label, CASE WHEN correct THEN 'Correct' ELSE 'Wrong' END,
-          '[' || CAST(CAST(score AS DECIMAL(10,6)) AS VARCHAR) || ' ' || CAST(CAST(1.0 - score AS DECIMAL(10,6)) AS VARCHAR) || ']',
+          '[ ' || CAST(CAST(1.0 - score AS DECIMAL(10,6)) AS VARCHAR) || '  ' || CAST(CAST(score AS DECIMAL(10,6)) AS VARCHAR) || ']',
           '', CAST(doc_id AS VARCHAR), model) AS value FROM pf
       UNION ALL
       SELECT m AS file, f * ((SELECT count(*) FROM labels) // 10 + 1) + 1 AS line_no, '{LOG_HEADER}' AS value
@@ -230,7 +231,7 @@ _LOG_SQL = f"""{FOLDS_SQL},
     heads AS (SELECT *, sum(CAST(contains(value, '{LOG_HEADER}') AS INTEGER)) OVER (PARTITION BY file ORDER BY line_no
               ROWS UNBOUNDED PRECEDING) AS h FROM lines),
     parsed AS (SELECT file, CAST(h - 1 AS BIGINT) AS fold, p[1] AS label, p[2] = 'Correct' AS correct,
-                 CAST(string_split(regexp_replace(p[3], '[\\[\\]]', '', 'g'), ' ')[1] AS DOUBLE) AS p_yes, p[4] AS w1, p[5] AS w2
+                 TRY_CAST(regexp_extract(p[3], '([0-9.eE+-]+)[^0-9]*$', 1) AS DOUBLE) AS p_yes, p[4] AS w1, p[5] AS w2
                FROM (SELECT *, list_filter(string_split(value, chr(9)), lambda x: length(x) > 0) AS p FROM heads
                      WHERE NOT contains(value, '{LOG_HEADER}')) WHERE len(p) >= 5)"""
 
@@ -245,7 +246,7 @@ def log_fold_metrics(spark, d):
     return M.ratios(M.confusion(parsed, ["file", "fold"], F.col("py"), F.col("ty")))
 
 
-# Same log, pooled per file after dropping rows whose pair shares nothing (P-filter on raw tokens)
+# S10 + S11: the log's rows as they are read back
 @register("log_parsed_rows", f"WITH {PRED_SQL}, {_LOG_SQL} SELECT file, fold, label, correct, p_yes, w1, w2 FROM parsed")
 def log_parsed_rows(spark, d):
     return parse_prediction_log(prediction_log(spark, d))
@@ -291,7 +292,9 @@ def parse_scored_log(lines):
     hdr = (lines.filter(F.col("value").startswith("yes="))
            .select(F.split(F.trim(F.regexp_replace("value", r"[^0-9.\s]", "")), " ", -1).alias("_h"))
            .select(F.array_position("_h", "1").alias("_pos")).first())
-    pos = int(hdr["_pos"]) if hdr is not None and hdr["_pos"] else 2
+    if hdr is None or not hdr["_pos"]:
+        raise ValueError("the log has no header line that names the positive class")
+    pos = int(hdr["_pos"])
     body = lines.filter(F.col("value").startswith("("))
     nums = F.filter(F.split(F.regexp_replace(T.at(F.split("value", ",", -1), -1), r"[\[\]]", ""), " ", -1),
                     lambda x: x != F.lit(""))

@@ -7,7 +7,7 @@ from ..functions import text as T
 from ..operators import features as FT
 from ..operators import folds as O
 from ..operators import pairs as P
-from ..operators.rank import global_rank, md5_int
+from ..operators.rank import MAX_BROADCAST_BUCKETS, global_rank, md5_int
 from . import bindings as B
 from . import duck as D
 from .catalog import register
@@ -111,7 +111,7 @@ def shard_terms(spark, d):
     t = B.terms(spark, d)
     sh = t.withColumn("shard", F.pmod(md5_int(F.md5(F.col("term"))), F.lit(SHARDS)) + 1)
     sh = sh.withColumn("_h", O.shuffle_key("term", seed=SHUFFLE_SEED))
-    return global_rank(sh, ["_h"], F.substring("_h", 1, 4), "shuffle_pos").drop("_h")
+    return global_rank(sh, ["_h"], F.substring("_h", 1, 4), "shuffle_pos", bucket_bound=MAX_BROADCAST_BUCKETS).drop("_h")
 
 
 # Each term's documents dealt round robin into parts, in doc id order
@@ -202,7 +202,7 @@ def _page_field_sql():
     from .q_pages import _text_content as tc
     return [
         f"pf_head AS (SELECT term, {tc(chr(39) + chr(39) + ' || regexp_extract(html, ' + D.rx(r'(?is)<h1\b[^>]*>(.*?)</h1>') + ', 1)')} AS text FROM term_pages WHERE html IS NOT NULL AND html <> '')",
-        f"pf_para AS (SELECT term, {tc('p')} AS text FROM (SELECT term, unnest(regexp_extract_all(html, {D.rx(X.PARAGRAPH)}, 1)) AS p FROM term_pages WHERE html IS NOT NULL AND html <> ''))",
+        f"pf_para AS (SELECT term, {tc('p')} AS text FROM (SELECT term, unnest({D.paragraph_fragments("html")}) AS p FROM term_pages WHERE html IS NOT NULL AND html <> ''))",
         f"pf_link AS (SELECT term, {tc('a')} AS text FROM (SELECT term, unnest(regexp_extract_all(html, {D.rx(X.ANCHOR)}, 2)) AS a FROM term_pages WHERE html IS NOT NULL AND html <> ''))",
     ]
 
@@ -227,7 +227,7 @@ def features_page_cosine(spark, d):
 # same term replaces an earlier one (K6 last wins by page id)
 @register("corpus_store", with_("term_pages") + f"""
     SELECT 'pages' AS source, term AS query, CAST(arg_max(content, page_id) AS VARCHAR) AS content, max(page_id) AS version FROM (
-      SELECT term, page_id, to_json(list_transform(regexp_extract_all(html, {D.rx(r"(?is)<p\b[^>]*>(.*?)</p>")}, 1),
+      SELECT term, page_id, to_json(list_transform({D.paragraph_fragments("html")},
         lambda x: {_tc('x')})) AS content
       FROM term_pages WHERE html IS NOT NULL AND html <> '') GROUP BY term""")
 def corpus_store(spark, d):

@@ -24,14 +24,13 @@ def _pages(spark, d):
 _PARA_SQL = f"""para AS (
     SELECT page_id, pos, raw, {_text_content('raw')} AS text FROM (
       SELECT page_id, unnest(ps) AS raw, CAST(unnest(range(len(ps))) AS INTEGER) AS pos
-      FROM (SELECT page_id, regexp_extract_all(html, {D.rx(X.PARAGRAPH)}, 1) AS ps
+      FROM (SELECT page_id, {D.paragraph_fragments("html")} AS ps
             FROM pages WHERE html IS NOT NULL AND html <> '')))"""
 
 
 def _para(spark, d):
     p = _pages(spark, d)
-    raw = F.regexp_extract_all(F.col("html"), F.lit(X.PARAGRAPH), F.lit(1))
-    return p.select("page_id", F.posexplode(raw).alias("pos", "raw")).withColumn("text", X.text_content(F.col("raw")))
+    return p.select("page_id", F.posexplode(X.paragraph_fragments(F.col("html"))).alias("pos", "raw")).withColumn("text", X.text_content(F.col("raw")))
 
 
 # H7
@@ -115,7 +114,7 @@ def pages_first_node_terms(spark, d):
 # Heading text as the term, first paragraph as its definition; 1-letter terms dropped
 @register("pages_heading_terms", f"""SELECT * FROM (SELECT page_id,
       lower({D.glossary_clean(_text_content("regexp_extract(html, " + D.rx(r'(?is)<h1\b[^>]*>(.*?)</h1>') + ", 1)"))}) AS term,
-      {D.glossary_clean("coalesce(list_transform(regexp_extract_all(html, " + D.rx(X.PARAGRAPH) + ", 1), lambda x: " + _text_content('x') + ")[1], '')")} AS definition
+      {D.glossary_clean("coalesce(list_transform(" + D.paragraph_fragments("html") + ", lambda x: " + _text_content('x') + ")[1], '')")} AS definition
     FROM pages WHERE html IS NOT NULL AND html <> '') WHERE length(term) > 1""")
 def pages_heading_terms(spark, d):
     h = _pages(spark, d).select("page_id", X.heading_term(F.col("html"), "h1").alias("x"))
@@ -157,7 +156,7 @@ TITLE_PREFIX = 11
 @register("pages_site_rules", "SELECT page_id, " + ", ".join(
     f"{_rule_sql(r)} AS {r.field}" for r in SITE_RULES if r.field not in ("encyc_definition", "encyc_title"))
     + ", " + D.replace_all(_rule_sql(SITE_RULES[2]), "(?s)\n{4}.*$", "") + " AS encyc_definition"
-    + f", trim(substring({_rule_sql(SITE_RULES[3])}, {TITLE_PREFIX + 1}, 1073741824)) AS encyc_title"
+    + f", trim(substring({_rule_sql(SITE_RULES[3])}, {TITLE_PREFIX + 1})) AS encyc_title"
     + f", CAST(len(regexp_extract_all(html, {D.rx(X.RELATED_DIV)}, 1)) AS INTEGER) AS n_related_blocks"
     + " FROM pages WHERE html IS NOT NULL AND html <> ''")
 def pages_site_rules(spark, d):

@@ -86,7 +86,7 @@ def definitions_store(spark, d):
     SELECT page_id, CAST(len(c) AS INTEGER) AS n_categories, array_to_string(c, '|') AS categories, summary FROM (
       SELECT page_id,
         list_sort(list_distinct(list_transform(regexp_extract_all(html, {D.rx(X.ANCHOR)}, 2), lambda x: {_tc('x')}))) AS c,
-        coalesce(list_transform(regexp_extract_all(html, {D.rx(X.PARAGRAPH)}, 1), lambda x: {_tc('x')})[1], '') AS summary
+        coalesce(list_transform({D.paragraph_fragments("html")}, lambda x: {_tc('x')})[1], '') AS summary
       FROM pages WHERE html IS NOT NULL AND html <> '')""")
 def page_category_records(spark, d):
     p = X.valid_pages(B.table(spark, d, "pages"))

@@ -15,10 +15,13 @@ from . import q_store  # noqa: F401  (registers the batch twins whose SQL is reu
 from .catalog import ORACLE, register
 
 
-def events_stream(spark, d):
-    schema = B.table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option(
-        "maxFilesPerTrigger", 1).parquet(d)
+def events_stream(spark, d, files_per_batch: int | None = None):
+    """The events table as a stream, be it one file or a folder of part files
+    (the bracket makes the path a pattern, which may name either)."""
+    reader = spark.readStream.schema(B.table(spark, d, "events").schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{d}/events.parque[t]")
 
 
 def _scratch(spark, name):
@@ -29,7 +32,8 @@ def _scratch(spark, name):
 @register("stream_upsert_events", ORACLE["store_upsert"])
 def stream_upsert_events(spark, d):
     base = _scratch(spark, "upsert")
-    s = events_stream(spark, d).select(F.col("user_id").alias("key"), F.col("props").alias("content"),
+    # Last-wins does not depend on the order of batches, so files may come one by one.
+    s = events_stream(spark, d, 1).select(F.col("user_id").alias("key"), F.col("props").alias("content"),
                                        F.col("ts").alias("version"), "event_id")
     q = SU.upsert_stream(s, f"{base}/store", ["key"], "version", "event_id", f"{base}/checkpoint")
     q.awaitTermination()
@@ -40,6 +44,8 @@ def stream_upsert_events(spark, d):
 @register("stream_credit_events", ORACLE["credit_fold_events"])
 def stream_credit_events(spark, d):
     base = _scratch(spark, "credit")
+    # The fold needs each key's events in time order, which files one by one do
+    # not promise; one available-now batch holds them all and sorts them per key.
     s = events_stream(spark, d).select("user_id", "event_id", "ts", (F.col("event_type") != "error").alias("ok"))
     out = SC.credit_stream(s, "user_id", ["ts", "event_id"], "ok")
     q = (out.writeStream.format("parquet").option("path", f"{base}/out")

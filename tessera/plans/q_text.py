@@ -62,7 +62,7 @@ def text_clean_lines(spark, d):
     regexp_extract(url, '(\\.[^./]+)$', 1) AS extension,
     replace(string_split(url, '/')[-2], '_', ' ') AS topic,
     TRY_CAST(NULLIF(regexp_extract(url, '_(\\d+)\\.[^./]*$', 1), '') AS INTEGER) AS part_no,
-    trim(substring(url, 8, 1073741824)) AS without_scheme
+    trim(substring(url, 8)) AS without_scheme
     FROM pages""")
 def text_url_parts(spark, d):
     p = B.table(spark, d, "pages").select("page_id", "url")
