@@ -31,16 +31,18 @@ from pyspark.sql import functions as F
 from .common import checked_broadcast, materialise, n_words
 
 BITS = 10  # bits of U per histogram pass
+WIDTH = 60  # bits of U
 
 
 def _unit_hash(key: Column, text: Column, seed: int) -> Column:
-    """62 random bits, the same in every run."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key, text), 2)
+    """60 random bits, the same in every run and engine."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), text))
+    return F.conv(F.substring(digest, 1, WIDTH // 4), 16, 10).cast("long")
 
 
 def pareto_rank(u: Column, p: Column) -> Column:
     """Q of a document: its random odds over its inclusion odds."""
-    unit = (u.cast("double") + 0.5) / F.lit(float(1 << 62))
+    unit = (u.cast("double") + 0.5) / F.lit(float(1 << WIDTH))
     return (unit / (1 - unit)) / (p / (1 - p))
 
 
@@ -78,10 +80,10 @@ def _cuts(base: DataFrame, sources: DataFrame) -> DataFrame:
     """Per source the largest U that is taken (``_cut``, -1: none): the prefix of the Pareto order whose words come nearest to ``_rest``."""
     state = sources.select("_src", F.col("_rest"), F.lit(0.0).alias("_done"), F.lit(0).cast("long").alias("_prefix"))
     rows = base.filter(F.col("_size") > 0).select("_src", "_size", "_u")
-    left = 62
+    left = WIDTH
     for _ in range(2):
         bucket = F.shiftright(F.col("_u"), left - BITS)
-        here = rows if left == 62 else rows.join(
+        here = rows if left == WIDTH else rows.join(
             checked_broadcast(state.select(F.col("_src").alias("_s"), "_prefix")),
             F.col("_src").eqNullSafe(F.col("_s")) & (F.shiftright(F.col("_u"), left) == F.col("_prefix"))).drop("_s", "_prefix")
         hist = here.groupBy("_src", bucket.alias("_b")).agg(F.sum("_size").alias("_sum"))

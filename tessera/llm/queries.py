@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_text, jaccard, mixing, pieces, pii, quality, secrets, spans, token_counts
+from . import ann, exact_dedup, html_text, jaccard, mixing, oracles, pieces, pii, quality, secrets, spans, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,17 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@register("op2_mix_sources")
+@register("op2_mix_sources", oracles.MIX)
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(table(spark, sf_dir, "documents"), carry=["doc_id", "source"])
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-@register("op10_exact_dedup", """
-WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
-SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
-FROM t""")
+@register("op10_exact_dedup", oracles.EXACT_DEDUP)
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
@@ -55,7 +51,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-@register("op1_secrets")
+@register("op1_secrets", oracles.secret_scan())
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [secrets.counted(F.col("base_secrets"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
@@ -63,7 +59,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         spans.joined(F.col("secrets")).alias("spans"))
 
 
-@register("op5_private")
+@register("op5_private", oracles.private_data(pii.SUPPORT, pii.REMOVE, pii.GENERALISE))
 def op5_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [secrets.counted(F.col("base_private"), k).alias(f"n_{k}") for k in pii.KINDS]
@@ -77,7 +73,7 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, F.col("vec_id") % 100 == 0)
 
 
-@register("op9_ngram_join")
+@register("op9_ngram_join", oracles.ngram_join(4, 85))
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
 

@@ -54,7 +54,7 @@ RULES = [
     Rule("hosting_token", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abps]-[A-Za-z0-9-]{10,}"),
     Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"(?<![a-z])[a-z]{2,12}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@"),
+    Rule("url_login", r"[a-z]{2,12}://[^\x20\x09-\x0D/:@]{1,64}:[^\x20\x09-\x0D/:@]{1,64}@"),
 ]
 
 # A query is True (no condition), ("gram", g), ("and", q...) or ("or", q...).
