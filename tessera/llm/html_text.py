@@ -341,8 +341,11 @@ def _varied(page: list[Block], labels: list[int], foreign: list[str], r: np.rand
 
 def train_labeller(pages: DataFrame, html: str = "html", key: str = "page_id", sample: int = SAMPLE) -> Labeller:
     """Train on the pages with the smallest id hashes; the driver receives ``sample`` pages at most."""
-    rows = (pages.select(pages[key].alias("_id"), pages[html].alias("_html")).filter(F.length("_html") > 0)
-            .orderBy(F.xxhash64("_id"), F.xxhash64("_html")).limit(sample).collect())
+    some = pages.select(pages[key].alias("_id"), pages[html].alias("_html")).filter(F.length("_html") > 0)
+    # Ids first, so that tasks do not send pages that are not taken: a broadcast of ``sample`` rows at most.
+    ids = some.select("_id", F.xxhash64("_html").alias("_h")).orderBy(F.xxhash64("_id"), "_h").limit(sample).distinct()
+    rows = (some.join(F.broadcast(ids), some["_id"].eqNullSafe(ids["_id"]) & (F.xxhash64("_html") == ids["_h"]), "left_semi")
+            .dropDuplicates(["_id"]).orderBy(F.xxhash64("_id")).limit(sample).collect())
     known = []
     for r in rows:
         page = blocks(r["_html"])
