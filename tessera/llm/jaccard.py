@@ -9,15 +9,16 @@ under ``ORDERS`` different orders before their whole sets are compared:
 * each order puts rare tokens first, by counts over all documents in 2**22
   hashed counters (a bounded table; a collision only moves a token back), and
   ties by a hash of its own;
-* the first order's prefix tokens are posting lists, joined by token; pairs
-  are counted and must reach the bound;
-* the other orders' prefixes are intersected for the pairs that remain.
+* the first order's prefix tokens are posting lists, joined by token; a pair
+  counts where the token's places allow it to be the first that both share;
+* the other orders' prefixes are intersected for the pairs that remain, and
+  must share as many tokens as the bound asks.
 
 No group is paired with itself as a whole. Documents with equal sets form one
 class first. Then, in the lists of ``STAR`` classes or more, every class is
-only compared with the list's smallest one, and the links found give first
-components. Lists that lie in one component are done; the others yield their
-pairs across components. So every pair of classes that may be similar is
+only compared with about ``HEADS`` of them, in a few rounds, and the links
+found give first components. Lists that lie in one component are done; the
+others yield their pairs across components. So every pair of classes that may be similar is
 either compared or already connected, and components are exact.
 
 Defined results: lower case is of A-Z only; null text and text without words
@@ -41,8 +42,9 @@ from .components import components
 COUNTERS = 22  # bits: 4M counters
 BLOCKS = 64
 ORDERS = 3
-STAR = 8  # classes of a posting list from which it is first compared with its smallest class only
-ROUNDS = 2  # star rounds, each with another choice of the smallest class
+STAR = 16  # classes of a posting list from which it is long: first compared with a few of its classes only
+HEADS = 12  # classes of a long list that the others are compared with in a star round
+ROUNDS = 3  # star rounds, each with other heads
 BLOOM = 27  # 2**27 bits at most in the filter that picks the documents whose whole sets are needed
 BLOOM_BLOCK = 6  # it is made in 2**6 blocks
 
@@ -187,7 +189,8 @@ def prefix(tokens: np.ndarray, level: np.ndarray, order: int, percent: int) -> n
     p = len(tokens) - int(at_least(len(tokens), percent)) + 1
     place = mix(tokens ^ np.uint64(_BASE * (order + 1) % (1 << 64)))
     key = (level[(tokens >> np.uint64(64 - COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (place >> np.uint64(8))
-    return tokens[np.argpartition(key, p - 1)[:p]] if p < len(tokens) else tokens
+    some = np.argpartition(key, p - 1)[:p] if p < len(tokens) else np.arange(len(tokens))
+    return tokens[some[np.argsort(key[some])]]
 
 
 def _overlap_bound(na: Column, nb: Column, percent: int) -> Column:
@@ -246,14 +249,13 @@ class Join:
         return materialise(each.dropDuplicates(["_class"]), "prefixes")
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that pass the filter under all orders."""
-        cols = [f"_p{o}" for o in range(ORDERS)]
-        side = lambda s: self.classes.select(F.col("_class").alias(s), F.col("_n").alias(f"n{s}"), *[F.col(c).alias(f"{s}{c}") for c in cols])
-        joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(_similar_sizes(self.percent))
-        need = _least_shared(F.col("na"), F.col("nb"), self.percent)
-        for c in cols:
-            joined = joined.filter(F.size(F.array_intersect(f"a{c}", f"b{c}")) >= need)
-        return materialise(joined.select("a", "b"), "candidates")
+        """Pairs (a, b) of the first order's filter that pass it under the other orders too, one order after the other."""
+        for o in range(1, ORDERS):
+            side = lambda s: self.classes.select(F.col("_class").alias(s), F.col("_n").alias(f"n{s}"), F.col(f"_p{o}").alias(f"p{s}"))  # noqa: B023, E731
+            joined = pairs.join(side("a"), "a").join(side("b"), "b")
+            need = _least_shared(F.col("na"), F.col("nb"), self.percent)
+            pairs = materialise(joined.filter(F.size(F.array_intersect("pa", "pb")) >= need).select("a", "b"), "candidates")
+        return pairs
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Links among candidate pairs, by their whole sets."""
@@ -292,33 +294,31 @@ class Join:
         return materialise(found.join(asked, "_class", "left_semi").dropDuplicates(["_class"]), "sets")
 
     def postings(self) -> DataFrame:
-        """(tok, c, n): the first order's prefix tokens that at least two classes share."""
-        every = self.classes.select(F.explode("_p0").alias("tok"), F.col("_class").alias("c"), F.col("_n").alias("n"))
+        """(tok, at, c, n, df): the first order's prefix tokens that at least two classes share, and their places in it."""
+        every = self.classes.select(F.posexplode("_p0").alias("at", "tok"), F.col("_class").alias("c"), F.col("_n").alias("n"))
         shared = every.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
         return materialise(every.join(shared, "tok"), "postings")
 
-    def star(self, labelled: DataFrame, turn: int) -> DataFrame:
-        """Candidate pairs of each class in a long list with the list's first class, in an order drawn for this turn."""
-        long = labelled.filter(F.col("df") >= STAR)
-        heads = long.groupBy("tok").agg(F.min_by(F.struct("c", "n", "label"), F.xxhash64(F.lit(turn), "c")).alias("h"))
-        pairs = long.join(heads, "tok").filter("label <> h.label").select(
-            F.least("c", "h.c").alias("a"), F.greatest("c", "h.c").alias("b"), F.col("n").alias("na"), F.col("h.n").alias("nb"))
-        return self._counted(pairs, 2)
+    def _pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs (a, b) of postings of a token, in different components, that may be similar.
+
+        The first token that similar sets share has at most n - overlap tokens
+        before it in either set; later shared tokens need no entry."""
+        a = left.select("tok", F.col("c").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("label").alias("la"))
+        b = right.select("tok", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("label").alias("lb"))
+        o = _overlap_bound(F.col("na"), F.col("nb"), self.percent)
+        return a.join(b, "tok").filter("la <> lb").filter(_similar_sizes(self.percent)).filter(
+            (F.col("ia") <= F.col("na") - o) & (F.col("ib") <= F.col("nb") - o))
+
+    def star(self, long: DataFrame, turn: int) -> DataFrame:
+        """Candidate pairs of each class in a long list with about ``HEADS`` of its classes, drawn by a hash of this turn."""
+        heads = long.filter(F.pmod(F.xxhash64(F.lit(turn), "c"), F.lit(1 << 20)) * F.col("df") < HEADS * (1 << 20))
+        return self._pairs(long, heads).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def across(self, labelled: DataFrame) -> DataFrame:
         """Candidate pairs of classes that share prefix tokens and lie in different components."""
-        mixed = labelled.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("tok")
-        rest = labelled.join(mixed, "tok").select("tok", "c", "n", "label")
-        a = rest.select("tok", F.col("c").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        b = rest.select("tok", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        pairs = a.join(b, "tok").filter("a < b and la <> lb").filter(_similar_sizes(self.percent))
-        return self._counted(pairs, 1)
-
-    def _counted(self, pairs: DataFrame, share: int) -> DataFrame:
-        """Pairs that share 1/share of the least number of first prefix tokens."""
-        need = _least_shared(F.col("na"), F.col("nb"), self.percent)
-        return (pairs.filter(_similar_sizes(self.percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-                .filter(F.col("shared") * share >= need).select("a", "b"))
+        rest = labelled.join(_mixed(labelled), "tok")
+        return self._pairs(rest, rest).filter("a < b").select("a", "b").distinct()
 
     def links(self) -> DataFrame:
         """Verified links (u, v) that give the exact components."""
@@ -326,16 +326,23 @@ class Join:
         labelled = postings.withColumn("label", F.col("c"))
         found = None
         for turn in range(ROUNDS + 1):
-            pairs = self.filtered(self.star(labelled, turn) if turn < ROUNDS else self.across(labelled))
-            more = self.verified(pairs)
+            long = labelled.filter(F.col("df") >= STAR)
+            if turn < ROUNDS and _mixed(long).isEmpty():
+                continue  # every long list lies in one component already
+            more = self.verified(self.filtered(self.star(long, turn) if turn < ROUNDS else self.across(labelled)))
             found = more if found is None else found.unionByName(more)
             if turn < ROUNDS:
-                comps = components(found)
-                labelled = postings.join(comps.withColumnRenamed("node", "c"), "c", "left").select(
-                    "tok", "c", "n", "df", F.coalesce("component", "c").alias("label"))
+                comps = components(found).withColumnRenamed("node", "c")
+                labelled = materialise(postings.join(comps, "c", "left").select(
+                    "tok", "at", "c", "n", "df", F.coalesce("component", "c").alias("label")), "labelled")
         return found
 
 
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Tokens whose lists lie in more than one component."""
+    return labelled.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("tok")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
     """For each row: key, n_shingles (set size) and component_id (smallest id in its component)."""
     join = Join(docs, text, key, width, percent)
