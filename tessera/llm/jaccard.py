@@ -102,11 +102,11 @@ def class_of(tokens: np.ndarray) -> int:
 
 def _mark(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bits of each block's classes."""
+        """The bits of each block's keys."""
         blocks: dict[int, np.ndarray] = {}
         low = bits - BLOOM_BLOCK
         for batch in batches:
-            name = batch.column("_class").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            name = batch.column("_key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             cell = (name << np.uint64(BLOOM_BLOCK)) >> np.uint64(64 - low)
             block = batch.column("_block").to_numpy(zero_copy_only=False)
             for b in np.unique(block):
@@ -122,14 +122,14 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
     return batch.column("_text").to_pylist()
 
 
-MEMBER_SCHEMA = "_id long, _class long, _n int, _block int, _counts binary"
+MEMBER_SCHEMA = "_id long, _key long, _class long, _n int, _block int, _counts binary"
 
 
 def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, class, set size) of each row, and the partition's token counts by block."""
         counts = np.zeros(1 << COUNTERS, dtype=np.uint32)
-        schema = pa.schema([("_id", pa.int64()), ("_class", pa.int64()), ("_n", pa.int32()), ("_block", pa.int32()), ("_counts", pa.binary())])
+        schema = pa.schema([("_id", pa.int64()), ("_key", pa.int64()), ("_class", pa.int64()), ("_n", pa.int32()), ("_block", pa.int32()), ("_counts", pa.binary())])
         some = False
         for batch in batches:
             classes, sizes, waiting, held = [], [], [], 0
@@ -146,12 +146,12 @@ def _scan(width: int):
                 counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=1 << COUNTERS).astype(np.uint32)
             some = some or bool(sizes)
             none = pa.nulls(len(sizes))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()),
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_key"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()),
                                               none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         if some:
             part = np.minimum(counts, 65535).astype("<u2").reshape(BLOCKS, -1)
             none = pa.nulls(BLOCKS)
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(range(BLOCKS), pa.int32()),
+            yield pa.RecordBatch.from_arrays([*[none.cast(pa.int64())] * 3, none.cast(pa.int32()), pa.array(range(BLOCKS), pa.int32()),
                                               pa.array([p.tobytes() for p in part], pa.binary())], schema=schema)
     return run
 
@@ -214,9 +214,10 @@ class Join:
 
     def __init__(self, docs: DataFrame, text: str, key: str, width: int, percent: int):
         self.spark, self.percent, self.width = docs.sparkSession, percent, width
-        self.rows = docs.select(docs[key].cast("long").alias("_id"), text_or_empty(docs[text]).alias("_text"))
+        whole = text_or_empty(docs[text])
+        self.rows = docs.select(docs[key].cast("long").alias("_id"), F.xxhash64(whole).alias("_key"), whole.alias("_text"))
         self.scanned = materialise(self.rows.mapInArrow(_scan(width), MEMBER_SCHEMA), "scanned")
-        self.members = self.scanned.filter(F.col("_n").isNotNull()).select("_id", "_class", "_n")
+        self.members = self.scanned.filter(F.col("_n").isNotNull()).select("_id", "_key", "_class", "_n")
         self.level = self.spark.sparkContext.broadcast(levels(self.scanned))
         self.classes = self._prefixes()
 
@@ -268,11 +269,13 @@ class Join:
                            .select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
     def _sets(self, asked: DataFrame) -> DataFrame:
-        """(_class, _tokens) of the asked classes. A bit filter of bounded size picks the rows to keep; the join makes it exact."""
+        """(_class, _tokens) of the asked classes. A bit filter of bounded size on the texts' hashes picks
+        the rows to read, at least one for each class; the join makes it exact."""
         width = self.width
+        one = self.members.join(asked, "_class").groupBy("_class").agg(F.min("_key").alias("_key"))
         bits = min(BLOOM, max(BLOOM_BLOCK + 3, (16 * asked.count()).bit_length()))
-        block = F.shiftrightunsigned("_class", 64 - BLOOM_BLOCK).cast("int")
-        parts = asked.select("_class", block.alias("_block")).repartition(1 << BLOOM_BLOCK, "_block").mapInArrow(_mark(bits), "_block int, _bits binary")
+        block = F.shiftrightunsigned("_key", 64 - BLOOM_BLOCK).cast("int")
+        parts = one.select("_key", block.alias("_block")).repartition(1 << BLOOM_BLOCK, "_block").mapInArrow(_mark(bits), "_block int, _bits binary")
         marks = np.zeros((1 << BLOOM_BLOCK, 1 << (bits - BLOOM_BLOCK - 3)), dtype=np.uint8)
         for r in parts.collect():  # 2**BLOOM bits at most
             marks[r["_block"]] = np.frombuffer(r["_bits"], dtype=np.uint8)
@@ -280,13 +283,13 @@ class Join:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                cell = batch.column("_key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) >> np.uint64(64 - bits)
+                hit = np.flatnonzero(marks.value[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8) & 1)
                 seen: dict[int, np.ndarray] = {}
-                for text in _texts(batch):
+                for text in batch.column("_text").take(pa.array(hit)).to_pylist():
                     tokens = shingles(text, width)
-                    name = class_of(tokens)
-                    cell = (name % (1 << 64)) >> (64 - bits)
-                    if len(tokens) and marks.value[cell >> 3] >> (cell & 7) & 1:
-                        seen[name] = tokens.view(np.int64)
+                    if len(tokens):
+                        seen[class_of(tokens)] = tokens.view(np.int64)
                 if seen:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.list_(pa.int64()))], ["_class", "_tokens"])
 
