@@ -96,8 +96,10 @@ def probe_keys(x: np.ndarray, signs: np.ndarray, probes: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    if not len(column):
+        return np.zeros((0, 1))
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1).astype(np.float64)
 
 
 def usable(vector: Column) -> Column:
@@ -107,11 +109,13 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(d) > 0) & ~bad & F.exists(d, lambda v: v != 0), F.lit(False))
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as bytes of doubles."""
-    for batch in batches:
-        packed = [np.asarray(v, dtype="<f8").tobytes() for v in batch.column("_v").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(packed, pa.binary())], ["_id", "_v"])
+def _packed(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors as bytes, in the precision of the table."""
+        for batch in batches:
+            packed = [np.asarray(v, dtype=kind).tobytes() for v in batch.column("_v").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(packed, pa.binary())], ["_id", "_v"])
+    return run
 
 
 def classes_of(rows: DataFrame, k: int) -> DataFrame:
@@ -127,10 +131,10 @@ CELL_SCHEMA = "_cell long, _query boolean, _id long, _v binary"
 FOUND_SCHEMA = "query_id long, _class long, score double"
 
 
-def _ranked(ids: np.ndarray, vectors: np.ndarray, queries: list[tuple[int, bytes]], k: int) -> Iterator[tuple]:
+def _ranked(ids: np.ndarray, vectors: np.ndarray, queries: list[tuple[int, bytes]], k: int, kind: str) -> Iterator[tuple]:
     """The best k + 1 classes of each query among some vectors."""
     for q, raw in queries:
-        d = vectors - np.frombuffer(raw, dtype="<f8")
+        d = vectors - np.frombuffer(raw, dtype=kind).astype(np.float64)
         score = np.sqrt(np.einsum("ij,ij->i", d, d))
         if len(score) > k + 1:
             some = np.flatnonzero(score <= np.partition(score, k)[k])
@@ -145,7 +149,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], ["query_id", "_class", "score"])
 
 
-def _cells(k: int):
+def _cells(k: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by cell, vectors before queries."""
         cell, ids, raw, matrix = None, [], [], None
@@ -159,9 +163,9 @@ def _cells(k: int):
                     raw.append(v)
                 elif len(ids):
                     if matrix is None:
-                        matrix = np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(ids), -1)
+                        matrix = np.frombuffer(b"".join(raw), dtype=kind).reshape(len(ids), -1).astype(np.float64)
                         ids, raw = np.array(ids), []
-                    out += _ranked(ids, matrix, [(i, v)], k)
+                    out += _ranked(ids, matrix, [(i, v)], k, kind)
             if out:
                 yield _batch(out)
     return run
@@ -178,10 +182,11 @@ def nearest(vectors: DataFrame, queries: Column, vector: str = "embedding", key:
     if commonest is None:
         return empty
     dim = commonest["dim"]
+    kind = "<f4" if vectors.schema[vector].dataType.elementType.typeName() == "float" else "<f8"
     valid = valid.filter(F.size("_v") == dim)
-    packed = valid.select("_id", "_v").mapInArrow(_packed, "_id long, _v binary")
+    packed = valid.select("_id", "_v").mapInArrow(_packed(kind), "_id long, _v binary")
     classes = materialise(classes_of(packed, k), "classes")
-    asked = valid.filter("_asked").select("_id", "_v").mapInArrow(_packed, "_id long, _v binary").dropDuplicates(["_id", "_v"])
+    asked = valid.filter("_asked").select("_id", "_v").mapInArrow(_packed(kind), "_id long, _v binary").dropDuplicates(["_id", "_v"])
     asked = materialise(asked, "queries")
     signs = rotations(dim, tables, hashes, seed)
     width = (2 * signs.shape[-1]) ** hashes
@@ -190,7 +195,7 @@ def nearest(vectors: DataFrame, queries: Column, vector: str = "embedding", key:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("_v"))
+            x = _matrix(batch.column("_v"), kind)
             code = keys(x, signs) if len(x) else np.zeros((0, tables), dtype=np.int64)
             salt = np.array(batch.column("_id").to_pylist(), dtype=np.int64) % splits
             for t in range(tables):
@@ -200,7 +205,7 @@ def nearest(vectors: DataFrame, queries: Column, vector: str = "embedding", key:
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("_v"))
+            x = _matrix(batch.column("_v"), kind)
             code = probe_keys(x, signs, probes) if len(x) else np.zeros((0, tables, probes), dtype=np.int64)
             for t in range(tables):
                 for p in range(code.shape[2]):
@@ -213,7 +218,7 @@ def nearest(vectors: DataFrame, queries: Column, vector: str = "embedding", key:
     probed = asked.mapInArrow(probe, CELL_SCHEMA)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = placed.unionByName(probed).repartition(n_parts, "_cell").sortWithinPartitions("_cell", "_query")
-    found = materialise(cells.mapInArrow(_cells(k), FOUND_SCHEMA), "found")
+    found = materialise(cells.mapInArrow(_cells(k, kind), FOUND_SCHEMA), "found")
     ranked = _rerank(found, classes, k)
     # Queries with too few candidates are compared with every vector.
     fewer = min(k, n_classes - 1)
@@ -222,11 +227,11 @@ def nearest(vectors: DataFrame, queries: Column, vector: str = "embedding", key:
     n_short = short.count()
     if n_short:
         ranked = ranked.join(short.select(F.col("_id").alias("query_id")).distinct(), "query_id", "left_anti")
-        ranked = ranked.unionByName(_rerank(_exhaustive(classes, short, n_short, k), classes, k))
+        ranked = ranked.unionByName(_rerank(_exhaustive(classes, short, n_short, k, kind), classes, k))
     return ranked
 
 
-def _exhaustive(classes: DataFrame, short: DataFrame, n_short: int, k: int) -> DataFrame:
+def _exhaustive(classes: DataFrame, short: DataFrame, n_short: int, k: int, kind: str) -> DataFrame:
     """All vectors against the queries of ``short``, in blocks that a task can hold; no pair is emitted beyond each part's best."""
     blocks = -(-n_short // BLOCK)
     found = None
@@ -236,7 +241,7 @@ def _exhaustive(classes: DataFrame, short: DataFrame, n_short: int, k: int) -> D
         def compare(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if len(batch) and some:
-                    rows = list(_ranked(np.array(batch.column("_id").to_pylist()), _matrix(batch.column("_v")), some, k))
+                    rows = list(_ranked(np.array(batch.column("_id").to_pylist()), _matrix(batch.column("_v"), kind), some, k, kind))
                     yield _batch(rows)
 
         part = materialise(classes.select(F.col("_class").alias("_id"), "_v").mapInArrow(compare, FOUND_SCHEMA), "exhaustive")
