@@ -69,7 +69,8 @@ def same_suffix_len(w1, w2, max_len: int = 5) -> Column:
 def term_count_in_text(term, text) -> Column:
     """Non-overlapping, case-insensitive matches of whitespace + term + one
     whitespace char in the text (term quoted, so ``C++`` is a literal)."""
-    pat = F.concat(F.lit("(?i)[" + T.WS + "]+"), F.lit(r"\Q"), _c(term), F.lit(r"\E[" + T.WS + "]"))
+    quoted = F.regexp_replace(_c(term), r"([\\^$.|?*+()\[\]{}\-])", r"\\$1")
+    pat = F.concat(F.lit("(?i)[" + T.WS + "]+"), quoted, F.lit("[" + T.WS + "]"))
     return F.coalesce(F.regexp_count(F.coalesce(_c(text), F.lit("")), pat), F.lit(0))
 
 

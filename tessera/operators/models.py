@@ -7,7 +7,7 @@ in ``CrossValidator``). Folds come from ``folds.ten_folds`` (md5 order).
 from __future__ import annotations
 
 import math
-import os
+import uuid
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel, Transformer
@@ -193,5 +193,6 @@ def batch_score(features: DataFrame, path: str) -> DataFrame:
 
 
 def model_path(spark, name: str) -> str:
+    """A new path in the shared folder: runs side by side do not meet."""
     from ..session import ensure_checkpoint_dir
-    return os.path.join(ensure_checkpoint_dir(spark), "models", name)
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{name}-{uuid.uuid4().hex}"

@@ -90,9 +90,11 @@ def parse_definition_lines(lines: DataFrame) -> DataFrame:
 def read_judged_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``w1,w2,code`` CSV lines read in PERMISSIVE mode: malformed lines land in
     ``_corrupt_record`` and are returned as the reject table."""
-    df = (spark.read.schema("w1 string, w2 string, code string, _corrupt_record string")
-          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
-    df = df.cache()  # Spark requires materialising before filtering on the corrupt column alone
-    ok = df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    bad = df.filter(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
+    lines = spark.read.text(path).filter(F.length("value") > 0)
+    # Parsed from lines, as a reader refuses to select its corrupt record column alone.
+    row = F.from_csv("value", "w1 string, w2 string, code string, _corrupt_record string",
+                     {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    df = lines.select(row.alias("r"))
+    ok = df.filter(F.col("r._corrupt_record").isNull()).select("r.w1", "r.w2", "r.code")
+    bad = df.filter(F.col("r._corrupt_record").isNotNull()).select("r._corrupt_record")
     return ok, bad

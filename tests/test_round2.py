@@ -113,3 +113,11 @@ def test_node_list_has_no_cap(spark):
     nodes = "<b>t</b>" + "<i>n</i>" * 3000
     got = spark.createDataFrame([(nodes,)], "h string").select(X.first_node_term(F.col("h"))).first()[0]
     assert got["definition"].count("n") == 3000
+
+
+def test_terms_are_literals(spark):
+    from tessera.operators import features as FT
+
+    rows = [("c++", "Use c++ or C++ now", 2), (r"a\E.*", "see a\\E.* here and a x", 1), ("x", None, 0), ("(b", "is (b !", 1)]
+    got = spark.createDataFrame(rows, "t string, d string, n int").select("n", FT.term_count_in_text("t", "d").alias("m")).collect()
+    assert all(r["n"] == r["m"] for r in got), got
