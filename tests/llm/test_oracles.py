@@ -4,13 +4,15 @@ import pytest
 
 from tessera.llm import oracles
 from tessera.llm.queries import ORACLE, QUERIES
-from tessera.plans.oracle import compare, duck_connection
+from tessera.plans.oracle import compare, duck_connection, type_mismatches
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, sf_small, name):
-    same, said = compare(QUERIES[name](spark, sf_small), duck_connection(sf_small), ORACLE[name])
+    got, con = QUERIES[name](spark, sf_small), duck_connection(sf_small)
+    same, said = compare(got, con, ORACLE[name])
     assert same, said
+    assert type_mismatches(got, con, ORACLE[name]) == []
 
 
 def test_disclosing_terms(spark, tmp_path):
