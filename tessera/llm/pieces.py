@@ -52,8 +52,9 @@ from .common import text_or_empty
 from .jaccard import mix
 
 SAMPLES, ALPHA, SEED = 2, 1.0, 23
-BLOCK_CHARS = 3 << 20  # characters of the rows that are drawn together
-STORE_NODES = 5 << 20  # characters of the words whose lattices a worker keeps
+BLOCK_CHARS = 1 << 20  # characters of the rows that are drawn together
+STORE_NODES = 3 << 19  # characters of the words whose lattices a worker keeps
+BUILD_CHARS = 1 << 18  # characters of the words whose lattices are built together
 MARK = "▁"  # stands for a space in pieces
 
 _BASE = 0x9E3779B97F4A7C15
@@ -77,7 +78,7 @@ class Table:
         more = len(next(iter(columns.values())))
         for k, v in columns.items():
             if self.n + more > len(self.a[k]):
-                wide = np.zeros(max(2 * len(self.a[k]), self.n + more), dtype=self.kinds[k])
+                wide = np.zeros(max(len(self.a[k]) * 5 // 4, self.n + more), dtype=self.kinds[k])
                 wide[:self.n] = self.a[k][:self.n]
                 self.a[k] = wide
             self.a[k][self.n:self.n + more] = v
@@ -230,7 +231,16 @@ class Lattices:
             if self.node.n + sum(map(len, new)) + len(new) > STORE_NODES:
                 self.reset()
                 new = set().union(*rows)
-            self.add(list(new))
+            part: list[str] = []
+            size = 0
+            for w in sorted(new):
+                part.append(w)
+                size += len(w) + 1
+                if size > BUILD_CHARS:
+                    self.add(part)
+                    part, size = [], 0
+            if part:
+                self.add(part)
         get = self.words.__getitem__
         return np.fromiter(map(get, chain.from_iterable(rows)), dtype=np.int64, count=sum(map(len, rows)))
 
