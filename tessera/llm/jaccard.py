@@ -21,6 +21,12 @@ found give first components. Lists that lie in one component are done; the
 others yield their pairs across components. So every pair of classes that may be similar is
 either compared or already connected, and components are exact.
 
+The links themselves are another output (``similar_sets``, ``link_counts``):
+every pair of classes that passes the filters is compared, whether connected
+or not. There a list longer than ``WIDE`` is met by pairs of blocks of its
+classes, so that no task pairs a whole list. Rows of equal sets are one class;
+``link_counts`` gives each row its class, so their links follow from it.
+
 Defined results: lower case is of A-Z only; null text and text without words
 have an empty set and are linked with nothing (their component is their own
 id); a text of fewer words than n has one token, the whole sequence; repeated
@@ -45,6 +51,7 @@ ORDERS = 3
 STAR = 16  # classes of a posting list from which it is long: first compared with a few of its classes only
 HEADS = 12  # classes of a long list that the others are compared with in a star round
 ROUNDS = 3  # star rounds, each with other heads
+WIDE = 512  # classes of a posting list, about, that one task pairs when all links are asked
 BLOOM = 27  # 2**27 bits at most in the filter that picks the documents whose whole sets are needed
 BLOOM_BLOCK = 6  # it is made in 2**6 blocks
 
@@ -209,6 +216,12 @@ def _similar_sizes(percent: int) -> str:
     return f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
 
+def _first_places(percent: int) -> Column:
+    """Whether a token at the places ia and ib can be the first that a similar pair shares."""
+    o = _overlap_bound(F.col("na"), F.col("nb"), percent)
+    return (F.col("ia") <= F.col("na") - o) & (F.col("ib") <= F.col("nb") - o)
+
+
 class Join:
     """The join's tables for one run."""
 
@@ -258,15 +271,18 @@ class Join:
             pairs = materialise(joined.filter(F.size(F.array_intersect("pa", "pb")) >= need).select("a", "b"), "candidates")
         return pairs
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Links among candidate pairs, by their whole sets."""
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, both: sum of the sizes, common) of the similar ones among candidate pairs, by their whole sets."""
         asked = materialise(pairs.select(F.col("a").alias("_class")).unionByName(pairs.select(F.col("b").alias("_class"))).distinct(), "asked")
         sets = self._sets(asked)
         side = lambda s: sets.select(F.col("_class").alias(s), F.col("_tokens").alias(f"t{s}"))
         joined = pairs.join(side("a"), "a").join(side("b"), "b")
         common = joined.select("a", "b", (F.size("ta") + F.size("tb")).alias("both"), F.size(F.array_intersect("ta", "tb")).alias("common"))
-        return materialise(common.filter(F.col("common") * (100 + self.percent) >= F.col("both") * self.percent)
-                           .select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        return common.filter(F.col("common") * (100 + self.percent) >= F.col("both") * self.percent)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Links among candidate pairs."""
+        return materialise(self.compared(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
     def _sets(self, asked: DataFrame) -> DataFrame:
         """(_class, _tokens) of the asked classes. A bit filter of bounded size on the texts' hashes picks
@@ -309,9 +325,7 @@ class Join:
         before it in either set; later shared tokens need no entry."""
         a = left.select("tok", F.col("c").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("label").alias("la"))
         b = right.select("tok", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("label").alias("lb"))
-        o = _overlap_bound(F.col("na"), F.col("nb"), self.percent)
-        return a.join(b, "tok").filter("la <> lb").filter(_similar_sizes(self.percent)).filter(
-            (F.col("ia") <= F.col("na") - o) & (F.col("ib") <= F.col("nb") - o))
+        return a.join(b, "tok").filter("la <> lb").filter(_similar_sizes(self.percent)).filter(_first_places(self.percent))
 
     def star(self, long: DataFrame, turn: int) -> DataFrame:
         """Candidate pairs of each class in a long list with about ``HEADS`` of its classes, drawn by a hash of this turn."""
@@ -323,6 +337,21 @@ class Join:
         rest = labelled.join(_mixed(labelled), "tok")
         return self._pairs(rest, rest).filter("a < b").select("a", "b").distinct()
 
+    def every(self, postings: DataFrame) -> DataFrame:
+        """All candidate pairs of classes that share prefix tokens; long lists by pairs of blocks of their classes."""
+        last = F.ceil(F.col("df") / WIDE).cast("int") - 1
+        own = postings.withColumn("last", last).withColumn("block", F.pmod(F.xxhash64("c"), F.col("last") + 1).cast("int"))
+        side = lambda s, lo, hi: own.select("tok", lo.alias("lo"), hi.alias("hi"), F.col("c").alias(s), F.col("n").alias(f"n{s}"), F.col("at").alias(f"i{s}"))
+        low = side("a", F.col("block"), F.explode(F.sequence("block", "last")))
+        high = side("b", F.explode(F.sequence(F.lit(0), "block")), F.col("block"))
+        met = low.join(high, ["tok", "lo", "hi"]).filter("lo < hi OR a < b")
+        return met.filter(_similar_sizes(self.percent)).filter(_first_places(self.percent)).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def all_links(self) -> DataFrame:
+        """(a, b, both, common) of every similar pair of classes, once each."""
+        return materialise(self.compared(self.filtered(self.every(self.postings()))), "all_links")
+
     def links(self) -> DataFrame:
         """Verified links (u, v) that give the exact components."""
         postings = self.postings()
@@ -355,3 +384,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     out = some.join(least, "_label").select(F.col("_id").alias(key), F.col("_n").cast("long").alias("n_shingles"), "component_id")
     alone = join.members.filter("_n = 0").select(F.col("_id").alias(key), F.lit(0).cast("long").alias("n_shingles"), F.col("_id").alias("component_id"))
     return out.unionByName(alone)
+
+
+def similar_sets(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+    """Every similar pair of different sets: a_set < b_set (fingerprints), a_id, b_id (smallest ids with the sets), n_common, n_union."""
+    join = Join(docs, text, key, width, percent)
+    name = lambda s: join.members.groupBy(F.col("_class").alias(s)).agg(F.min("_id").alias(f"{s}_id"))
+    out = join.all_links().join(name("a"), "a").join(name("b"), "b")
+    return out.select(F.col("a").alias("a_set"), F.col("b").alias("b_set"), "a_id", "b_id", F.col("common").cast("long").alias("n_common"),
+                      (F.col("both") - F.col("common")).cast("long").alias("n_union"))
+
+
+def link_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+    """For each row: key, set (fingerprint, as in ``similar_sets``), n_shingles, n_copies (other rows of an equal set)
+    and n_links (other rows that it is linked with, copies included). Empty sets are linked with nothing."""
+    join = Join(docs, text, key, width, percent)
+    links = join.all_links().select("a", "b")
+    sizes = join.members.filter("_n > 0").groupBy("_class").agg(F.count(F.lit(1)).alias("_rows"))
+    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = ways.join(sizes.withColumnRenamed("_class", "b"), "b").groupBy(F.col("a").alias("_class")).agg(F.sum("_rows").alias("_linked"))
+    known = sizes.join(linked, "_class", "left").select("_class", (F.col("_rows") - 1).alias("n_copies"), (F.col("_rows") - 1 + F.coalesce("_linked", F.lit(0))).alias("n_links"))
+    none = F.lit(0).cast("long")
+    return join.members.join(known, "_class", "left").select(F.col("_id").alias(key), F.col("_class").alias("set"), F.col("_n").cast("long").alias("n_shingles"),
+                                                             F.coalesce("n_copies", none).alias("n_copies"), F.coalesce("n_links", none).alias("n_links"))

@@ -78,6 +78,17 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
 
 
+@register("op9_ngram_links")
+def op9_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each similar pair of different n-gram sets."""
+    return jaccard.similar_sets(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
+
+
+@register("op9_link_counts")
+def op9_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
+
+
 @register("op8_html_text")
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")

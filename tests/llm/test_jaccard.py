@@ -62,6 +62,25 @@ def test_components(spark, seed, k, percent):
     assert got == brute(rows, k, percent)
 
 
+@pytest.mark.parametrize("wide", [512, 5])
+def test_every_link(spark, monkeypatch, wide):
+    monkeypatch.setattr(J, "WIDE", wide)
+    rows = corpus(4, 120) + [(1000 + i, " ".join(f"x{j}" for j in range(80)) + f" tail{i}") for i in range(40)]
+    rows += [(1000 + 40 + i, rows[-1 - i][1].upper()) for i in range(5)] + [(2000, None), (2001, ""), (2002, "one"), (2003, "ONE")]
+    sets = {i: frozenset(grams(t, 4)) for i, t in rows}
+    similar = lambda x, y: x and y and 100 * len(x & y) >= 85 * len(x | y)
+    least = {}
+    for i, g in sorted(sets.items()):
+        least.setdefault(g, i)
+    names = sorted(least.values())
+    want = {(i, j): (len(sets[i] & sets[j]), len(sets[i] | sets[j])) for i in names for j in names if i < j and similar(sets[i], sets[j])}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(tuple(sorted((r["a_id"], r["b_id"]))), (r["n_common"], r["n_union"])) for r in J.similar_sets(df, width=4, percent=85).collect()]
+    assert len(got) == len(want) and dict(got) == want and len(want) > 40 * 39 // 2
+    counts = {r["doc_id"]: (r["n_copies"], r["n_links"]) for r in J.link_counts(df, width=4, percent=85).collect()}
+    assert counts == {i: (sum(1 for j in sets if j != i and g and sets[j] == g), sum(1 for j in sets if j != i and similar(g, sets[j]))) for i, g in sets.items()}
+
+
 def test_empty_and_null_ids(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert J.near_duplicates(df).count() == 0
