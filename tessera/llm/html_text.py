@@ -15,7 +15,9 @@ foreign text in unwanted containers, so that the network leans on context and
 not on one tag. Training is seeded: reruns agree.
 
 Defined results: null and empty html have empty text; a page cut off anywhere
-is read as far as it goes (an open comment or script runs to the end);
+is read as far as it goes (an open comment, script, style, textarea, title or
+iframe runs to the end); svg, math, object, canvas, template and noscript are
+path elements like others, empty if they close themselves;
 character references are decoded once; white space inside a block becomes one
 space; a table without pages gives an empty result; rows that repeat get equal
 texts; input columns of the same name as an output column are replaced.
@@ -41,10 +43,14 @@ HIDDEN = 16
 EPOCHS, BATCH, RATE = 16, 24, 0.015
 
 # Tags by their role in a page, and words in class, id and role attributes.
-RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "head", "math", "object", "canvas"}
+RAW = {"script", "style", "textarea", "title", "iframe"}  # text up to the end tag, never markup
 VOID = {"br", "img", "hr", "meta", "link", "input", "wbr", "area", "base", "col", "embed", "source", "track"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
-          "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+          "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "canvas", "object",
+          # Drawings and formulas stand in a line of text.
+          "svg", "circle", "clippath", "defs", "desc", "ellipse", "g", "line", "lineargradient", "mask", "path", "polygon", "polyline", "radialgradient", "rect",
+          "stop", "symbol", "text", "tspan", "use", "math", "annotation", "mfrac", "mi", "mn", "mo", "mover", "mpadded", "mphantom", "mroot", "mrow", "mspace",
+          "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "semantics"}
 CONTENT_TAGS = {"article", "main"}
 CONTENT_WORDS = {"article", "content", "post", "entry", "story", "main", "text", "body"}
 OTHER_TAGS = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu"}
@@ -126,7 +132,9 @@ def blocks(html: str) -> list[Block]:
                 links -= sum(t == "a" for t, _ in stack[depth:])
                 del stack[depth:]
             continue
-        if tag in RAW and tag != "head":
+        if tag in RAW:
+            if m[2].endswith("/") and any(t in ("svg", "math") for t, _ in stack):
+                continue  # only inside drawings and formulas can a raw element close itself
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
             at = end if close is None else close.end()
             continue

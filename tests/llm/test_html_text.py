@@ -18,6 +18,20 @@ def test_blocks(html, want):
     assert [b.text for b in T.blocks(html)] == want
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<p>a <svg viewBox='0'/> b</p><p>c</p>", ["a b", "c"]), ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", ["so x=2 holds"]),
+    ("<math/><p>a</p>", ["a"]), ("<object data='x'><p>a</p>", ["a"]), ("<canvas><p>a</p><p>b</p>", ["a", "b"]), ("<template><p>a</p></template><p>b</p>", ["a", "b"]),
+    ("<noscript><p>a</p></noscript>b", ["a", "b"]), ("<p>x<svg><path d='M0'/></svg>y</p>", ["xy"]), ("<textarea><p>a</p></textarea><p>b</p>", ["b"]),
+    ("<p>a</p><iframe>rest", ["a"]), ("<p>a<svg><style/><title/></svg> b</p>", ["a b"])])
+def test_embedded_elements(html, want):
+    assert [b.text for b in T.blocks(html)] == want
+
+
+def test_embedded_parts_are_labelled_by_their_place():
+    page = T.blocks("<article><p>a</p><object><p>b</p><p>c <math><mi>d</mi></math></p></article><footer><canvas>e</canvas></footer>")
+    assert [(b.text, T.silver(b)) for b in page] == [("a", 1), ("b", 1), ("c d", 1), ("e", 0)]
+
+
 def test_gradients():
     r = np.random.default_rng(0)
     m = T.Labeller()
