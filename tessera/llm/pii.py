@@ -12,6 +12,9 @@ beside such data). A term that stands beside at least ``SUPPORT`` different
 values of a kind is removed at a disclosure of ``REMOVE``, generalised to its
 kind's name at ``GENERALISE``, on the lines that hold data of the kind.
 
+``disclosing_words`` asks for less: it gates by lines instead of values, scores
+single values as well as kinds, and marks whole documents.
+
 Counts come from one aggregation with map-side sums over all words. Only terms
 with support keep a count, so the joined table is small; it is broadcast when
 its size allows. Only the lines with personal data are exploded with positions.
@@ -30,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD, materialise, text_or_empty
+from .common import BROADCAST_ROWS, WORD, checked_broadcast, materialise, text_or_empty
 from .spans import let, match_spans, replaced, tagged
 
 # Kinds in listed order and their patterns.
@@ -97,14 +100,8 @@ def _free_words(lines: DataFrame) -> DataFrame:
     return words.filter(~F.exists("_base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
 
 
-def disclosing_terms(found: DataFrame, lines: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(term, kind, disclosure) of the terms with support; statistics over every line of ``found`` (_text)."""
-    beside = _free_words(lines).select("term", "_key", "at", F.explode("_base").alias("b"))
-    pairs = (beside.groupBy("term", F.col("b.kind").alias("kind"))
-             .agg(F.countDistinct("_key", "at").alias("n_both"), F.countDistinct("b.value").alias("n_values"))
-             .filter(F.col("n_values") >= support))
-    pairs = materialise(pairs, "pairs")
-    terms = pairs.select("term").distinct()
+def _term_counts(found: DataFrame, terms: DataFrame) -> tuple[DataFrame, int]:
+    """(term, n_term: lines of ``found`` that hold it) and the number of lines."""
     every = found.select(F.explode(F.split("_text", "\n")).alias("line")).filter(F.col("line") != "")
     words = every.select(F.explode(_words(F.col("line"))).alias("term"))
     if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -112,6 +109,17 @@ def disclosing_terms(found: DataFrame, lines: DataFrame, support: int = SUPPORT)
     n_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     n_lines = F.size(F.regexp_extract_all(F.col("_text"), F.lit(r"[^\n]+"), F.lit(0)))
     total = found.agg(F.sum(n_lines.cast("long")).alias("n")).first()["n"] or 0
+    return n_term, total
+
+
+def disclosing_terms(found: DataFrame, lines: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(term, kind, disclosure) of the terms with support; statistics over every line of ``found`` (_text)."""
+    beside = _free_words(lines).select("term", "_key", "at", F.explode("_base").alias("b"))
+    pairs = (beside.groupBy("term", F.col("b.kind").alias("kind"))
+             .agg(F.countDistinct("_key", "at").alias("n_both"), F.countDistinct("b.value").alias("n_values"))
+             .filter(F.col("n_values") >= support))
+    pairs = materialise(pairs, "pairs")
+    n_term, total = _term_counts(found, pairs.select("term").distinct())
     n_kind = (lines.select("_key", "at", F.explode("_base").alias("b")).groupBy(F.col("b.kind").alias("kind"))
               .agg(F.countDistinct("_key", "at").alias("n_kind")))
     # One row for each kind, four at most.
@@ -147,6 +155,42 @@ def find_private(docs: DataFrame, text: str = "text", key: str = "doc_id", suppo
                       F.concat("_base", F.coalesce("_terms", none)).alias("private"))
 
 
+def disclosing_words(docs: DataFrame, text: str = "text", key: str = "doc_id", support: int = SUPPORT, remove: float = REMOVE,
+                     generalise: float = GENERALISE) -> DataFrame:
+    """(key, start, end, kind, term, disclosure) of each word that gives away a kind, or a single value, of the document's base spans.
+
+    A term counts by its evidence, at least ``support`` lines that it shares with the kind or the value, however many
+    values these are. It is marked on every line of the documents that hold the kind or the value; kind is remove_<kind>
+    or general_<kind> by the highest disclosure. Rows of equal id and text give one row for each word."""
+    whole = text_or_empty(docs[text])
+    found = docs.select(docs[key].alias("_id"), whole.alias("_text"), F.xxhash64(docs[key], whole).alias("_key"), base_spans(whole).alias("_base"))
+    lines = materialise(_lines_with_data(found), "lines")
+    # Once for the kind (no value) and once for the value.
+    targets = lambda rows, *more: rows.select(*more, F.explode("_base").alias("b")).select(
+        *[F.col(c) for c in more], F.col("b.kind").alias("kind"), F.explode(F.array(F.lit(None).cast("string"), F.col("b.value"))).alias("value"))
+    n_lines = F.countDistinct("_key", "at")
+    beside = targets(_free_words(lines), "term", "_key", "at")
+    pairs = materialise(beside.groupBy("term", "kind", "value").agg(n_lines.alias("n_both")).filter(F.col("n_both") >= support), "word_pairs")
+    n_term, total = _term_counts(found, pairs.select("term").distinct())
+    n_target = targets(lines, "_key", "at").groupBy("kind", "value").agg(n_lines.alias("n_target")).withColumnsRenamed({"kind": "k", "value": "v"})
+    joined = pairs.join(n_term, "term").join(n_target, (F.col("kind") == F.col("k")) & F.col("value").eqNullSafe(F.col("v")))
+    pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_target")))
+    known = F.log2(F.lit(float(total)) / F.col("n_target"))
+    rated = joined.select("term", "kind", "value", F.when(known > 0, pmi / known).otherwise(F.lit(0.0)).alias("disclosure"))
+    rated = materialise(rated.filter(F.col("disclosure") >= generalise), "word_terms").withColumnsRenamed({"kind": "k", "value": "v"})
+    # Where these terms stand in the documents that hold data, on any line.
+    held = found.filter(F.size("_base") > 0).dropDuplicates(["_key"])
+    words = _free_words(held.select("_key", F.lit(0).alias("at"), F.col("_text").alias("line"), "_base")).drop("_base", "at")
+    wanted = checked_broadcast(rated.select("term").distinct())
+    holds = targets(held, "_key").distinct()
+    # A term's targets that the document holds.
+    near = words.join(wanted, "term", "left_semi").join(rated, "term").join(
+        holds.withColumnRenamed("_key", "_held"), (F.col("_key") == F.col("_held")) & (F.col("k") == F.col("kind")) & F.col("v").eqNullSafe(F.col("value")))
+    best = near.groupBy("_key", "start", "end", "kind", "term").agg(F.max("disclosure").alias("disclosure"))
+    named = F.concat(F.when(F.col("disclosure") >= remove, "remove_").otherwise("general_"), F.col("kind"))
+    return best.join(held.select("_key", F.col("_id").alias(key)), "_key").select(key, "start", "end", named.alias("kind"), "term", "disclosure")
+
+
 def sanitise(found: DataFrame, text: str = "text", out: str = "sanitised") -> DataFrame:
     """Base spans become their kind in angle brackets, general terms too, removed terms vanish."""
     def by(s: Column) -> Column:

@@ -67,6 +67,12 @@ def op5_private(spark: SparkSession, sf_dir: str) -> DataFrame:
                         spans.joined(F.col("private")).alias("spans"))
 
 
+@register("op5_disclosing_words")
+def op5_disclosing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each word that discloses a kind or a value, on any line of the documents that hold it."""
+    return pii.disclosing_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @register("op7_nearest")
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")

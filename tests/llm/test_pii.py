@@ -58,6 +58,18 @@ def test_disclosing_terms(spark):
     assert "here" in got[3]["sanitised"] and got[105]["sanitised"] == rows[35][1]
 
 
+def test_words_that_disclose_one_value(spark):
+    rows = [(i, f"reach Zephyrine zeph@mail.example here\nplain line {i}" + "\nthanks to Zephyrine" * (i == 7)) for i in range(30)]
+    rows += [(100 + i, f"nothing here to reach\nwords {i} line plain") for i in range(200)] + [(400, "Zephyrine"), (401, None), (402, "reach a@b.c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in P.disclosing_words(df).select("doc_id", "start", "end", "kind", "term").collect()]
+    want = [(i, 6, 15, "remove_email", "zephyrine") for i in range(30)]
+    at = rows[7][1].index("Zephyrine", 20)
+    assert sorted(got) == sorted([*want, (7, at, at + 9, "remove_email", "zephyrine")])
+    assert all(s["kind"] == "email" for r in P.find_private(df).collect() for s in r["private"])
+    assert P.disclosing_words(df.limit(0)).count() == 0
+
+
 def test_query_on_table(spark, sf_small):
     from tessera.llm.queries import QUERIES
 
