@@ -36,25 +36,34 @@ MOST_CLASS = 4  # characters of a class that are still followed one by one
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret. ``group`` must have ``least`` characters, else the match is dropped."""
+    """A kind of secret. ``group`` must have ``least`` characters, else the match is dropped.
+    ``own``: the same matches as ``pattern`` without backtracking, for long runs."""
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
     base: bool = False
+    own: str = ""
 
 
+# Headers, long words of base64 and the shorter last one; white space or written line ends between them.
+_BASE64 = (r"(?:(?:\r?\nProc-Type:[^\n]*)?(?:\r?\nDEK-Info:[^\n]*)?(?:(?:[\x20\x09-\x0D]|\\[rn])+{0}[A-Za-z0-9+/=]{{16,}}{0})+{1}"
+           r"(?:(?:[\x20\x09-\x0D]|\\[rn])+{0}[A-Za-z0-9+/=]+{0})?)?")
+
 # Kinds and patterns. Where a length decides and no shorter match
 # can hide a longer one, the length stands in the pattern.
 RULES = [
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]{16,}", base=True),
     Rule("hex", r"[0-9a-f]{24,}", base=True),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    # To the END line, if no other line of five hyphens comes before it; else the base64 block.
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:-{0,4}[^-])*-----END [A-Z ]*PRIVATE KEY-----|" + _BASE64.format("", "") + ")",
+         own=r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]++|-{1,4}+(?!-))*+-----END [A-Z ]*PRIVATE KEY-----|" + _BASE64.format("+", "+") + ")"),
     Rule("hosting_token", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abps]-[A-Za-z0-9-]{10,}"),
     Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"[a-z]{2,12}://[^\x20\x09-\x0D/:@]{1,64}:[^\x20\x09-\x0D/:@]{1,64}@"),
+    Rule("url_login", r"[A-Za-z0-9+.-]+://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@",
+         own=r"(?:(?<![A-Za-z0-9+.-])|\G)[A-Za-z0-9+.-]++://[^\x20\x09-\x0D/:@]++:[^\x20\x09-\x0D/:@]++@"),
 ]
 
 # A query is True (no condition), ("gram", g), ("and", q...) or ("or", q...).
@@ -164,7 +173,7 @@ def candidate(query: Query, grams: Column) -> Column:
 
 def verify(text: Column, rule: Rule) -> Column:
     """Spans of a rule in a candidate document."""
-    found = match_spans(text, rule.pattern)
+    found = match_spans(text, rule.own or rule.pattern)
     if not rule.least:
         return found
     return F.filter(found, lambda s: F.length(F.regexp_extract(s["value"], rule.pattern, rule.group)) >= rule.least)
