@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, exact_dedup, html_text, jaccard, mixing, oracles, pieces, pii, quality, secrets, spans, token_counts
+from .common import text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -103,10 +104,15 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op4_sample_pieces")
 def op4_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each document and sample, by falling perturbed score."""
+    """One row for each document and sample, by falling perturbed score: the piece ids, and whether they decode to the text."""
     import public_tokenizers
 
-    out = pieces.encode_samples(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), carry=["doc_id"])
-    one = out.select("doc_id", F.posexplode("samples").alias("sample", "s"))
-    return one.select("doc_id", "sample", F.size("s.ids").cast("long").alias("n_pieces"), F.xxhash64("s.ids").alias("ids_hash"),
-                      "s.log_prob", "s.perturbed", "s.log_inclusion")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("text_sha256", F.sha2(text_or_empty("text"), 256))
+    out = pieces.encode_samples(docs, path, carry=["doc_id", "text_sha256"])
+    one = out.select("doc_id", "text_sha256", F.posexplode("samples").alias("sample", "s"))
+    back = pieces.decode(one.withColumn("ids", F.col("s.ids")), path).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    return back.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+                       "s.log_prob", "s.perturbed", "s.log_inclusion", "ids", "decoded_sha256",
+                       (F.col("decoded_sha256") == F.col("text_sha256")).alias("round_trip"))

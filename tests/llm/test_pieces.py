@@ -104,3 +104,14 @@ def test_rows(spark):
     back = T.decode(out.select("text", T.F.explode("samples.ids").alias("ids")), PATH).collect()
     assert all(r["decoded"] == (r["text"] or "") for r in back)
     assert T.encode_samples(df.limit(0), PATH).count() == 0
+
+
+def test_query_gives_the_segmentations(spark, tmp_path):
+    from tessera.llm.queries import QUERIES
+
+    texts = dict(enumerate([None, "", "one two", "é一😀 x\n", "▁mark"]))
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got, decoder = QUERIES["op4_sample_pieces"](spark, str(tmp_path)).collect(), T.Decoder(PATH)
+    assert {r["doc_id"] for r in got} == set(texts)
+    for r in got:
+        assert decoder(r["ids"]) == (texts[r["doc_id"]] or "") and len(r["ids"]) == r["n_pieces"] and r["round_trip"]
