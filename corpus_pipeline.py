@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, jaccard, mixing, pieces, quality
-from tessera.llm.common import checked_broadcast, materialise
+from tessera.llm.common import checked_broadcast, materialise, text_or_empty
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +25,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each component of similar texts (5-word shingles, similarity 0.8)."""
-    found = jaccard.near_duplicates(docs)
-    gone = materialise(found.filter("doc_id <> component_id").select("doc_id"), "near_copies")
-    return docs.join(checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+    # By id and text: ids may be null, or shared by different texts.
+    gone = materialise(jaccard.later_copies(docs).withColumnRenamed("doc_id", "gone_id"), "near_copies")
+    same = docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_or_empty(docs["text"])) == F.col("text_hash"))
+    return docs.join(checked_broadcast(gone), same, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

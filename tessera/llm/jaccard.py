@@ -386,6 +386,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     return out.unionByName(alone)
 
 
+def later_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+    """(key, text_hash: xxhash64 of the text) of all texts but the first of each component; first: the smallest id, nulls last, then the hash."""
+    join = Join(docs, text, key, width, percent)
+    comps = components(join.links()).withColumnRenamed("node", "_class")
+    rows = join.members.filter("_n > 0").join(comps, "_class", "left").select("_id", "_key", F.coalesce("component", "_class").alias("_label"))
+    first = rows.groupBy("_label").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("hash"))).alias("_first"))
+    later = rows.join(first, "_label").filter(~(F.col("_id").eqNullSafe(F.col("_first.id")) & (F.col("_key") == F.col("_first.hash"))))
+    return later.select(F.col("_id").alias(key), F.col("_key").alias("text_hash")).distinct()
+
+
 def similar_sets(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
     """Every similar pair of different sets: a_set < b_set (fingerprints), a_id, b_id (smallest ids with the sets), n_common, n_union."""
     join = Join(docs, text, key, width, percent)

@@ -49,3 +49,15 @@ def test_run_and_empty_table(spark, sf_small, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{sf_small}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_with_null_and_shared_ids(spark):
+    import corpus_pipeline
+
+    near = [" ".join(f"x{j}" for j in range(80)) + f" tail{i}" for i in range(6)]
+    other = [" ".join(f"{c}{j}" for j in range(60)) for c in "yz"]
+    rows = [(None, near[0]), (None, near[1]), (5, near[2]), (9, near[3]), (9, other[0]), (5, near[4]), (None, other[1]), (None, other[1] + " end"), (None, None), (None, "")]
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    kept = [r for r in got if r[1] in near]
+    assert len(kept) == 1 and kept[0][0] == 5
+    assert (9, other[0]) in got and sum((r[1] or "").startswith(other[1]) for r in got) == 1 and len(got) == 5
