@@ -42,3 +42,16 @@ def text_or_empty(col: str | Column) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def carried(docs: DataFrame, carry: list[str] | None, mine: list[str]) -> tuple[list[str], list[Column]]:
+    """Names of the input columns to keep, and those columns under private names c0, c1, ...
+
+    Columns named like one of ``mine`` (in any case) give way to it; of columns that differ in case only the first stays."""
+    taken, names, out = {m.lower() for m in mine}, [], []
+    for c in docs.columns if carry is None else carry:
+        if c.lower() not in taken:
+            taken.add(c.lower())
+            out.append(docs[f"`{c}`"].alias(f"c{len(names)}"))
+            names.append(c)
+    return names, out

@@ -120,3 +120,30 @@ g AS (SELECT doc_id, {', '.join(counts)}, string_agg({name}, ',' ORDER BY o, a)
 m AS (SELECT doc_id, string_agg({name}, ',' ORDER BY a, z, kind) AS m FROM more GROUP BY doc_id)
 SELECT t.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in _PLAIN)}, sha256(coalesce(b, '')) AS base_sha256,
        concat_ws(',', b, m) AS spans FROM t LEFT JOIN g ON g.doc_id = t.doc_id LEFT JOIN m ON m.doc_id = t.doc_id"""
+
+_LOWERED = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+_TOKEN = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+# CRC-32 byte by byte, once for each different word.
+RESAMPLE = f"""
+WITH tab AS (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) ORDER BY b) AS tab
+             FROM (SELECT unnest(range(256)) AS b)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, {_TOKEN}) AS ws FROM documents),
+dw AS (SELECT r, unnest(ws) AS w FROM d),
+bw AS (SELECT unnest(regexp_extract_all({_LOWERED}, {_TOKEN})) AS w FROM benchmark),
+k AS (SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(strlen(w)), lambda i: CAST('0x' || substr(hex(w), 2 * i + 1, 2) AS BIGINT))),
+                  lambda c, y: xor(c // 256, tab[xor(c, y) % 256 + 1])), 4294967295) % 10000 AS bucket
+      FROM (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw)), tab),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN k USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bw JOIN k USING (w) GROUP BY bucket),
+g AS (SELECT b.bucket, CAST(floor(1000 * ln(CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * CAST((SELECT count(*) FROM dw) + 10000 AS DOUBLE)
+             / (CAST(coalesce(s.n, 0) + 1 AS DOUBLE) * CAST((SELECT count(*) FROM bw) + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+      FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN s ON s.bucket = b.bucket LEFT JOIN t ON t.bucket = b.bucket),
+f AS (SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM dw JOIN k USING (w) JOIN g USING (bucket) GROUP BY r),
+e AS (SELECT d.r, d.doc_id, coalesce(f.n, 0) AS n_features, CAST(coalesce(floor(CAST(f.total AS DOUBLE) / f.n), 0) AS BIGINT) AS weight,
+             CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+      FROM d LEFT JOIN f ON f.r = d.r),
+x AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM e),
+p AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) OVER () AS n FROM x WHERE n_features >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM x LEFT JOIN p ON p.r = x.r"""

@@ -1,4 +1,4 @@
-"""Registered queries of the ten corpus operators: thin adapters that derive the digest columns."""
+"""Registered queries of the corpus operators: thin adapters that derive the digest columns."""
 from __future__ import annotations
 
 from collections.abc import Callable
@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_text, jaccard, mixing, oracles, pieces, pii, quality, secrets, spans, token_counts
+from . import ann, exact_dedup, html_text, jaccard, mixing, oracles, pieces, pii, quality, resample, secrets, spans, token_counts
 from .common import text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,9 @@ def op4_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
                        "s.log_prob", "s.perturbed", "s.log_inclusion", "ids", "decoded_sha256",
                        (F.col("decoded_sha256") == F.col("text_sha256")).alias("round_trip"))
+
+
+@register("op12_resample", oracles.RESAMPLE)
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
