@@ -1,7 +1,7 @@
 """DuckDB SQL of the operators that SQL can express over whole tables."""
 from __future__ import annotations
 
-from . import secrets
+from . import licenses, secrets
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -124,15 +124,23 @@ SELECT t.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in _PLAIN)}, sh
 _LOWERED = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
 _TOKEN = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
-# CRC-32 byte by byte, once for each different word.
+_CRC_TABLE = """(SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) ORDER BY b) AS tab
+             FROM (SELECT unnest(range(256)) AS b))"""
+
+
+def _crc32(word: str) -> str:
+    """CRC-32 of a text byte by byte, by the table ``tab``."""
+    byte = f"CAST('0x' || substr(hex({word}), 2 * i + 1, 2) AS BIGINT)"
+    return (f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(strlen({word})), lambda i: {byte})), "
+            "lambda c, y: xor(c // 256, tab[xor(c, y) % 256 + 1])), 4294967295)")
+
+
 RESAMPLE = f"""
-WITH tab AS (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) ORDER BY b) AS tab
-             FROM (SELECT unnest(range(256)) AS b)),
+WITH tab AS {_CRC_TABLE},
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, {_TOKEN}) AS ws FROM documents),
 dw AS (SELECT r, unnest(ws) AS w FROM d),
 bw AS (SELECT unnest(regexp_extract_all({_LOWERED}, {_TOKEN})) AS w FROM benchmark),
-k AS (SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(strlen(w)), lambda i: CAST('0x' || substr(hex(w), 2 * i + 1, 2) AS BIGINT))),
-                  lambda c, y: xor(c // 256, tab[xor(c, y) % 256 + 1])), 4294967295) % 10000 AS bucket
+k AS (SELECT w, {_crc32('w')} % 10000 AS bucket
       FROM (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw)), tab),
 s AS (SELECT bucket, count(*) AS n FROM dw JOIN k USING (w) GROUP BY bucket),
 t AS (SELECT bucket, count(*) AS n FROM bw JOIN k USING (w) GROUP BY bucket),
@@ -147,3 +155,51 @@ x AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 429496729
 p AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) OVER () AS n FROM x WHERE n_features >= 20)
 SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
 FROM x LEFT JOIN p ON p.r = x.r"""
+
+# Nodes by the digest of all turns so far; a node's sums go to the nodes on its smallest member's path.
+PREFIX_TRIE = f"""
+WITH tab AS {_CRC_TABLE},
+o AS (SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t, length(coalesce(text, '')) AS size, turn FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, t) AS pos FROM o),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc32('CAST(conv_id AS VARCHAR)')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM p), tab),
+r AS (SELECT c.conv_id, p.t, p.size, p.pos FROM c JOIN p ON p.conv_id = c.base AND p.pos <= c.h
+      UNION ALL SELECT c.conv_id, p.t, p.size, p.pos FROM c JOIN p ON p.conv_id = c.conv_id AND p.pos > c.h),
+q AS (SELECT conv_id, size, row_number() OVER s AS depth, md5(string_agg(t, ',') OVER s) AS k FROM r WINDOW s AS (PARTITION BY conv_id ORDER BY pos)),
+m AS (SELECT conv_id, 0 AS size, 0 AS depth, '' AS k FROM c UNION ALL SELECT * FROM q),
+e AS (SELECT conv_id, max(depth) AS last FROM m GROUP BY conv_id),
+n AS (SELECT k, min(m.conv_id) AS conv_id, min(depth) AS depth, min(size) AS size, count(*) AS n,
+             sha256(coalesce(string_agg(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id) FILTER (depth = last), '')) AS ends
+      FROM m JOIN e USING (conv_id) GROUP BY k),
+u AS (SELECT n.*, up.k AS pk, pn.conv_id AS parent FROM n LEFT JOIN m up ON up.conv_id = n.conv_id AND up.depth = n.depth - 1 LEFT JOIN n pn ON pn.k = up.k),
+kids AS (SELECT pk AS k, count(*) AS kids FROM u WHERE pk IS NOT NULL GROUP BY pk),
+s AS (SELECT up.k, sum(CASE WHEN kids IS NULL THEN 1 ELSE 0 END) AS leaves, sum((u.n - 1) * u.size) AS saved
+      FROM u LEFT JOIN kids USING (k) JOIN m up ON up.conv_id = u.conv_id AND up.depth <= u.depth GROUP BY up.k)
+SELECT u.conv_id, CAST(u.depth AS BIGINT) AS depth, u.parent AS parent_conv_id, u.n AS n_convs, coalesce(kids, 0) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, u.ends AS ends_sha256
+FROM u LEFT JOIN kids ON kids.k = u.k JOIN s ON s.k = u.k"""
+
+
+def license_scan() -> str:
+    """Places where a template's rare words agree on its beginning and its key phrases stand, by joins over numbered words."""
+    rows = [f"({k}, '{t.label}', {k < len(licenses.PHRASES)}, {t.words}, {[f' {p} ' for p in t.key_phrases]}, {t.slack}, {licenses.NOTICE_WORDS if t.keys else licenses.PHRASE_WORDS})"
+            for k, t in enumerate([*licenses.PHRASES, *licenses.NOTICES])]
+    return f"""
+WITH t(t, label, base, words, keys, slack, most) AS (VALUES {', '.join(rows)}),
+tw AS (SELECT t, w, q FROM (SELECT t, unnest(words) AS w, unnest(range(len(words))) AS q FROM t)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, {_TOKEN}) AS ws FROM documents),
+dw AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
+f AS (SELECT v.w, count(DISTINCT dw.r) AS n FROM (SELECT DISTINCT w FROM tw) v LEFT JOIN dw ON dw.w = v.w GROUP BY v.w),
+x AS (SELECT t, w FROM (SELECT u.t, u.w, most, row_number() OVER (PARTITION BY u.t ORDER BY n, u.w) AS place
+                        FROM (SELECT DISTINCT t, w FROM tw) u JOIN f USING (w) JOIN t USING (t)) WHERE place <= most),
+post AS (SELECT tw.* FROM tw JOIN x USING (t, w)),
+need AS (SELECT t, least({licenses.AGREE}, count(*)) AS need FROM post GROUP BY t),
+c AS (SELECT r, t, i - q AS start, count(*) AS n FROM dw JOIN post USING (w) GROUP BY r, t, i - q),
+p AS (SELECT c.r, c.t, c.start, label, base,
+             len(list_filter(range(len(words)), lambda j: start + j >= 0 AND coalesce(ws[start + j + 1] = words[j + 1], false)))::DOUBLE / len(words) AS share
+      FROM c JOIN need USING (t) JOIN t USING (t) JOIN d USING (r)
+      WHERE c.n >= need AND len(list_filter(keys, lambda k: NOT contains(' ' || array_to_string(ws[greatest(start - slack, 0) + 1 : start + len(words) + slack], ' ') || ' ', k))) = 0),
+g AS (SELECT r, count(*) FILTER (base) AS n, min(start) FILTER (base) AS lo, max(start) FILTER (base) AS hi,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS bl, string_agg(DISTINCT label, ',' ORDER BY label) AS al, max(share) AS score FROM p GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word,
+       coalesce(bl, '') AS base_labels, coalesce(al, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN g ON g.r = d.r"""

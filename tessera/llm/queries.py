@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_text, jaccard, mixing, oracles, pieces, pii, quality, resample, secrets, spans, token_counts
+from . import ann, exact_dedup, html_text, jaccard, licenses, mixing, oracles, pieces, pii, prefix_trie, quality, resample, secrets, spans, token_counts
 from .common import text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,17 @@ def op4_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@register("op13_prefix_trie", oracles.PREFIX_TRIE)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+@register("op11_licenses", oracles.license_scan())
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    base = F.col("base_places")
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(base["start"]).alias("first_word"),
+                        F.array_max(base["start"]).alias("last_word"), F.array_join(F.array_sort(F.array_distinct(base["label"])), ",").alias("base_labels"),
+                        F.array_join("labels", ",").alias("labels"), "score")
