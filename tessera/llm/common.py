@@ -1,9 +1,14 @@
 """Helpers shared by the corpus operators: shared-folder tables, size-checked broadcasts, digests."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +60,23 @@ def carried(docs: DataFrame, carry: list[str] | None, mine: list[str]) -> tuple[
             out.append(docs[f"`{c}`"].alias(f"c{len(names)}"))
             names.append(c)
     return names, out
+
+
+def give_back_memory() -> None:
+    """Return what a finished task has freed to the system: workers are reused, and idle ones count too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def frees_memory(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's generator that gives its memory back at the end."""
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back_memory()
+    return whole

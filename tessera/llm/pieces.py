@@ -31,10 +31,13 @@ probability 1 and inclusion 1; a text with fewer than k segmentations gives
 them all, with inclusion 1; rows with equal key and text get equal samples;
 white space is kept as it is; decoding gives the text back exactly; an empty
 table gives an empty result; input columns of the same name as an output
-column are replaced.
+column, in any case, give way to it. A text of any length is searched whole: a
+task holds one block of rows (``BLOCK_CHARS`` bytes, or one longer text, at some
+200 bytes of arrays a character) besides the words' lattices, which go when the task ends.
 """
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import random
@@ -45,14 +48,16 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import carried, give_back_memory, text_or_empty
 from .jaccard import mix
 
 SAMPLES, ALPHA, SEED = 2, 1.0, 23
-BLOCK_CHARS = 1 << 20  # characters of the rows that are drawn together
+BLOCK_CHARS = 1 << 18  # bytes of the rows that are drawn together
 STORE_NODES = 3 << 19  # characters of the words whose lattices a worker keeps
 BUILD_CHARS = 1 << 18  # characters of the words whose lattices are built together
 MARK = "▁"  # stands for a space in pieces
@@ -435,43 +440,63 @@ def lattices(path: str, alpha: float) -> Lattices:
 
 
 SAMPLE_TYPE = "array<struct<ids:array<int>,log_prob:double,perturbed:double,log_inclusion:double>>"
+CHECKED_TYPE = SAMPLE_TYPE.replace("double>>", "double,decoded_sha256:string,round_trip:boolean>>")
 
 
-def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    at = size = 0
-    for i, t in enumerate(texts):
-        if i > at and size + len(t) > BLOCK_CHARS:
-            yield at, i
-            at, size = i, 0
-        size += len(t)
-    if texts:
-        yield at, len(texts)
+def _blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Rows [a, b) that are drawn together: about ``BLOCK_CHARS`` bytes, one row at least."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_CHARS, "right")))
+        yield at, to
+        at = to
 
 
 def encode_samples(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", k: int = SAMPLES, alpha: float = ALPHA,
-                   seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
-    """Rows of ``docs`` (columns ``carry``, default all) with ``samples``: k different segmentations by falling perturbed score."""
-    kept = [c for c in (docs.columns if carry is None else carry) if c != "samples"]
-    rows = docs.select(F.struct(*[docs[c] for c in kept]).alias("_row"), text_or_empty(docs[text]).alias("_text"),
-                       F.xxhash64(F.lit(seed), docs[key]).alias("_key"))
+                   seed: int = SEED, carry: list[str] | None = None, check: bool = False) -> DataFrame:
+    """Rows of ``docs`` (columns ``carry``, default all) with ``samples``: k different segmentations by falling perturbed score.
+
+    With ``check`` each sample is decoded where it was made: SHA-256 of the decoded text, and whether it is the row's text."""
+    names, rest = carried(docs, carry, ["samples"])
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("_row"), text_or_empty(docs[text]).alias("_text"), F.xxhash64(F.lit(seed), docs[key]).alias("_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = lattices(path, alpha)
-        kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64())]))
-        for batch in batches:
-            keys, texts, carried = batch.column("_key").to_pylist(), batch.column("_text").to_pylist(), batch.column("_row")
-            for a, b in _blocks(texts):
-                found = _search(store, keys[a:b], texts[a:b], k)
-                samples = [s for f in found for s in f]
-                ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s[0]) for s in samples)]), pa.int32()),
-                                               pa.array(np.concatenate([s[0] for s in samples]).astype(np.int32)))
-                each = pa.StructArray.from_arrays([ids, *[pa.array([s[i] for s in samples], pa.float64()) for i in (1, 2, 3)]], fields=list(kind.value_type))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), each)
-                yield pa.RecordBatch.from_arrays([carried.slice(a, b - a), lists], ["_row", "samples"])
+        store, decoder = lattices(path, alpha), Decoder(path) if check else None
+        try:
+            for batch in batches:
+                sizes = pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy()
+                for a, b in _blocks(sizes):
+                    keys, texts = (batch.column(c).slice(a, b - a).to_pylist() for c in ("_key", "_text"))
+                    found = _search(store, keys, texts, k)
+                    lists = _as_arrow(found, texts, decoder)
+                    yield pa.RecordBatch.from_arrays([batch.column("_row").slice(a, b - a), lists], ["_row", "samples"])
+                    del found, lists
+        finally:
+            store.reset()
+            give_back_memory()
 
     shape = rows.select("_row").schema
-    out = rows.mapInArrow(run, f"_row {shape['_row'].dataType.simpleString()}, samples {SAMPLE_TYPE}")
-    return out.select(*[F.col("_row").getField(c).alias(c) for c in kept], "samples")
+    out = rows.mapInArrow(run, T.StructType([shape["_row"], *T.StructType.fromDDL(f"samples {CHECKED_TYPE if check else SAMPLE_TYPE}")]))
+    return out.select(*[F.col("_row").getField(f"c{i}").alias(c) for i, c in enumerate(names)], "samples")
+
+
+def _as_arrow(found: list[list[tuple]], texts: list[str], decoder: Decoder | None) -> pa.ListArray:
+    """The samples of some rows as a list column."""
+    samples = [s for f in found for s in f]
+    ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s[0]) for s in samples)]), pa.int32()), pa.array(np.concatenate([s[0] for s in samples]).astype(np.int32)))
+    parts, names = [ids, *[pa.array([s[i] for s in samples], pa.float64()) for i in (1, 2, 3)]], ["ids", "log_prob", "perturbed", "log_inclusion"]
+    if decoder is not None:
+        digests, same = [], []
+        for f, text in zip(found, texts, strict=True):
+            want = text.encode()
+            for s in f:
+                got = decoder.utf8(s[0].tolist())
+                digests.append(hashlib.sha256(got).hexdigest())
+                same.append(got == want)
+        parts += [pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
+        names += ["decoded_sha256", "round_trip"]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.StructArray.from_arrays(parts, names))
 
 
 class Decoder:
@@ -484,9 +509,12 @@ class Decoder:
         self.raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else p.replace(MARK, " ").encode()
                     for i, p in ((i, sp.id_to_piece(i)) for i in range(sp.get_piece_size()))]
 
+    def utf8(self, ids: list[int]) -> bytes:
+        whole = b"".join(map(self.raw.__getitem__, ids))
+        return whole[1:] if whole[:1] == b" " else whole  # the space that stands for the begin
+
     def __call__(self, ids: list[int]) -> str:
-        whole = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
-        return whole[1:] if whole[:1] == " " else whole  # the space that stands for the begin
+        return self.utf8(ids).decode("utf-8", "replace")
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
