@@ -92,35 +92,53 @@ def _places(source: str, body: str, pattern: str, keys: str) -> str:
         SELECT {keys}, regexp_extract_all({body}, '{pattern}') AS hits, string_split_regex({body}, '{pattern}') AS gaps FROM {source}))"""
 
 
-def private_data(support: int, remove: float, generalise: float) -> str:
+def _disclosure(support: int, generalise: float) -> str:
+    """Tables t, base, lines and more: the words that disclose a kind (no value) or a value of their document's base spans."""
     parts = " UNION ALL ".join(
         f"""SELECT doc_id, {i} AS o, '{k}' AS kind, a, a + length(hit) AS z, hit FROM (
             SELECT *, regexp_replace(hit, '[^0-9]', '', 'g') AS digits FROM ({_places('t', 'body', p, 'doc_id')})) WHERE {_VALID[k]}"""
         for i, (k, p) in enumerate(_PLAIN.items()))
-    name = "kind || ':' || CAST(a AS VARCHAR) || ':' || CAST(z AS VARCHAR)"
-    counts = [f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _PLAIN]
     return f"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents), base AS ({parts}),
+t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents), base AS ({parts}),
 lines AS (SELECT doc_id, hit AS line, a AS at_ FROM ({_places('t', 'body', '[^' + chr(92) + 'n]+', 'doc_id')})),
-held AS (SELECT DISTINCT l.doc_id, l.line, l.at_, b.kind, b.hit FROM lines l JOIN base b ON b.doc_id = l.doc_id AND b.a >= l.at_ AND b.z <= l.at_ + length(l.line)),
-near_line AS (SELECT DISTINCT doc_id, line, at_ FROM held),
-word AS (SELECT doc_id, at_, at_ + a AS a, at_ + a + length(hit) AS z, lower(hit) AS term FROM ({_places('near_line', 'line', _WORD[1:-1], 'doc_id, at_')})),
+held AS (SELECT DISTINCT l.doc_id, l.line, l.at_, b.kind, unnest([NULL, b.hit]) AS v
+         FROM lines l JOIN base b ON b.doc_id = l.doc_id AND b.a >= l.at_ AND b.z <= l.at_ + length(l.line)),
+own AS (SELECT t.* FROM t WHERE doc_id IN (SELECT doc_id FROM base)),
+word AS (SELECT doc_id, a, a + length(hit) AS z, lower(hit) AS term FROM ({_places('own', 'body', _WORD[1:-1], 'doc_id')})),
 free AS (SELECT * FROM word w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.a < w.z AND b.z > w.a)),
-pair AS (SELECT term, kind, count(DISTINCT (f.doc_id, f.at_)) AS n_both FROM free f JOIN held h ON h.doc_id = f.doc_id AND h.at_ = f.at_
-         GROUP BY term, kind HAVING count(DISTINCT h.hit) >= {support}),
+pair AS (SELECT term, kind, v, count(DISTINCT (h.doc_id, h.at_)) AS n_both
+         FROM free f JOIN held h ON h.doc_id = f.doc_id AND f.a >= h.at_ AND f.z <= h.at_ + length(h.line) GROUP BY term, kind, v HAVING n_both >= {support}),
 every AS (SELECT unnest(list_distinct(regexp_extract_all(lower(line), {_WORD}))) AS term FROM lines),
 n_term AS (SELECT term, count(*) AS n_term FROM every GROUP BY term),
-n_kind AS (SELECT kind, count(DISTINCT (doc_id, at_)) AS n_kind FROM held GROUP BY kind),
+n_target AS (SELECT kind, v, count(DISTINCT (doc_id, at_)) AS n_target FROM held GROUP BY kind, v),
 total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM lines),
-term AS (SELECT term, kind, CASE WHEN n > n_kind THEN log2(n * n_both / (n_term * n_kind)) / log2(n / n_kind) ELSE 0 END AS disclosure
-         FROM pair JOIN n_term USING (term) JOIN n_kind USING (kind), total),
-more AS (SELECT DISTINCT f.doc_id, {len(_PLAIN)} AS o, CASE WHEN disclosure >= {remove} THEN 'remove_' ELSE 'general_' END || kind AS kind, a, z
-         FROM free f JOIN (SELECT DISTINCT doc_id, at_, kind FROM held) h USING (doc_id, at_) JOIN term USING (term, kind) WHERE disclosure >= {generalise}),
+term AS (SELECT term, p.kind, p.v, CASE WHEN n > n_target THEN log2(n * n_both / (n_term * n_target)) / log2(n / n_target) ELSE 0 END AS disclosure
+         FROM pair p JOIN n_term USING (term) JOIN n_target g ON g.kind = p.kind AND g.v IS NOT DISTINCT FROM p.v, total),
+more AS (SELECT f.doc_id, a, z, x.kind, f.term, max(disclosure) AS disclosure
+         FROM free f JOIN term x USING (term) JOIN (SELECT DISTINCT doc_id, kind, unnest([NULL, hit]) AS v FROM base) h
+           ON h.doc_id = f.doc_id AND h.kind = x.kind AND h.v IS NOT DISTINCT FROM x.v
+         WHERE disclosure >= {generalise} GROUP BY f.doc_id, a, z, x.kind, f.term)"""
+
+
+def private_data(support: int, remove: float, generalise: float) -> str:
+    name = "kind || ':' || CAST(a AS VARCHAR) || ':' || CAST(z AS VARCHAR)"
+    counts = [f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _PLAIN]
+    return f"""
+WITH {_disclosure(support, generalise)},
+said AS (SELECT doc_id, a, z, CASE WHEN disclosure >= {remove} THEN 'remove_' ELSE 'general_' END || kind AS kind FROM more),
 g AS (SELECT doc_id, {', '.join(counts)}, string_agg({name}, ',' ORDER BY o, a) AS b FROM base GROUP BY doc_id),
-m AS (SELECT doc_id, string_agg({name}, ',' ORDER BY a, z, kind) AS m FROM more GROUP BY doc_id)
+m AS (SELECT doc_id, string_agg({name}, ',' ORDER BY a, z, kind) AS m FROM said GROUP BY doc_id)
 SELECT t.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in _PLAIN)}, sha256(coalesce(b, '')) AS base_sha256,
        concat_ws(',', b, m) AS spans FROM t LEFT JOIN g ON g.doc_id = t.doc_id LEFT JOIN m ON m.doc_id = t.doc_id"""
 
+
+def disclosing_words(support: int, remove: float, generalise: float) -> str:
+    return f"""
+WITH {_disclosure(support, generalise)}
+SELECT doc_id, CAST(a AS INTEGER) AS start, CAST(z AS INTEGER) AS "end", CASE WHEN disclosure >= {remove} THEN 'remove_' ELSE 'general_' END || kind AS kind, term,
+       disclosure FROM more"""
+
+
 _LOWERED = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
 _TOKEN = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, exact_dedup, html_text, jaccard, licenses, mixing, oracles, pieces, pii, prefix_trie, quality, resample, secrets, spans, token_counts
-from .common import text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -62,18 +61,26 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op5_private", oracles.private_data(pii.SUPPORT, pii.REMOVE, pii.GENERALISE))
 def op5_private(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.find_private(table(spark, sf_dir, "documents"), carry=["doc_id"])
     counts = [secrets.counted(F.col("base_private"), k).alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, spans.digest(F.col("base_private")).alias("base_sha256"),
                         spans.joined(F.col("private")).alias("spans"))
 
 
-@register("op5_disclosing_words")
+@register("op5_disclosing_words", oracles.disclosing_words(pii.SUPPORT, pii.REMOVE, pii.GENERALISE))
 def op5_disclosing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each word that discloses a kind or a value, on any line of the documents that hold it."""
     return pii.disclosing_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@register("op5_sanitised")
+def op5_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold personal data, with their sanitised text."""
+    found = pii.find_private(table(spark, sf_dir, "documents"), carry=["doc_id", "text"])
+    held = found.filter(F.size("private") > 0)
+    return pii.sanitise(held).select("doc_id", F.size("private").cast("long").alias("n_spans"), "sanitised")
+
+
 @register("op7_nearest")
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
@@ -107,15 +114,11 @@ def op4_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and sample, by falling perturbed score: the piece ids, and whether they decode to the text."""
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = docs.withColumn("text_sha256", F.sha2(text_or_empty("text"), 256))
-    out = pieces.encode_samples(docs, path, carry=["doc_id", "text_sha256"])
-    one = out.select("doc_id", "text_sha256", F.posexplode("samples").alias("sample", "s"))
-    back = pieces.decode(one.withColumn("ids", F.col("s.ids")), path).withColumn("decoded_sha256", F.sha2("decoded", 256))
-    return back.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
-                       "s.log_prob", "s.perturbed", "s.log_inclusion", "ids", "decoded_sha256",
-                       (F.col("decoded_sha256") == F.col("text_sha256")).alias("round_trip"))
+    out = pieces.encode_samples(docs, public_tokenizers.path("piece_bpe_32k.model"), carry=["doc_id"], check=True)
+    one = out.select("doc_id", F.posexplode("samples").alias("sample", "s"))
+    return one.select("doc_id", "sample", F.size("s.ids").cast("long").alias("n_pieces"), F.xxhash64("s.ids").alias("ids_hash"),
+                      "s.log_prob", "s.perturbed", "s.log_inclusion", "s.ids", "s.decoded_sha256", "s.round_trip")
 
 
 @register("op12_resample", oracles.RESAMPLE)

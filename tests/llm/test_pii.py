@@ -61,12 +61,19 @@ def test_disclosing_terms(spark):
 def test_words_that_disclose_one_value(spark):
     rows = [(i, f"reach Zephyrine zeph@mail.example here\nplain line {i}" + "\nthanks to Zephyrine" * (i == 7)) for i in range(30)]
     rows += [(100 + i, f"nothing here to reach\nwords {i} line plain") for i in range(200)] + [(400, "Zephyrine"), (401, None), (402, "reach a@b.c")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS Private", "1 AS _base", "2 AS c0")
     got = [tuple(r) for r in P.disclosing_words(df).select("doc_id", "start", "end", "kind", "term").collect()]
     want = [(i, 6, 15, "remove_email", "zephyrine") for i in range(30)]
     at = rows[7][1].index("Zephyrine", 20)
-    assert sorted(got) == sorted([*want, (7, at, at + 9, "remove_email", "zephyrine")])
-    assert all(s["kind"] == "email" for r in P.find_private(df).collect() for s in r["private"])
+    want.append((7, at, at + 9, "remove_email", "zephyrine"))
+    assert sorted(got) == sorted(want)
+    # The operator itself marks the same words, on any line of the document.
+    found = P.find_private(df)
+    assert found.columns == ["doc_id", "text", "_base", "c0", "base_private", "private"]
+    same = [(r["doc_id"], s["start"], s["end"], s["kind"], s["value"]) for r in found.collect() for s in r["private"] if s["order"] == len(P.KINDS)]
+    assert sorted(same) == sorted(want)
+    clean = {r["doc_id"]: r["sanitised"] for r in P.sanitise(found).collect()}
+    assert clean[7] == "reach  <email> here\nplain line 7\nthanks to " and clean[400] == "Zephyrine" and clean[401] == "" and clean[402] == "reach <email>"
     assert P.disclosing_words(df.limit(0)).count() == 0
 
 
