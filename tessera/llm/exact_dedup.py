@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialise, text_or_empty
+from .common import checked_broadcast, frees_memory, materialise, text_or_empty
 
 PAGE_BYTES = 32 << 20  # texts of a bucket before it splits
 MAX_DEPTH = 20  # largest directory: 2**20 entries; deeper buckets stay overfull and their owner reads on
@@ -136,11 +136,11 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", page:
         [(p, b, o) for b, ((lo, hi, _), o) in enumerate(zip(buckets, owned, strict=True)) for p in range(lo, hi)],
         "_p long, bucket int, _owner int")
     prefix = F.shiftrightunsigned(F.col("_h"), 64 - depth)
-    entries = rows.mapInArrow(_fold, "_h long, _text string, _id long, _n long, _best long")
+    entries = rows.mapInArrow(frees_memory(_fold), "_h long, _text string, _id long, _n long, _best long")
     placed = entries.withColumn("_p", prefix).join(checked_broadcast(directory, 1 << MAX_DEPTH), "_p")
     mine = placed.repartitionById(owners, F.col("_owner")).sortWithinPartitions("_h")
     index = mine.select("_h", "_text", "_id", "_n", "_best").mapInArrow(
-        _own, "_h long, chain int, text_sha256 string, keep_id long, group_size long, _best long")
+        frees_memory(_own), "_h long, chain int, text_sha256 string, keep_id long, group_size long, _best long")
     return materialise(index, "index")
 
 

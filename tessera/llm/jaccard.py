@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import frees_memory, materialise, text_or_empty
 from .components import components
 
 COUNTERS = 22  # bits: 4M counters
@@ -177,7 +177,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def levels(scanned: DataFrame) -> np.ndarray:
     """Half-logarithmic frequency level of each counter, one byte each: 4 MB for any corpus."""
     parts = scanned.filter(F.col("_block").isNotNull()).select("_block", "_counts")
-    sums = parts.repartition(BLOCKS, "_block").mapInArrow(_add, "_block int, _counts binary")
+    sums = parts.repartition(BLOCKS, "_block").mapInArrow(frees_memory(_add), "_block int, _counts binary")
     counts = np.zeros((BLOCKS, (1 << COUNTERS) // BLOCKS), dtype=np.int64)
     for r in sums.collect():
         counts[r["_block"]] = np.frombuffer(r["_counts"], dtype="<i8")
@@ -229,7 +229,7 @@ class Join:
         self.spark, self.percent, self.width = docs.sparkSession, percent, width
         whole = text_or_empty(docs[text])
         self.rows = docs.select(docs[key].cast("long").alias("_id"), F.xxhash64(whole).alias("_key"), whole.alias("_text"))
-        self.scanned = materialise(self.rows.mapInArrow(_scan(width), MEMBER_SCHEMA), "scanned")
+        self.scanned = materialise(self.rows.mapInArrow(frees_memory(_scan(width)), MEMBER_SCHEMA), "scanned")
         self.members = self.scanned.filter(F.col("_n").isNotNull()).select("_id", "_key", "_class", "_n")
         self.level = self.spark.sparkContext.broadcast(levels(self.scanned))
         self.classes = self._prefixes()
@@ -259,7 +259,7 @@ class Join:
                          *[pa.array(c, pa.list_(pa.int32())) for c in cols[3:]]], ["_class", "_n", "_p0", *[f"_p{o}" for o in range(1, ORDERS)]])
 
         more = "".join(f", _p{o} array<int>" for o in range(1, ORDERS))
-        each = self.rows.mapInArrow(run, f"_class long, _n int, _p0 array<long>{more}")
+        each = self.rows.mapInArrow(frees_memory(run), f"_class long, _n int, _p0 array<long>{more}")
         return materialise(each.dropDuplicates(["_class"]), "prefixes")
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
@@ -291,7 +291,7 @@ class Join:
         one = self.members.join(asked, "_class").groupBy("_class").agg(F.min("_key").alias("_key"))
         bits = min(BLOOM, max(BLOOM_BLOCK + 3, (16 * asked.count()).bit_length()))
         block = F.shiftrightunsigned("_key", 64 - BLOOM_BLOCK).cast("int")
-        parts = one.select("_key", block.alias("_block")).repartition(1 << BLOOM_BLOCK, "_block").mapInArrow(_mark(bits), "_block int, _bits binary")
+        parts = one.select("_key", block.alias("_block")).repartition(1 << BLOOM_BLOCK, "_block").mapInArrow(frees_memory(_mark(bits)), "_block int, _bits binary")
         marks = np.zeros((1 << BLOOM_BLOCK, 1 << (bits - BLOOM_BLOCK - 3)), dtype=np.uint8)
         for r in parts.collect():  # 2**BLOOM bits at most
             marks[r["_block"]] = np.frombuffer(r["_bits"], dtype=np.uint8)
@@ -309,7 +309,7 @@ class Join:
                 if seen:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.list_(pa.int64()))], ["_class", "_tokens"])
 
-        found = self.rows.mapInArrow(run, "_class long, _tokens array<long>")
+        found = self.rows.mapInArrow(frees_memory(run), "_class long, _tokens array<long>")
         return materialise(found.join(asked, "_class", "left_semi").dropDuplicates(["_class"]), "sets")
 
     def postings(self) -> DataFrame:

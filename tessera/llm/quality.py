@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import carried, give_back_memory, text_or_empty
 
 SAMPLE = 16_000  # labelled rows that the model is fitted on, at most
 RIVALS = 8  # preferred documents drawn for each document of label 0
@@ -104,14 +104,19 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """Learn from the labelled rows whose id hash does not mark them as held out."""
     rows = labels.select(labels[key].alias("_id"), labels[label].cast("int").alias("_y")).filter(
         F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
-    rows = rows.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
+    rows = rows.distinct().orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
     x = docs.select(docs[key].alias("_id"), text_or_empty(docs[text]).alias("_text")).join(F.broadcast(rows), "_id")
 
     @F.pandas_udf("array<double>")
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([features(t) for t in batch])
-
+        try:
+            for batch in batches:
+                yield pd.Series([features(t) for t in batch])
+        finally:
+            give_back_memory()
+
+    # A repeated id is learned once for each label: the driver gets ``sample`` rows at most.
+    x = x.groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
     found = x.select("_y", "_id", extract("_text").alias("_x")).orderBy("_id", "_y").collect()
     return fit_pairs(np.array([r["_x"] for r in found]).reshape(-1, N_FEATURES), np.array([r["_y"] for r in found]))
 
@@ -121,10 +126,13 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            x = np.array([features(t) for t in batch]).reshape(-1, N_FEATURES)
-            yield pd.Series(model.score(x))
-
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    scored = docs.select(*kept, score(text_or_empty(docs[text])).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+        try:
+            for batch in batches:
+                x = np.array([features(t) for t in batch]).reshape(-1, N_FEATURES)
+                yield pd.Series(model.score(x))
+        finally:
+            give_back_memory()
+
+    names, rest = carried(docs, None, ["score", "predicted"])
+    scored = docs.select(*rest, score(text_or_empty(docs[text])).alias("_score"))
+    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted"))

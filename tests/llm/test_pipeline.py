@@ -61,3 +61,17 @@ def test_near_copies_with_null_and_shared_ids(spark):
     kept = [r for r in got if r[1] in near]
     assert len(kept) == 1 and kept[0][0] == 5
     assert (9, other[0]) in got and sum((r[1] or "").startswith(other[1]) for r in got) == 1 and len(got) == 5
+
+
+def test_columns_of_any_name_survive(spark, tmp_path):
+    texts = ["plain good words that read well " * 4, "plain good words that read well " * 4, None, "", "other sentences about something else entirely " * 3]
+    rows = [(i, t, "ab"[i % 2], f"own {i}") for i, t in enumerate(texts)]
+    mine = ["score", "Predicted", "kept", "keep_id", "group_size", "size", "target", "copies", "_copy", "text_hash", "_gone_id", "_row", "c0", "a.b", "samples"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, own string").selectExpr("*", "'de' AS lang", *[f"own AS `{c}`" for c in mine])
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(all(r[i] == r["own"] for i in range(5, len(docs.columns))) for r in got), name
+    assert C.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
