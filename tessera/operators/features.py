@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import stem_native as SN
 from ..functions import text as T
+from . import phrase_vectors as PV
 
 
 def _c(c) -> Column:
@@ -67,10 +69,10 @@ def same_suffix_len(w1, w2, max_len: int = 5) -> Column:
 
 # F8 / F9
 def term_count_in_text(term, text) -> Column:
-    """Non-overlapping, case-insensitive matches of whitespace + term + one
+    """Non-overlapping matches, letters of any script in either case, of whitespace + term + one
     whitespace char in the text (term quoted, so ``C++`` is a literal)."""
     quoted = F.regexp_replace(_c(term), r"([\\^$.|?*+()\[\]{}\-])", r"\\$1")
-    pat = F.concat(F.lit("(?i)[" + T.WS + "]+"), quoted, F.lit("[" + T.WS + "]"))
+    pat = F.concat(F.lit("(?iu)[" + T.WS + "]+"), quoted, F.lit("[" + T.WS + "]"))
     return F.coalesce(F.regexp_count(F.coalesce(_c(text), F.lit("")), pat), F.lit(0))
 
 
@@ -189,3 +191,35 @@ def assemble(df: DataFrame, names: list[str], out: str = "features", registry: d
     builder registry; users add entries to extend the vector."""
     reg = registry or FEATURES
     return df.withColumn(out, F.array(*[reg[n]().cast("double") for n in names]))
+
+
+# F26 in the reference's order: similarities of phrase vectors, definition counts and similarities,
+# see-also flags, token features on stems.
+SIMILARITIES = {"q1_sim": ("q1", "q1"), "a1_sim": ("a1", "a1"), "r1_sim": ("r1", "r1"), "a2_sim": ("a2", "a2"), "q2_sim": ("q2", "q2"), "r2_sim": ("r2", "r2"),
+                "def_sim": ("def", "def"), "w1_def2_sim": ("name", "def"), "w2_def1_sim": ("def", "name")}
+ALL_FEATURES = ["q1_sim", "a1_sim", "r1_sim", "a2_sim", "q2_sim", "r2_sim", "def_sim", "w1_in_def2", "w2_in_def1", "w1_def2_sim", "w2_def1_sim",
+                "w1_see_also2", "w2_see_also1", "common_tokens", "same_last", "same_first", "same_count", "edit_distance", "single_sides"]
+
+
+def term_material(terms: DataFrame, texts: DataFrame, definitions: DataFrame, vectors: DataFrame, dims: int | None = None) -> DataFrame:
+    """One row a term: term, stems, definition ('' if none), vecs (map of field to vector, with the fields name and def).
+
+    ``texts`` (term, field, text) is read once; definitions and names join it as fields of their own."""
+    terms = terms.select("term").filter(F.col("term").isNotNull()).distinct()
+    stems = SN.stems_of(terms.select("term", T.split_tokens("term").alias("tokens")))
+    fields = texts.select("term", "field", "text").unionByName(definitions.select("term", F.lit("def").alias("field"), F.col("definition").alias("text")))
+    fields = fields.unionByName(terms.select("term", F.lit("name").alias("field"), F.col("term").alias("text"))).join(terms, "term", "left_semi")
+    vecs = PV.by_term(PV.phrase_vectors(fields, vectors, dims))
+    found = stems.join(definitions.select("term", "definition"), "term", "left").join(vecs, "term", "left")
+    return found.select("term", "stems", F.coalesce("definition", F.lit("")).alias("definition"), "vecs")
+
+
+def all_features(pairs: DataFrame, material: DataFrame) -> DataFrame:
+    """``pairs`` (w1, w2, ...) with the columns of ``ALL_FEATURES``: one join of ``term_material`` for each side.
+
+    Pairs with a term that the material lacks get similarities 0, counts 0 and null token features."""
+    side = lambda n: material.select(F.col("term").alias(f"w{n}"), F.col("stems").alias(f"t{n}"), F.col("definition").alias(f"def{n}"), F.col("vecs").alias(f"_v{n}"))
+    rows = pairs.join(side(1), "w1", "left").join(side(2), "w2", "left")
+    made = {n: FEATURES[n]() for n in ALL_FEATURES if n in FEATURES}
+    made |= {n: PV.cosine(F.try_element_at("_v1", F.lit(a)), F.try_element_at("_v2", F.lit(b))) for n, (a, b) in SIMILARITIES.items()}
+    return rows.select(*pairs.columns, *[made[n].cast("double").alias(n) for n in ALL_FEATURES])
