@@ -81,5 +81,5 @@ def load() -> None:
     global _LOADED
     if _LOADED:
         return
-    from . import q_eval, q_features, q_glossary, q_models, q_more, q_pages, q_pairs, q_stems, q_store, q_stream, q_text  # noqa: F401
+    from . import q_eval, q_features, q_glossary, q_layouts, q_models, q_more, q_pages, q_pairs, q_stems, q_store, q_stream, q_text  # noqa: F401
     _LOADED = True

@@ -85,3 +85,51 @@ CTES = {
 
 def with_(extra: list[str] | None = None) -> str:
     return "WITH " + ",\n".join([*CTES.values(), *(extra or [])]) + "\n"
+
+
+# Turn markup by layout (conversation id modulo 4): what users' and assistants' turns become.
+# {t}: the escaped text, {s}: its first twenty characters, {c}: conversation id, {n}: turn.
+LAYOUTS = [
+    ('<td class="postcell"><div><p>{t}</p><table><tr><td class=\'x\'>side {n}</td></tr></table></div></td>',
+     "<td class='answercell'><p>{t}</p><p>turn {n}</p></td><div class=\"side related-box\"><div>see</div><a class=\"question-hyperlink\" href='/q/{c}/{n}'>{s}</a></div>"),
+    ('<h1><span class="rendered_qtext">{t}<span> ({n})</span></span></h1>', '<span class=ui_qtext_rendered_qtext>{t}</span><a href="/topic/{c}?turn={n}" class="question_link">{s}</a>'),
+    ('<span class="term_title">Definition of: {s}</span>', '<div id="encyc_entry"><div class="in">{t}</div>tail{x}advert</div>'),
+    ('<article class="text-page"><header>{s}</header><div><p>{t}</p></div></article>', '<article class="plain"><p>{t}</p></article>'),
+]
+BLANK_LINES = "\n\n\n\n"
+
+
+def layout_pages(spark, d) -> DataFrame:
+    """(page_id, layout, html): one page for each conversation."""
+    turns = B.table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    short = F.replace(F.replace(F.replace(F.substring("text", 1, 20), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    rows = turns.withColumn("t", safe).withColumn("s", short)
+
+    def filled(template: str):
+        out = F.lit(template)
+        for slot, value in (("{n}", F.col("turn").cast("string")), ("{c}", F.col("conv_id").cast("string")), ("{x}", F.lit(BLANK_LINES)), ("{s}", F.col("s")), ("{t}", F.col("t"))):
+            out = F.replace(out, F.lit(slot), value)
+        return out
+
+    layout = F.col("conv_id") % len(LAYOUTS)
+    piece = None
+    for i, (user, other) in enumerate(LAYOUTS):
+        value = F.when(F.col("role") == "user", filled(user)).otherwise(filled(other))
+        piece = F.when(layout == i, value) if piece is None else piece.when(layout == i, value)
+    made = rows.select("conv_id", "turn", layout.cast("int").alias("layout"), piece.alias("piece"))
+    pages = made.groupBy("conv_id", "layout").agg(F.sort_array(F.collect_list(F.struct("turn", "piece"))).alias("p"))
+    return pages.select(F.col("conv_id").alias("page_id"), "layout", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("html"))
+
+
+def _filled_sql(template: str) -> str:
+    out = D.q(template)
+    for slot, value in (("{n}", "CAST(turn AS VARCHAR)"), ("{c}", "CAST(conv_id AS VARCHAR)"), ("{x}", "repeat(chr(10), 4)"), ("{s}", "s"), ("{t}", "t")):
+        out = f"replace({out}, '{slot}', {value})"
+    return out
+
+
+_SAFE = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+LAYOUT_SQL = f"""layout_pages AS (SELECT conv_id AS page_id, CAST(conv_id % {len(LAYOUTS)} AS INTEGER) AS layout, string_agg(CASE conv_id % {len(LAYOUTS)} {' '.join(
+    f"WHEN {i} THEN CASE WHEN role = 'user' THEN {_filled_sql(u)} ELSE {_filled_sql(o)} END" for i, (u, o) in enumerate(LAYOUTS))} END, '' ORDER BY turn) AS html
+    FROM (SELECT *, {_SAFE.format('text')} AS t, {_SAFE.format('left(text, 20)')} AS s FROM conversations) GROUP BY conv_id)"""
