@@ -133,3 +133,23 @@ _SAFE = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 LAYOUT_SQL = f"""layout_pages AS (SELECT conv_id AS page_id, CAST(conv_id % {len(LAYOUTS)} AS INTEGER) AS layout, string_agg(CASE conv_id % {len(LAYOUTS)} {' '.join(
     f"WHEN {i} THEN CASE WHEN role = 'user' THEN {_filled_sql(u)} ELSE {_filled_sql(o)} END" for i, (u, o) in enumerate(LAYOUTS))} END, '' ORDER BY turn) AS html
     FROM (SELECT *, {_SAFE.format('text')} AS t, {_SAFE.format('left(text, 20)')} AS s FROM conversations) GROUP BY conv_id)"""
+
+
+def word_graph(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(senses, edges): every letter word of the documents has itself and its first four letters as senses; a node's
+    parents are its first half and, where its length is even, its second half."""
+    words = B.table(spark, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)))).alias("word")).distinct()
+    senses = words.select("word", F.explode(F.array_distinct(F.array("word", F.left("word", F.lit(4))))).alias("sense"))
+    half = lambda x: F.floor(F.length(x) / 2).cast("int")
+    nodes = words.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.left("word", F.floor(F.length("word") / F.pow(F.lit(2), k)).cast("int")))).alias("child"))
+    nodes = nodes.distinct().filter(F.length("child") > 1)
+    parents = F.when(F.length("child") % 2 == 0, F.array(F.left("child", half("child")), F.right("child", half("child")))).otherwise(F.array(F.left("child", half("child"))))
+    return senses, nodes.select("child", F.explode(parents).alias("parent")).distinct()
+
+
+GRAPH_CTES = [
+    f"h_words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {D.rx(LETTERS)})) AS word FROM documents)",
+    "h_senses AS (SELECT word, word AS sense FROM h_words UNION SELECT word, left(word, 4) FROM h_words)",
+    "h_nodes AS (SELECT DISTINCT child FROM (SELECT unnest(list_transform([1, 2, 4, 8, 16, 32], lambda k: left(word, length(word) // k))) AS child FROM h_words) WHERE length(child) > 1)",
+    "h_edges AS (SELECT child, left(child, length(child) // 2) AS parent FROM h_nodes UNION SELECT child, right(child, length(child) // 2) FROM h_nodes WHERE length(child) % 2 = 0)",
+]
