@@ -7,6 +7,8 @@ quality = 1. Two models, m1 and m2.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -14,6 +16,8 @@ from ..operators import folds as O
 from ..operators import metrics as M
 from ..operators import pairs as P
 from ..operators.rank import blocked_cumsum, global_rank, md5_bucket, md5_int
+from ..session import ensure_checkpoint_dir
+from ..sources import lines as L
 from . import duck as D
 from . import bindings as B
 from .catalog import _SCORED_SQL, register, scored_candidates
@@ -205,12 +209,17 @@ def prediction_log(spark, d):
 
 
 def parse_prediction_log(lines):
-    """fold = running count of header lines - 1; rows under 5 fields rejected."""
+    """fold = running count of header lines - 1; rows under 5 fields rejected.
+
+    Lines of ``numbered_lines`` are counted by their splits, other lines by ranges of their number."""
     is_head = F.col("value").contains(LOG_HEADER)
-    withfold = blocked_cumsum(lines, is_head.cast("int"), "line_no", "_heads", ["file"])
+    if "block" in lines.columns:
+        withfold = L.running_sum(lines, is_head.cast("int"), "_heads")
+    else:
+        withfold = blocked_cumsum(lines, is_head.cast("int"), "line_no", "_heads", ["file"])
     parts = F.filter(F.split(F.col("value"), "\t", -1), lambda x: F.length(x) > 0)
     rows = (withfold.filter(~is_head).withColumn("_p", parts).filter(F.size("_p") >= 5)
-            .select("file", (F.col("_heads") - 1).alias("fold"), T.at("_p", 1).alias("label"),
+            .select(F.col("log" if "block" in lines.columns else "file").alias("file"), (F.col("_heads") - 1).alias("fold"), T.at("_p", 1).alias("label"),
                     (T.at("_p", 2) == "Correct").alias("correct"),
                     F.filter(F.split(F.regexp_replace(T.at("_p", 3), r"[\[\]]", ""), " ", -1), lambda x: x != "").alias("_s"),
                     T.at("_p", 4).alias("w1"), T.at("_p", 5).alias("w2")))
@@ -246,6 +255,29 @@ def log_fold_metrics(spark, d):
     return M.ratios(M.confusion(parsed, ["file", "fold"], F.col("py"), F.col("ty")))
 
 
+# S8-S11 + W2 on files: the log written as text, read in splits, numbered and counted
+def _written_log(spark, d):
+    """Lines of the log's part files, one folder a model, in line order."""
+    path = f"{ensure_checkpoint_dir(spark)}/logs/{uuid.uuid4().hex}"
+    log = prediction_log(spark, d)
+    log.repartitionByRange(4, "line_no").sortWithinPartitions("file", "line_no").select(F.col("file").alias("model"), "value").write.partitionBy("model").text(path)
+    return L.numbered_lines(spark, path, by_folder=True, recursive=True)
+
+
+@register("log_file_lines", f"WITH {PRED_SQL}, {_LOG_SQL} SELECT file AS model, CAST(line_no AS BIGINT) AS line_no, value FROM lines")
+def log_file_lines(spark, d):
+    return _written_log(spark, d).select(F.regexp_extract("log", "model=([^/]*)$", 1).alias("model"), "line_no", "value")
+
+
+@register("log_file_fold_metrics", f"WITH {PRED_SQL}, {_LOG_SQL} " + _ratios_sql(_conf_sql(
+    "(SELECT *, label = 'yes' AS py, (CASE WHEN correct THEN label WHEN label = 'yes' THEN 'no' ELSE 'yes' END) = 'yes' AS ty FROM parsed)",
+    "file, fold", "py", "ty"), "file, fold"))
+def log_file_fold_metrics(spark, d):
+    parsed = parse_prediction_log(_written_log(spark, d)).withColumn("file", F.regexp_extract("file", "model=([^/]*)$", 1))
+    parsed = parsed.withColumn("py", F.col("label") == "yes").withColumn("ty", M.true_label(F.col("label"), F.col("correct")) == "yes")
+    return M.ratios(M.confusion(parsed, ["file", "fold"], F.col("py"), F.col("ty")))
+
+
 # S10 + S11: the log's rows as they are read back
 @register("log_parsed_rows", f"WITH {PRED_SQL}, {_LOG_SQL} SELECT file, fold, label, correct, p_yes, w1, w2 FROM parsed")
 def log_parsed_rows(spark, d):
@@ -273,6 +305,7 @@ def report_lines(spark, d):
 
 # S8 + O1 + O2 + A2 + E4/K4: scored-pair log of the candidates, parsed, deduped, fanned out
 LOG_YES_HEADER = "yes=[0 1] no=[1 0]"
+# Fixed value: the pair at the start of a line of the log.
 PAIR_LINE = r"""^\(['"](.+)['"], ['"](.+)['"]\)"""
 
 

@@ -50,3 +50,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def written(df, name: str):
+    """``df`` written once as Parquet in the shared checkpoint folder and read back: its rows no longer change when a task is run again."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/written-{uuid.uuid4().hex}/{name}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
