@@ -153,3 +153,34 @@ GRAPH_CTES = [
     "h_nodes AS (SELECT DISTINCT child FROM (SELECT unnest(list_transform([1, 2, 4, 8, 16, 32], lambda k: left(word, length(word) // k))) AS child FROM h_words) WHERE length(child) > 1)",
     "h_edges AS (SELECT child, left(child, length(child) // 2) AS parent FROM h_nodes UNION SELECT child, right(child, length(child) // 2) FROM h_nodes WHERE length(child) % 2 = 0)",
 ]
+
+
+# Stored page records: the source of a conversation by its id modulo 4; its term is that of document id / 4.
+SOURCES = ["qa", "qa2", "encyclopedia", "regular"]
+
+
+def page_store(spark, d) -> DataFrame:
+    """(term, source, version, content): JSON page records; of several conversations of a term the last one counts."""
+    turns = B.table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    one = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    of = lambda role: F.transform(F.filter("t", lambda x: x["role"] == role), lambda x: x["text"])
+    links = F.transform(F.filter("t", lambda x: x["role"] == "user"), lambda x: F.array(F.substring(x["text"], 1, 20), F.concat(F.lit("/q/"), x["turn"].cast("string"))))
+    asked = F.to_json(F.array(F.struct(of("user").alias("questions"), of("assistant").alias("answers"), links.alias("related_questions"))))
+    defined = F.to_json(F.transform("t", lambda x: F.struct(x["text"].alias("definition"))))
+    plain = F.to_json(F.array(F.struct(F.transform("t", lambda x: x["text"]).alias("content"), F.struct(F.size("t").alias("turns")).alias("other"))))
+    kind = F.col("conv_id") % 4
+    rows = one.select("conv_id", F.get(F.array(*[F.lit(s) for s in SOURCES]), kind).alias("source"), F.when(kind < 2, asked).when(kind == 2, defined).otherwise(plain).alias("content"))
+    names = documents(spark, d).select("doc_id", "term")
+    return rows.join(names, F.floor(F.col("conv_id") / 4) == F.col("doc_id")).select("term", "source", F.col("conv_id").alias("version"), "content")
+
+
+STORE_CTES = [
+    f"""k_rows AS (SELECT term, {SOURCES}[conv_id % 4 + 1] AS source, max(conv_id) AS conv_id FROM (SELECT DISTINCT conv_id FROM conversations) JOIN g_docs ON doc_id = conv_id // 4 GROUP BY ALL)""",
+    "k_turns AS (SELECT term, source, turn, role, text, conv_id % 4 AS kind, row_number() OVER (PARTITION BY term, source, role ORDER BY turn) - 1 AS nth, row_number() OVER (PARTITION BY term, source ORDER BY turn) - 1 AS n "
+    "FROM k_rows JOIN conversations USING (conv_id))",
+    """k_items AS (SELECT term, source, 0 AS page_no, 'questions' AS field, nth AS item_no, text FROM k_turns WHERE kind < 2 AND role = 'user'
+        UNION ALL SELECT term, source, 0, 'answers', nth, text FROM k_turns WHERE kind < 2 AND role = 'assistant'
+        UNION ALL SELECT term, source, 0, 'related_questions', nth, left(text, 20) FROM k_turns WHERE kind < 2 AND role = 'user'
+        UNION ALL SELECT term, source, n, 'definition', 0, text FROM k_turns WHERE kind = 2
+        UNION ALL SELECT term, source, 0, 'content', n, text FROM k_turns WHERE kind = 3)""",
+]
