@@ -11,7 +11,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (P
        doc_id = max(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
 FROM t"""
 
-# Targets by the sorted order of saturation; the sample is the prefix by random number that comes nearest to what is left.
+# Targets by the sorted order of saturation; the sample is the prefix of the Pareto order that comes nearest to what is left.
 MIX = f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS BIGINT) AS size,
                   CAST('0x' || substr(md5(concat_ws('|', '20', CAST(doc_id AS VARCHAR), text)), 1, 15) AS BIGINT) AS u FROM documents),
@@ -24,11 +24,18 @@ l AS (SELECT coalesce((SELECT CAST(total - capped AS DOUBLE) / CAST(weight AS DO
 t AS (SELECT source, words, least(CAST(3 * words AS DOUBLE), level * w) AS target FROM s, l),
 g AS (SELECT *, CAST(CASE WHEN words > 0 THEN floor(target / words + 1e-12) ELSE 0 END AS BIGINT) AS whole FROM t),
 h AS (SELECT *, greatest(0, target - whole * words) AS rest FROM g),
-p AS (SELECT d.source, d.u, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u) AS cum, h.rest
-      FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source WHERE d.size > 0),
-c AS (SELECT source, arg_min(u, abs(cum - rest)) AS cut, min(abs(cum - rest)) <= min(rest) AS near FROM p WHERE rest > 0 GROUP BY source),
-m AS (SELECT d.*, h.words, h.target, least(h.whole + CASE WHEN c.near AND d.u <= c.cut THEN 1 ELSE 0 END, 3) AS copies
-      FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source)
+e AS (SELECT *, CAST(floor(sqrt(CAST(size AS DOUBLE))) AS BIGINT) AS k FROM d),
+j AS (SELECT e.source, k, CAST(sum(size) AS BIGINT) AS sz, min(h.rest) AS rest FROM e JOIN h ON e.source IS NOT DISTINCT FROM h.source WHERE size > 0 AND h.rest > 0 GROUP BY e.source, k),
+v AS (SELECT source, k, rest - CAST(sum(sz) OVER (PARTITION BY source ORDER BY k DESC) - sz AS DOUBLE) AS todo, CAST(sum(k * sz) OVER (PARTITION BY source ORDER BY k) AS DOUBLE) AS upto FROM j),
+i AS (SELECT source, max(k) AS most, arg_max(todo, k) AS todo, arg_max(todo / upto, k) AS c FROM v WHERE todo / upto * k <= 1 AND todo >= 0 GROUP BY source),
+q AS (SELECT e.source, e.size, e.u, i.todo, CASE WHEN c * k >= 1 THEN 0 ELSE n * (1 - c * k) / (n * (1 - c * k) + c * k * (1 - n)) END AS v
+      FROM (SELECT *, (CAST(u AS DOUBLE) + 0.5) / 1152921504606846976.0::DOUBLE AS n FROM e) e JOIN i ON e.source IS NOT DISTINCT FROM i.source WHERE size > 0 AND k <= most AND c > 0 AND i.todo > 0),
+p AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY v, u) AS DOUBLE) AS cum FROM q),
+c AS (SELECT source, arg_min((v, u), (abs(cum - todo), v, u)) AS cut, min(abs(cum - todo)) <= min(todo) AS near FROM p GROUP BY source),
+z AS (SELECT e.*, i.most, CASE WHEN i.c * k >= 1 THEN 0 ELSE n * (1 - i.c * k) / (n * (1 - i.c * k) + i.c * k * (1 - n)) END AS v, i.c AS factor
+      FROM (SELECT *, (CAST(u AS DOUBLE) + 0.5) / 1152921504606846976.0::DOUBLE AS n FROM e) e LEFT JOIN i ON e.source IS NOT DISTINCT FROM i.source),
+m AS (SELECT z.*, h.words, h.target, least(h.whole + CASE WHEN size > 0 AND factor IS NOT NULL AND (k > most OR (c.near AND (z.v, z.u) <= c.cut)) THEN 1 ELSE 0 END, 3) AS copies
+      FROM z JOIN h ON z.source IS NOT DISTINCT FROM h.source LEFT JOIN c ON z.source IS NOT DISTINCT FROM c.source)
 SELECT doc_id, size, words AS source_size, target, CAST(size * copies AS BIGINT) AS taken, source, CAST(copies AS BIGINT) AS copies FROM m"""
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -67,3 +67,25 @@ def test_many_sources_have_positions(spark):
     got = {r["source"]: r["target"] for r in M.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
     want = targets({s: words(t) for _, s, t in rows})
     assert all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
+def test_inclusion_follows_size(spark):
+    """Over many seeds a document is taken as often as its probability says, and the words come near the target each time."""
+    rows = [(i, "a", "w " * (1 if i < 60 else 16 if i < 90 else 2500)) for i in range(91)] + [(1000 + i, "b", "w " * 10) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).cache()
+    seen, n = {}, 12
+    for seed in range(n):
+        out = M.mix_sources(df, weights=(1, 6), seed=seed).collect()
+        for r in out:
+            seen[r["doc_id"]] = seen.get(r["doc_id"], 0) + r["copies"]
+        one = [r for r in out if r["source"] == "a"]
+        assert one[0]["copies"] <= 3 and abs(sum(r["taken"] for r in one) - one[0]["target"]) <= 1250
+    df.unpersist()
+    small, large = sum(seen[i] for i in range(60)) / 60 / n, sum(seen[i] for i in range(60, 90)) / 30 / n
+    # floor(sqrt(size)) is 1 and 4, so the odds of inclusion differ.
+    assert small <= large
+
+
+def test_pareto_rank(spark):
+    got = spark.createDataFrame([(1 << 59, 0.5), (1 << 59, 0.9), ((1 << 60) - 1, 0.5), (0, 1.0), (0, 1e-300)], "u long, p double").select(M.pareto_rank(M.F.col("u"), M.F.col("p"))).collect()
+    assert [round(r[0], 12) for r in got] == [0.5, 0.1, 1.0, 0.0, 1.0]
