@@ -20,7 +20,8 @@ Nothing is fitted: rotations come from ``seed``, every row is indexed.
 Defined results: null, zero-length, zero or non-finite vectors, vectors with a
 null component, vectors of another dimension than the commonest (the larger at
 a tie) and rows without id take no part; ids that repeat with the same vector
-count once, a query never finds its own id; ties go to the smaller id; an empty
+count once, of an id's different vectors the one with the smallest bytes counts; ids are
+whole numbers; a query never finds its own id; ties go to the smaller id; an empty
 table gives an empty result; other columns are ignored.
 """
 from __future__ import annotations
@@ -59,6 +60,7 @@ def rotations(dim: int, tables: int, hashes: int, seed: int) -> np.ndarray:
 
 def turned(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     """Unit vectors of x after one pseudo-rotation."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small components stay in range
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     y = np.zeros((len(x), signs.shape[1]))
     y[:, :x.shape[1]] = unit
@@ -131,11 +133,26 @@ CELL_SCHEMA = "_cell long, _query boolean, _id long, _v binary"
 FOUND_SCHEMA = "query_id long, _class long, score double"
 
 
+def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances; where squares leave the range of doubles, of differences scaled by their largest component."""
+    with np.errstate(over="ignore"):
+        d = vectors - query
+        squares = np.einsum("ij,ij->i", d, d)
+    odd = np.flatnonzero(~np.isfinite(squares) | (squares < 1e-290))
+    score = np.sqrt(squares)
+    if len(odd):
+        largest = np.abs(d[odd]).max(axis=1, keepdims=True)
+        scale = np.where((largest > 0) & np.isfinite(largest), largest, 1.0)
+        small = d[odd] / scale
+        with np.errstate(over="ignore"):
+            score[odd] = np.sqrt(np.einsum("ij,ij->i", small, small)) * scale[:, 0]
+    return score
+
+
 def _ranked(ids: np.ndarray, vectors: np.ndarray, queries: list[tuple[int, bytes]], k: int, kind: str) -> Iterator[tuple]:
     """The best k + 1 classes of each query among some vectors."""
     for q, raw in queries:
-        d = vectors - np.frombuffer(raw, dtype=kind).astype(np.float64)
-        score = np.sqrt(np.einsum("ij,ij->i", d, d))
+        score = distances(vectors, np.frombuffer(raw, dtype=kind).astype(np.float64))
         if len(score) > k + 1:
             some = np.flatnonzero(score <= np.partition(score, k)[k])
         else:
@@ -184,10 +201,10 @@ def nearest(vectors: DataFrame, queries: Column, vector: str = "embedding", key:
     dim = commonest["dim"]
     kind = "<f4" if vectors.schema[vector].dataType.elementType.typeName() == "float" else "<f8"
     valid = valid.filter(F.size("_v") == dim)
-    packed = valid.select("_id", "_v").mapInArrow(_packed(kind), "_id long, _v binary")
+    # One vector for each id.
+    packed = materialise(valid.select("_id", "_v").mapInArrow(_packed(kind), "_id long, _v binary").groupBy("_id").agg(F.min("_v").alias("_v")), "vectors")
     classes = materialise(classes_of(packed, k), "classes")
-    asked = valid.filter("_asked").select("_id", "_v").mapInArrow(_packed(kind), "_id long, _v binary").dropDuplicates(["_id", "_v"])
-    asked = materialise(asked, "queries")
+    asked = materialise(packed.join(valid.filter("_asked").select("_id").distinct(), "_id", "left_semi"), "queries")
     signs = rotations(dim, tables, hashes, seed)
     width = (2 * signs.shape[-1]) ** hashes
     n_classes = classes.count()

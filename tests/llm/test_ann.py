@@ -62,3 +62,18 @@ def test_recall(spark, sf):
         hit, total = hit + len(true & got[q]), total + len(true)
     print(sf, hit / total)
     assert hit / total >= 0.93
+
+
+def test_distances_of_very_large_and_small_vectors(spark):
+    rows = [(0, [1e200, 0.0]), (1, [2e200, 0.0]), (2, [1e200, 3e200]), (3, [1e-200, 0.0]), (4, [3e-200, 0.0]), (100, [2e-200, 0.0]), (5, [1.0, 1.0])]
+    out = A.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), A.F.col("vec_id") % 100 == 0, k=2).collect()
+    got = {(o["query_id"], o["rank"]): (o["vec_id"], o["score"]) for o in out}
+    assert got[0, 1] == (1, 1e200) and got[0, 2] == (3, 1e200) and got[100, 1] == (3, 1e-200) and got[100, 2] == (4, 1e-200)
+    assert A.distances(np.array([[1e308, 0.0], [3.0, 4.0]]), np.array([-1e308, 0.0]))[0] == np.inf
+
+
+def test_an_id_has_one_vector(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 3.0]), (2, [1.0, 2.0]), (0, [1.0, 0.0])]
+    out = A.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), A.F.col("vec_id") == 0).orderBy("rank").collect()
+    one = min([1.0, 3.0], key=lambda v: np.array([1.0, v]).tobytes())
+    assert sorted((o["vec_id"], o["score"]) for o in out) == [(1, one), (2, 2.0)]
