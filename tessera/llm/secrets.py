@@ -27,7 +27,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import carried, text_or_empty
 from .spans import joined, let, match_spans, tagged
 
 MOST_STRINGS = 64  # exact strings followed at once while deriving a query
@@ -182,15 +182,14 @@ def verify(text: Column, rule: Rule) -> Column:
 def find_secrets(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """``docs`` with grams (posting entries), ``secrets`` (all spans by start, then kind) and ``base_secrets``."""
     rules = RULES if rules is None else rules
-    kept = docs.select(*[c for c in docs.columns if c not in ("grams", "secrets", "base_secrets")])
-    indexed = index_documents(kept, text, rules)
-    whole = text_or_empty(indexed[text])
+    names, rest = carried(docs, None, ["grams", "secrets", "base_secrets"])
+    indexed = index_documents(docs.select(*rest, text_or_empty(docs[text]).alias("_text")), "_text", rules, "_grams")
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,value:string>>")
-    found = [(r, F.when(candidate(derive(r.pattern), indexed["grams"]), tagged(verify(whole, r), r.kind, i)).otherwise(none))
+    found = [(r, F.when(candidate(derive(r.pattern), F.col("_grams")), tagged(verify(F.col("_text"), r), r.kind, i)).otherwise(none))
              for i, r in enumerate(rules)]
     spans = indexed.withColumn("_all", F.array_sort(F.concat(*[c for _, c in found])))
     base = [r.kind for r in rules if r.base]
-    return spans.select(*kept.columns, "grams", F.col("_all").alias("secrets"),
+    return spans.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("_grams").alias("grams"), F.col("_all").alias("secrets"),
                         F.filter("_all", lambda s: s["kind"].isin(base)).alias("base_secrets"))
 
 

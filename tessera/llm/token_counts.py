@@ -25,7 +25,10 @@ once per worker and its count reused.
 The library is used with its defaults: no begin, end or added special tokens,
 special strings inside a text become the special token, no truncation.
 
-Defined results: null and empty texts have 0 tokens and 0 bytes.
+Defined results: null and empty texts have 0 tokens and 0 bytes; repeated rows are
+counted one by one, there are no ties; an empty table gives an empty result; input
+columns named like an output column, in any case, give way to it; a text of any
+length is counted whole, in chunks.
 """
 from __future__ import annotations
 
@@ -36,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import carried, text_or_empty
 
 HUGE = 1 << 16  # characters from which a text is encoded in overlapping chunks
 CHUNK, OVERLAP, AGREE = 1 << 15, 1 << 9, 3
@@ -167,9 +170,8 @@ def counter(path: str) -> Counter:
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", carry: list[str] | None = None, limit: int = 512) -> DataFrame:
     """Rows of ``docs`` (columns ``carry``, default all but the text) with n_bytes, n_tokens and over_limit."""
-    mine = {"n_bytes", "n_tokens", "over_limit"}
-    kept = [c for c in (docs.columns if carry is None else carry) if c not in mine and c != text]
-    rows = docs.select(*kept, text_or_empty(docs[text]).alias("_text"))
+    names, rest = carried(docs, [c for c in (docs.columns if carry is None else carry) if c != text], ["n_bytes", "n_tokens", "over_limit"])
+    rows = docs.select(*rest, text_or_empty(docs[text]).alias("_text"))
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = counter(path)
@@ -193,6 +195,6 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", carry: list[str
             yield pd.Series(out, dtype="int64")
 
     counted = F.pandas_udf(count, "long")
-    n = counted(F.col("_text"))
-    return (rows.withColumn("n_bytes", F.octet_length("_text").cast("long")).withColumn("n_tokens", n)
-            .withColumn("over_limit", F.col("n_tokens") > limit).drop("_text"))
+    found = rows.select("*", F.octet_length("_text").cast("long").alias("_bytes"), counted(F.col("_text")).alias("_tokens"))
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("_bytes").alias("n_bytes"), F.col("_tokens").alias("n_tokens"),
+                        (F.col("_tokens") > limit).alias("over_limit"))

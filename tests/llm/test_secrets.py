@@ -34,8 +34,10 @@ def test_against_plain_scan(spark):
     rows = [(i, "".join(r.choices(PIECES, k=r.randint(0, 60)))) for i in range(400)]
     rows += [(1000, None), (1001, ""), (1002, "token=abcdefg " * 3000), (1002, "token=abcdefg " * 3000), (None, "secret:token:abcdefgh"),
              (1003, "a" * 200000), (1004, "token==" + "x" * 100000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'q' AS grams", "1 AS secrets")
-    out = S.find_secrets(df).select("doc_id", "text", S.listed(S.F.col("base_secrets")).alias("b"), S.listed(S.F.col("secrets")).alias("a")).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'q' AS grams", "1 AS Secrets", "'own' AS _all", "'own' AS _text", "'own' AS c1")
+    out = S.find_secrets(df)
+    assert out.columns == ["doc_id", "text", "_all", "_text", "c1", "grams", "secrets", "base_secrets"] and out.filter("_all <> 'own' OR _text <> 'own' OR c1 <> 'own'").isEmpty()
+    out = out.select("doc_id", "text", S.listed(S.F.col("base_secrets")).alias("b"), S.listed(S.F.col("secrets")).alias("a")).collect()
     assert len(out) == len(rows)
     for o in out:
         assert o["b"] == brute(o["text"]), o["text"][:200] if o["text"] else o

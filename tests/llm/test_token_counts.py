@@ -40,4 +40,6 @@ def test_rows(spark):
     out = T.count_tokens(df, PATH, carry=["doc_id"]).collect()
     want = [(d, len((t or "").encode()), whole(t or ""), whole(t or "") > 512) for d, t, _ in rows]
     assert [tuple(r) for r in out] == want
+    clash = T.count_tokens(df.selectExpr("*", "'own' AS _text", "'own' AS _tokens", "1 AS N_Bytes"), PATH)
+    assert clash.columns == ["doc_id", "_text", "_tokens", "n_bytes", "n_tokens", "over_limit"] and clash.filter("_text <> 'own' OR _tokens <> 'own'").isEmpty()
     assert T.count_tokens(df.limit(0), PATH).count() == 0
