@@ -81,5 +81,5 @@ def load() -> None:
     global _LOADED
     if _LOADED:
         return
-    from . import q_eval, q_features, q_glossary, q_glossary_models, q_layouts, q_models, q_more, q_packs, q_pages, q_pairs, q_stems, q_store, q_stream, q_text  # noqa: F401
+    from . import q_eval, q_features, q_glossary, q_glossary_models, q_layouts, q_models, q_more, q_packs, q_pages, q_pairs, q_sinks, q_stems, q_store, q_stream, q_text  # noqa: F401
     _LOADED = True

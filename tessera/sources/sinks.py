@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 
 
 # K1
@@ -77,25 +78,34 @@ def write_glossary(defs: DataFrame, path: str) -> None:
 
 # S15
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
-    """All files under a folder: (path, extension, length, content)."""
+    """All files under a folder that are not empty: (path, extension, length, content)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", F.lower(T.file_extension(F.col("path"))).alias("extension"), "length", "content")
 
 
 def convert_directory(files: DataFrame, parsers: dict[str, Callable[[bytes], str]],
                       done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """S15 + K9: dispatch files by extension to user parsers (bytes -> text) in
-    ``mapInPandas``; unknown extensions go to the reject table; files whose
-    path is already in ``done`` (path column) are skipped with an anti join."""
+    """S15 + K9: dispatch files by extension to user parsers (bytes -> text) in ``mapInPandas``.
+
+    -> (path, text) and the rejects (path, extension, reason): unknown extensions, and files whose parser
+    failed. Files whose path is already in ``done`` (path column) are skipped with an anti join. The parsed files
+    are written once, so a parser runs once for a file whichever table is used."""
     if done is not None:
         files = files.join(done.select("path"), "path", "left_anti")
     known = list(parsers)
-    rejects = files.filter(~F.col("extension").isin(known)).select("path", "extension")
+    unknown = files.filter(~F.coalesce(F.col("extension").isin(known), F.lit(False))).select("path", "extension", F.lit("no parser").alias("reason"))
     todo = files.filter(F.col("extension").isin(known)).select("path", "extension", "content")
 
+    def parsed(extension: str, content: bytes) -> tuple[str | None, str | None]:
+        try:
+            return parsers[extension](bytes(content)), None
+        except Exception as wrong:  # a user parser may fail in any way; its file is rejected, the others go on
+            return None, f"{type(wrong).__name__}: {wrong}"[:500]
+
     def run(batches):
         for pdf in batches:
-            texts = [parsers[e](bytes(c)) for e, c in zip(pdf["extension"], pdf["content"])]
-            yield pd.DataFrame({"path": pdf["path"], "text": texts})
+            texts, reasons = zip(*[parsed(e, c) for e, c in zip(pdf["extension"], pdf["content"])]) if len(pdf) else ((), ())
+            yield pd.DataFrame({"path": pdf["path"], "extension": pdf["extension"], "text": pd.Series(texts, dtype=object, index=pdf.index), "reason": pd.Series(reasons, dtype=object, index=pdf.index)})
 
-    return todo.mapInPandas(run, "path string, text string"), rejects
+    out = written(todo.mapInPandas(run, "path string, extension string, text string, reason string"), "converted")
+    return out.filter("reason IS NULL").select("path", "text"), unknown.unionByName(out.filter("reason IS NOT NULL").select("path", "extension", "reason"))
