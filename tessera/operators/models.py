@@ -134,6 +134,21 @@ def svm_rff(n_features: int, dims: int = 32, gamma: float = 0.1, seed: int = 0)
     ])
 
 
+def with_rff(ds: DataFrame, n_features: int, dims: int = 32, gamma: float = 0.1, seed: int = 0) -> DataFrame:
+    """``ds`` with the random Fourier features in place of ``features``: they do not depend on the fold, so they are made once."""
+    made = rff_transformer(n_features, dims, gamma, seed).transform(ds)
+    return made.select(*[c for c in ds.columns if c != "features"], F.array(*[F.col(f"_rff_{k}") for k in range(dims)]).alias("features"))
+
+
+def svm_calibrated() -> Pipeline:
+    """M2 on features that ``with_rff`` has made: the linear part of ``svm_rff``."""
+    return Pipeline(stages=[
+        LinearSVC(featuresCol="fvec", labelCol="y", rawPredictionCol="_svm_raw", predictionCol="_svm_pred", maxIter=10),
+        MarginVector("_svm_raw", "_margin"),
+        LogisticRegression(featuresCol="_margin", labelCol="y", maxIter=10),
+    ])
+
+
 def model_by_name(name: str, n_features: int) -> Pipeline:
     return {"logistic": lambda: logistic(), "forest": lambda: forest(), "mlp": lambda: mlp(n_features),
             "svm_rff": lambda: svm_rff(n_features)}[name]()

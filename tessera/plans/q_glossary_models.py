@@ -54,7 +54,11 @@ _COUNTS = "count(*) AS n_test, count(*) FILTER (yes) AS n_yes, count(*) AS n_fin
 
 def _folds_query(name: str):
     def q(spark, d):
-        pred = MD.ten_fold(dataset(spark, d), MD.model_by_name(name, N), ["key"])
+        ds = dataset(spark, d)
+        if name == "svm_rff":
+            pred = MD.ten_fold(written(MD.with_rff(ds, N), "rff"), MD.svm_calibrated(), ["key"])
+        else:
+            pred = MD.ten_fold(ds, MD.model_by_name(name, N), ["key"])
         return _checks(pred).withColumn("model", F.lit(name))
     return q
 
