@@ -97,7 +97,7 @@ class Lattices:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.alpha = alpha
+        self.alpha, self.keep = alpha, STORE_NODES
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         ordinary = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.text = {i: sp.id_to_piece(i) for i in ordinary}
@@ -233,7 +233,7 @@ class Lattices:
         """Store numbers of the words of some rows, one after the other."""
         new = set().union(*rows).difference(self.words) if rows else set()
         if new:
-            if self.node.n + sum(map(len, new)) + len(new) > STORE_NODES:
+            if self.node.n + sum(map(len, new)) + len(new) > self.keep:
                 self.reset()
                 new = set().union(*rows)
             part: list[str] = []
@@ -454,15 +454,16 @@ def _blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def encode_samples(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", k: int = SAMPLES, alpha: float = ALPHA,
-                   seed: int = SEED, carry: list[str] | None = None, check: bool = False) -> DataFrame:
+                   seed: int = SEED, carry: list[str] | None = None, check: bool = False, keep: int = STORE_NODES) -> DataFrame:
     """Rows of ``docs`` (columns ``carry``, default all) with ``samples``: k different segmentations by falling perturbed score.
 
-    With ``check`` each sample is decoded where it was made: SHA-256 of the decoded text, and whether it is the row's text."""
+    ``keep``: characters of words whose lattices a worker holds; fewer take less memory and more time. With ``check`` each sample is decoded where it was made: SHA-256 of the decoded text, and whether it is the row's text."""
     names, rest = carried(docs, carry, ["samples"])
     rows = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("_row"), text_or_empty(docs[text]).alias("_text"), F.xxhash64(F.lit(seed), docs[key]).alias("_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, decoder = lattices(path, alpha), Decoder(path) if check else None
+        store.keep = keep
         try:
             for batch in batches:
                 sizes = pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy()
