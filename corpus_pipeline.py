@@ -55,7 +55,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of each document, as piece ids; copies of a document get equal ones, an empty text one without pieces."""
-    out = pieces.encode_samples(docs, public_tokenizers.path("piece_bpe_32k.model"), carry=["doc_id", "lang", "source"])
+    out = pieces.encode_samples(docs, public_tokenizers.path("piece_bpe_32k.model"), carry=["doc_id", "lang", "source"],
+                                keep=1 << 19)  # workers of earlier stages are still there: a small store
     return out.select("doc_id", "lang", "source", "samples")
 
 
