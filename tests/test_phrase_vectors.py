@@ -79,3 +79,15 @@ def test_columns_vary(spark):
         rows = catalog.QUERIES[name](spark, "/root/testdata/sf0.01").collect()
         for c in rows[0].__fields__:
             assert len({r[c] for r in rows}) > 1, (name, c)
+
+
+def test_vectors_by_chunk(spark):
+    """Any number of chunks gives the same sums, several vectors of a word add up, millionths round half up."""
+    texts = spark.createDataFrame([(f"t{i % 3}", f"f{i % 2}", f"alpha beta{i}, gamma\nbeta{i} alpha") for i in range(40)] + [("none", "f0", "unknown"), (None, "f0", "alpha")],
+                                  "term string, field string, text string")
+    given = [("alpha", [0.0000025, -0.0000025, None]), ("gamma", [1.0]), ("gamma", [0.5, 2.0, 0.25]), ("beta7", [3.0, 0.0, 1.0]), ("absent", [9.0, 9.0, 9.0]), ("beta8", None)]
+    vectors = spark.createDataFrame(given, "word string, vector array<double>")
+    found = [{(r["term"], r["field"]): list(r["vec"]) for r in PV.phrase_vectors(texts, vectors, chunks=n).collect()} for n in (1, 3, 50)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 6
+    one = spark.createDataFrame([("t", "f", "alpha. gamma gamma. beta7")], "term string, field string, text string")
+    assert list(PV.phrase_vectors(one, vectors).first()["vec"]) == [3 + 3_000_000 + 3_000_000, -3 + 4_000_000, 500_000 + 1_000_000]
