@@ -256,7 +256,7 @@ def _doc_words(spark, d):
     SELECT w1 AS word, count(*) AS n_phrases FROM cand GROUP BY w1""")
 def document_phrase_candidates(spark, d):
     w = _doc_words(spark, d)
-    vocab = w.select(F.explode("w").alias("term")).distinct()
+    vocab = w.select(F.explode(F.array_distinct("w")).alias("term")).distinct()
     n = F.size("w")
     bigrams = w.select(F.explode(F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(
         F.element_at("w", i), F.lit(" "), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>")))
