@@ -18,6 +18,8 @@ from . import glossary as G
 from . import q_eval as E
 from .catalog import ORACLE, register
 
+FILE_BYTES = 16 << 20  # text of one file at most: files are parsed whole
+
 
 def _folder(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/sinks/{name}-{uuid.uuid4().hex}"
@@ -76,7 +78,9 @@ def sink_pages_resumed(spark, d):
 @register("sink_directory", f"SELECT line, count(*) AS n FROM (SELECT replace({D.replace_all('text', '[' + chr(13) + chr(10) + ']+', ' ')}, 'a', 'A') AS line FROM documents WHERE text IS NOT NULL) GROUP BY line")
 def sink_directory(spark, d):
     path = _folder(spark, "files")
-    B.table(spark, d, "documents").filter("text IS NOT NULL").select(F.regexp_replace("text", "[\r\n]+", " ").alias("value")).repartition(16).write.text(path)
+    docs = B.table(spark, d, "documents").filter("text IS NOT NULL")
+    files = max(16, -(-(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // FILE_BYTES))
+    docs.select(F.regexp_replace("text", "[\r\n]+", " ").alias("value")).repartition(files).write.text(path)
     files = K.read_directory(spark, path)
     half = files.filter(F.pmod(F.xxhash64("path"), F.lit(2)) == 0)
     parse = {".txt": lambda content: content.decode().replace("a", "A")}

@@ -104,8 +104,9 @@ def convert_directory(files: DataFrame, parsers: dict[str, Callable[[bytes], str
 
     def run(batches):
         for pdf in batches:
-            texts, reasons = zip(*[parsed(e, c) for e, c in zip(pdf["extension"], pdf["content"])]) if len(pdf) else ((), ())
-            yield pd.DataFrame({"path": pdf["path"], "extension": pdf["extension"], "text": pd.Series(texts, dtype=object, index=pdf.index), "reason": pd.Series(reasons, dtype=object, index=pdf.index)})
+            for path, extension, content in zip(pdf["path"], pdf["extension"], pdf["content"]):  # one parsed file is held at a time
+                text, reason = parsed(extension, content)
+                yield pd.DataFrame({"path": [path], "extension": [extension], "text": pd.Series([text], dtype=object), "reason": pd.Series([reason], dtype=object)})
 
     out = written(todo.mapInPandas(run, "path string, extension string, text string, reason string"), "converted")
     return out.filter("reason IS NULL").select("path", "text"), unknown.unionByName(out.filter("reason IS NOT NULL").select("path", "extension", "reason"))
