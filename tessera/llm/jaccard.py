@@ -21,6 +21,12 @@ found give first components. Lists that lie in one component are done; the
 others yield their pairs across components. So every pair of classes that may be similar is
 either compared or already connected, and components are exact.
 
+Pairs across components are mostly of sets that are not similar, and in a large
+group of them there are many. So a pair must first pass a bound on parity
+sketches, where it is formed: a set's tokens each flip one of ``SKETCH`` * 64
+bits, so two sketches differ in no more bits than the sets have tokens apart,
+and similar sets have few of these. The bound drops no similar pair.
+
 The links themselves are another output (``similar_sets``, ``link_counts``):
 every pair of classes that passes the filters is compared, whether connected
 or not. There a list longer than ``WIDE`` is met by pairs of blocks of its
@@ -49,6 +55,7 @@ COUNTERS = 22  # bits: 4M counters
 BLOCKS = 64
 ORDERS = 3
 STAR = 16  # classes of a posting list from which it is long: first compared with a few of its classes only
+SKETCH = 8  # 64-bit words of the parity sketch of a set
 HEADS = 12  # classes of a long list that the others are compared with in a star round
 ROUNDS = 3  # star rounds, each with other heads
 WIDE = 512  # classes of a posting list, about, that one task pairs when all links are asked
@@ -200,6 +207,12 @@ def prefix(tokens: np.ndarray, level: np.ndarray, order: int, percent: int) -> n
     return tokens[some[np.argsort(key[some])]]
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the number of a set's tokens at each bit, as ``SKETCH`` 64-bit integers."""
+    bit = (mix(tokens ^ np.uint64(_M2)) >> np.uint64(32)).astype(np.int64) % (64 * SKETCH)
+    return np.packbits((np.bincount(bit, minlength=64 * SKETCH) & 1).astype(np.uint8)).view("<i8")
+
+
 def _overlap_bound(na: Column, nb: Column, percent: int) -> Column:
     """Smallest overlap of a similar pair: ceil(percent (na + nb) / (100 + percent))."""
     return F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent) - 1e-9).cast("int")
@@ -222,6 +235,14 @@ def _first_places(percent: int) -> Column:
     return (F.col("ia") <= F.col("na") - o) & (F.col("ib") <= F.col("nb") - o)
 
 
+def _sketches_near(percent: int) -> Column:
+    """Whether the sketches sa and sb differ in no more bits than the token sets of a similar pair may."""
+    apart = F.lit(0)
+    for i in range(SKETCH):
+        apart = apart + F.bit_count(F.col(f"sa.s{i}").bitwiseXOR(F.col(f"sb.s{i}")))
+    return apart <= F.col("na") + F.col("nb") - 2 * _overlap_bound(F.col("na"), F.col("nb"), percent)
+
+
 class Join:
     """The join's tables for one run."""
 
@@ -235,7 +256,7 @@ class Join:
         self.classes = self._prefixes()
 
     def _prefixes(self) -> DataFrame:
-        """One row for each different set: _class, _n and its prefixes (the first as 64-bit tokens, the others as 32-bit hashes)."""
+        """One row for each different set: _class, _n, its prefixes (the first as 64-bit tokens, the others as 32-bit hashes) and its sketch."""
         level, width, percent = self.level, self.width, self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,15 +272,17 @@ class Join:
                         seen.add(name)
                         first = prefix(tokens, level.value, 0, percent).astype(np.int64)
                         more = [(prefix(tokens, level.value, o, percent) >> np.uint64(32)).astype(np.uint32).astype(np.int32) for o in range(1, ORDERS)]
-                        out.append((name, len(tokens), first, *more))
+                        out.append((name, len(tokens), sketch(tokens), first, *more))
                 if out:
                     cols = list(zip(*out, strict=True))
+                    words = pa.StructArray.from_arrays([pa.array(w) for w in np.stack(cols[2], axis=1)], [f"s{i}" for i in range(SKETCH)])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int64())),
-                         *[pa.array(c, pa.list_(pa.int32())) for c in cols[3:]]], ["_class", "_n", "_p0", *[f"_p{o}" for o in range(1, ORDERS)]])
+                        [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), words, pa.array(cols[3], pa.list_(pa.int64())),
+                         *[pa.array(c, pa.list_(pa.int32())) for c in cols[4:]]], ["_class", "_n", "_sketch", "_p0", *[f"_p{o}" for o in range(1, ORDERS)]])
 
         more = "".join(f", _p{o} array<int>" for o in range(1, ORDERS))
-        each = self.rows.mapInArrow(frees_memory(run), f"_class long, _n int, _p0 array<long>{more}")
+        bits = ", ".join(f"s{i}: long" for i in range(SKETCH))
+        each = self.rows.mapInArrow(frees_memory(run), f"_class long, _n int, _sketch struct<{bits}>, _p0 array<long>{more}")
         return materialise(each.dropDuplicates(["_class"]), "prefixes")
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
@@ -318,13 +341,13 @@ class Join:
         shared = every.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
         return materialise(every.join(shared, "tok"), "postings")
 
-    def _pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pairs (a, b) of postings of a token, in different components, that may be similar.
+    def _pairs(self, left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+        """Pairs (a, b) of postings of a token, in different components, that may be similar; columns ``more`` of either side as {column}a and {column}b.
 
         The first token that similar sets share has at most n - overlap tokens
         before it in either set; later shared tokens need no entry."""
-        a = left.select("tok", F.col("c").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("label").alias("la"))
-        b = right.select("tok", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("label").alias("lb"))
+        a = left.select("tok", F.col("c").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("label").alias("la"), *[F.col(c).alias(f"{c}a") for c in more])
+        b = right.select("tok", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("label").alias("lb"), *[F.col(c).alias(f"{c}b") for c in more])
         return a.join(b, "tok").filter("la <> lb").filter(_similar_sizes(self.percent)).filter(_first_places(self.percent))
 
     def star(self, long: DataFrame, turn: int) -> DataFrame:
@@ -334,8 +357,8 @@ class Join:
 
     def across(self, labelled: DataFrame) -> DataFrame:
         """Candidate pairs of classes that share prefix tokens and lie in different components."""
-        rest = labelled.join(_mixed(labelled), "tok")
-        return self._pairs(rest, rest).filter("a < b").select("a", "b").distinct()
+        rest = labelled.join(_mixed(labelled), "tok").join(self.classes.select(F.col("_class").alias("c"), F.col("_sketch").alias("s")), "c")
+        return self._pairs(rest, rest, "s").filter("a < b").filter(_sketches_near(self.percent)).select("a", "b").distinct()
 
     def every(self, postings: DataFrame) -> DataFrame:
         """All candidate pairs of classes that share prefix tokens; long lists by pairs of blocks of their classes."""

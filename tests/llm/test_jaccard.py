@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import jaccard as J
 
@@ -110,3 +111,23 @@ def test_query_on_table(spark, sf_small):
 
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in QUERIES["op9_ngram_join"](spark, sf_small).collect()) == brute(rows, 4, 85)
+
+
+def test_sketches_differ_in_no_more_bits_than_the_sets():
+    rng = np.random.default_rng(3)
+    for shared, own in ((50, 0), (50, 5), (300, 40), (1, 900)):
+        base = rng.integers(0, 1 << 63, shared + 2 * own, dtype=np.uint64)
+        a, b = base[:shared + own], np.concatenate([base[:shared], base[shared + own:]])
+        bits = sum(int(x).bit_count() for x in (J.sketch(a) ^ J.sketch(b)).view(np.uint64))
+        assert bits <= 2 * own and (own == 0 or bits > 0)
+
+
+def test_pairs_across_components_are_few_where_sets_are_not_similar(spark):
+    rng = np.random.default_rng(5)
+    sets = [set(rng.choice(80, 66, replace=False).tolist()) for _ in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in sorted(s))) for i, s in enumerate(sets)], "doc_id long, text string")
+    join = J.Join(docs, "text", "doc_id", 1, 80)
+    name = {r["_class"]: r["_id"] for r in join.members.collect()}
+    met = {tuple(sorted((name[r["a"]], name[r["b"]]))) for r in join.across(join.postings().withColumn("label", F.col("c"))).collect()}
+    alike = {(i, j) for i in range(60) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert {(j, i) for i, j in alike} <= met and len(met) < 300
