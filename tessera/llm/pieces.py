@@ -43,7 +43,7 @@ import math
 import random
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -151,9 +151,9 @@ class Lattices:
 
     def add(self, words: list[str]) -> None:
         """Build the lattices of new words."""
-        texts = [MARK + w.replace(MARK, _OWN).replace(" ", MARK) for w in words]
-        code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        texts = (" " + " ".join(words)).replace(MARK, _OWN).replace(" ", MARK)
+        code = np.frombuffer(texts.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
         last = np.cumsum(size)
         n = len(code)
         end = np.repeat(last, size)
@@ -195,8 +195,7 @@ class Lattices:
         self.unit.extend(first=base + last - size, last=base + last)
         self.node.extend(start=edge0 + starts)
         self.edge.extend(step=step, piece=piece, logp=logp, cum=cum)
-        for w in words:
-            self.words[w] = len(self.words)
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
 
     @staticmethod
     def _conditional(node: np.ndarray, step: np.ndarray, score: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
@@ -231,23 +230,26 @@ class Lattices:
 
     def numbers(self, rows: list[list[str]]) -> np.ndarray:
         """Store numbers of the words of some rows, one after the other."""
-        new = set().union(*rows).difference(self.words) if rows else set()
-        if new:
-            if self.node.n + sum(map(len, new)) + len(new) > self.keep:
-                self.reset()
-                new = set().union(*rows)
-            part: list[str] = []
-            size = 0
-            for w in sorted(new):
-                part.append(w)
-                size += len(w) + 1
-                if size > BUILD_CHARS:
-                    self.add(part)
-                    part, size = [], 0
-            if part:
-                self.add(part)
-        get = self.words.__getitem__
-        return np.fromiter(map(get, chain.from_iterable(rows)), dtype=np.int64, count=sum(map(len, rows)))
+        flat = list(chain.from_iterable(rows))
+        out = np.fromiter(map(self.words.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        absent = np.flatnonzero(out < 0)
+        if not len(absent):
+            return out
+        some = [flat[i] for i in absent.tolist()]
+        new = set(some)
+        if self.node.n + sum(map(len, new)) + len(new) > self.keep:
+            self.reset()
+            some, absent = flat, np.arange(len(flat))
+            new = set(flat)
+        words = sorted(new)
+        size = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+        at = 0
+        while at < len(words):
+            to = min(len(words), int(np.searchsorted(size, (size[at - 1] if at else 0) + BUILD_CHARS, "right")) + 1)
+            self.add(words[at:to])
+            at = to
+        out[absent] = np.fromiter(map(self.words.__getitem__, some), dtype=np.int64, count=len(some))
+        return out
 
     def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """Edge of each node at cumulative probability u."""
@@ -485,14 +487,16 @@ def encode_samples(docs: DataFrame, path: str, text: str = "text", key: str = "d
 def _as_arrow(found: list[list[tuple]], texts: list[str], decoder: Decoder | None) -> pa.ListArray:
     """The samples of some rows as a list column."""
     samples = [s for f in found for s in f]
-    ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s[0]) for s in samples)]), pa.int32()), pa.array(np.concatenate([s[0] for s in samples]).astype(np.int32)))
+    ends = np.cumsum([0, *(len(s[0]) for s in samples)])
+    pieces = pa.array(np.concatenate([s[0] for s in samples]).astype(np.int32))
+    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces)
     parts, names = [ids, *[pa.array([s[i] for s in samples], pa.float64()) for i in (1, 2, 3)]], ["ids", "log_prob", "perturbed", "log_inclusion"]
     if decoder is not None:
         digests, same = [], []
+        decoded = decoder.all_utf8(pieces, ends)
         for f, text in zip(found, texts, strict=True):
             want = text.encode()
-            for s in f:
-                got = decoder.utf8(s[0].tolist())
+            for got in islice(decoded, len(f)):
                 digests.append(hashlib.sha256(got).hexdigest())
                 same.append(got == want)
         parts += [pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
@@ -509,6 +513,18 @@ class Decoder:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else p.replace(MARK, " ").encode()
                     for i, p in ((i, sp.id_to_piece(i)) for i in range(sp.get_piece_size()))]
+        self.column = pa.array(self.raw, pa.large_binary())
+
+    def all_utf8(self, ids: pa.Array, ends: np.ndarray) -> Iterator[bytes]:
+        """Decoded bytes of each list of piece ids between two ``ends``, all looked up at once."""
+        if not len(ids):
+            yield from [b""] * (len(ends) - 1)
+            return
+        found = self.column.take(ids)
+        at = np.frombuffer(found.buffers()[1], dtype=np.int64, count=len(found) + 1)[ends].tolist()
+        data = memoryview(found.buffers()[2] or b"")
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            yield bytes(data[a + (data[a:a + 1] == b" "):b])  # the space that stands for the begin
 
     def utf8(self, ids: list[int]) -> bytes:
         whole = b"".join(map(self.raw.__getitem__, ids))

@@ -3,7 +3,9 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -115,3 +117,23 @@ def test_query_gives_the_segmentations(spark, tmp_path):
     assert {r["doc_id"] for r in got} == set(texts)
     for r in got:
         assert decoder(r["ids"]) == (texts[r["doc_id"]] or "") and len(r["ids"]) == r["n_pieces"] and r["round_trip"]
+
+
+def test_decoding_many_lists_at_once(store):
+    decoder = T.Decoder(PATH)
+    lists = [s[0] for f in T._search(store, [1, 2, 3, 4], ["on the  é way", "", " a", "▁\n"], 2) for s in f]
+    for some in (lists, [lists[2]], [lists[2], lists[2]]):
+        ends = np.cumsum([0, *map(len, some)])
+        ids = pa.array(np.concatenate(some).astype(np.int32))
+        assert list(decoder.all_utf8(ids, ends)) == [decoder.utf8(x.tolist()) for x in some]
+
+
+def test_words_are_numbered_alike_whatever_the_store_holds(store):
+    rows = [["on", "the", "on"], [], ["way", "the"]]
+    for _ in range(2):
+        number = store.numbers(rows)
+        assert number[0] == number[2] and number[1] == number[4] and len(set(number.tolist())) == 3
+        assert [store.words[w] for r in rows for w in r] == number.tolist()
+        store.keep, keep = 1, store.keep
+        store.numbers([["other"], ["on"]])
+        store.keep = keep
