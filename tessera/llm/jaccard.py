@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import frees_memory, materialise, text_or_empty
-from .components import components
+from .components import components, extended
 
 COUNTERS = 22  # bits: 4M counters
 BLOCKS = 64
@@ -171,26 +171,35 @@ def _scan(width: int):
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the count arrays of each block that the partition holds (at most ``BLOCKS``)."""
+    """Sums of the count arrays of each block that the partition holds (at most ``BLOCKS``), and their totals."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for b, raw in zip(batch.column("_block").to_pylist(), batch.column("_counts").to_pylist(), strict=True):
             sums[b] = sums.get(b, 0) + np.frombuffer(raw, dtype="<u2").astype(np.int64)
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype("<i8").tobytes() for s in sums.values()], pa.binary())],
-                                         ["_block", "_counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype("<i8").tobytes() for s in sums.values()], pa.binary()),
+                                          pa.array([int(s.sum()) for s in sums.values()], pa.int64())], ["_block", "_counts", "_total"])
+
+
+def _level(usual: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Half-logarithmic levels of the counts of each block."""
+        for batch in batches:
+            counts = [np.frombuffer(raw, dtype="<i8") for raw in batch.column("_counts").to_pylist()]
+            some = [np.floor(2 * np.log2(np.maximum(c / usual, 1.0))).astype(np.uint8).tobytes() for c in counts]
+            yield pa.RecordBatch.from_arrays([batch.column("_block"), pa.array(some, pa.binary())], ["_block", "_levels"])
+    return run
 
 
 def levels(scanned: DataFrame) -> np.ndarray:
-    """Half-logarithmic frequency level of each counter, one byte each: 4 MB for any corpus."""
+    """Half-logarithmic frequency level of each counter, one byte each: 4 MB for any corpus, and the driver receives no more."""
     parts = scanned.filter(F.col("_block").isNotNull()).select("_block", "_counts")
-    sums = parts.repartition(BLOCKS, "_block").mapInArrow(frees_memory(_add), "_block int, _counts binary")
-    counts = np.zeros((BLOCKS, (1 << COUNTERS) // BLOCKS), dtype=np.int64)
-    for r in sums.collect():
-        counts[r["_block"]] = np.frombuffer(r["_counts"], dtype="<i8")
-    counts = counts.reshape(-1)
-    usual = max(1.0, counts.mean())
-    return np.floor(2 * np.log2(np.maximum(counts / usual, 1.0))).astype(np.uint8)
+    sums = materialise(parts.repartition(BLOCKS, "_block").mapInArrow(frees_memory(_add), "_block int, _counts binary, _total long"), "counts")
+    usual = max(1.0, (sums.agg(F.sum("_total")).first()[0] or 0) / (1 << COUNTERS))
+    out = np.zeros((BLOCKS, (1 << COUNTERS) // BLOCKS), dtype=np.uint8)
+    for r in sums.select("_block", "_counts").mapInArrow(frees_memory(_level(usual)), "_block int, _levels binary").collect():
+        out[r["_block"]] = np.frombuffer(r["_levels"], dtype=np.uint8)
+    return out.reshape(-1)
 
 
 def at_least(n: np.ndarray | int, percent: int):
@@ -375,22 +384,23 @@ class Join:
         """(a, b, both, common) of every similar pair of classes, once each."""
         return materialise(self.compared(self.filtered(self.every(self.postings()))), "all_links")
 
-    def links(self) -> DataFrame:
-        """Verified links (u, v) that give the exact components."""
+    def components(self) -> DataFrame:
+        """(node: class, component: smallest class that it reaches by links), exactly, of the classes with a link."""
         postings = self.postings()
         labelled = postings.withColumn("label", F.col("c"))
-        found = None
+        known = None
         for turn in range(ROUNDS + 1):
             long = labelled.filter(F.col("df") >= STAR)
             if turn < ROUNDS and _mixed(long).isEmpty():
                 continue  # every long list lies in one component already
             more = self.verified(self.filtered(self.star(long, turn) if turn < ROUNDS else self.across(labelled)))
-            found = more if found is None else found.unionByName(more)
+            if known is not None and more.isEmpty():
+                continue  # the components stay
+            known = components(more) if known is None else extended(known, more)
             if turn < ROUNDS:
-                comps = components(found).withColumnRenamed("node", "c")
-                labelled = materialise(postings.join(comps, "c", "left").select(
+                labelled = materialise(postings.join(known.withColumnRenamed("node", "c"), "c", "left").select(
                     "tok", "at", "c", "n", "df", F.coalesce("component", "c").alias("label")), "labelled")
-        return found
+        return known
 
 
 def _mixed(labelled: DataFrame) -> DataFrame:
@@ -401,7 +411,7 @@ def _mixed(labelled: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
     """For each row: key, n_shingles (set size) and component_id (smallest id in its component)."""
     join = Join(docs, text, key, width, percent)
-    comps = components(join.links()).withColumnRenamed("node", "_class")
+    comps = join.components().withColumnRenamed("node", "_class")
     some = join.members.filter("_n > 0").join(comps, "_class", "left").select("_id", "_n", F.coalesce("component", "_class").alias("_label"))
     least = some.groupBy("_label").agg(F.min("_id").alias("component_id"))
     out = some.join(least, "_label").select(F.col("_id").alias(key), F.col("_n").cast("long").alias("n_shingles"), "component_id")
@@ -412,7 +422,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
 def later_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
     """(key, text_hash: xxhash64 of the text) of all texts but the first of each component; first: the smallest id, nulls last, then the hash."""
     join = Join(docs, text, key, width, percent)
-    comps = components(join.links()).withColumnRenamed("node", "_class")
+    comps = join.components().withColumnRenamed("node", "_class")
     rows = join.members.filter("_n > 0").join(comps, "_class", "left").select("_id", "_key", F.coalesce("component", "_class").alias("_label"))
     first = rows.groupBy("_label").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("hash"))).alias("_first"))
     later = rows.join(first, "_label").filter(~(F.col("_id").eqNullSafe(F.col("_first.id")) & (F.col("_key") == F.col("_first.hash"))))

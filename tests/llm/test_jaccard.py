@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import components
 from tessera.llm import jaccard as J
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -131,3 +132,55 @@ def test_pairs_across_components_are_few_where_sets_are_not_similar(spark):
     met = {tuple(sorted((name[r["a"]], name[r["b"]]))) for r in join.across(join.postings().withColumn("label", F.col("c"))).collect()}
     alike = {(i, j) for i in range(60) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
     assert {(j, i) for i, j in alike} <= met and len(met) < 300
+
+
+def test_levels_reach_the_driver_as_bytes(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    counts = rng.integers(0, 60000, (2, J.BLOCKS, (1 << J.COUNTERS) // J.BLOCKS)) * (rng.random((2, J.BLOCKS, 1)) < 0.5)
+    rows = [(b, c[b].astype("<u2").tobytes()) for c in counts for b in range(J.BLOCKS)] + [(None, None)]
+    sent, frame = [], type(spark.range(1))
+    collect = frame.collect
+
+    def counted(self):
+        out = collect(self)
+        sent.append(sum(len(v) for r in out for v in r if isinstance(v, (bytes, bytearray))))
+        return out
+
+    monkeypatch.setattr(frame, "collect", counted)
+    got = J.levels(spark.createDataFrame(rows, "_block int, _counts binary"))
+    total = counts.sum(axis=0).reshape(-1)
+    assert (got == np.floor(2 * np.log2(np.maximum(total / max(1.0, total.mean()), 1.0)))).all()
+    assert max(sent) <= 1 << J.COUNTERS
+
+
+def rounds(monkeypatch):
+    """Numbers of links that rounds of components are given from now on."""
+    ran, own = [], components._round
+    monkeypatch.setattr(components, "_round", lambda edges: ran.append(edges.count()) or own(edges))
+    return ran
+
+
+def test_stars_and_no_links_take_no_round(spark, monkeypatch):
+    ran = rounds(monkeypatch)
+    stars = spark.createDataFrame([(1, 5), (1, 6), (6, 1), (7, 7), (2, 9)], "u long, v long")
+    assert sorted(map(tuple, components.components(stars).collect())) == [(1, 1), (2, 2), (5, 1), (6, 1), (9, 2)]
+    assert components.components(stars.limit(0)).count() == 0 and ran == []
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_more_links_join_known_components(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    first, more = ([(r.randrange(lo, hi), r.randrange(lo, hi)) for _ in range(n)] for lo, hi, n in ((0, 300, 200), (0, 400, 40)))
+    label = {x: x for e in first + more for x in e if e[0] != e[1]}
+    for _ in label:
+        for a, b in first + more:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    frame = lambda links: spark.createDataFrame(links, "u long, v long")
+    known = components.components(frame(first))
+    ran = rounds(monkeypatch)
+    assert sorted(map(tuple, components.extended(known, frame(more)).collect())) == sorted(label.items())
+    assert all(n <= len(more) for n in ran)
+    assert components.extended(known, frame(more).limit(0)).count() == known.count()
+    chain = components.components(frame([(i, i + 1) for i in range(70)]))
+    assert {tuple(x) for x in chain.collect()} == {(i, 0) for i in range(71)}
