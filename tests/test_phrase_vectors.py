@@ -1,13 +1,18 @@
 """Phrases and their vectors against plain Python; near vectors without a common word; all features against one by one."""
 import math
+import os
+import random
 import re
+import time
 
+import pyarrow as pa
 import pytest
 
 from tessera.functions import text as T
 from tessera.functions.stem import porter
 from tessera.operators import features as FT
 from tessera.operators import phrase_vectors as PV
+from tessera.session import files_of, forget, written
 
 
 def phrases(text):
@@ -91,3 +96,53 @@ def test_vectors_by_chunk(spark):
     assert found[0] == found[1] == found[2] and len(found[0]) == 6
     one = spark.createDataFrame([("t", "f", "alpha. gamma gamma. beta7")], "term string, field string, text string")
     assert list(PV.phrase_vectors(one, vectors).first()["vec"]) == [3 + 3_000_000 + 3_000_000, -3 + 4_000_000, 500_000 + 1_000_000]
+
+
+def test_sums_of_a_task_in_blocks(spark, monkeypatch):
+    """Rows held, vectors read and sums kept are bounded; groups of a chunk that goes on stay."""
+    for name, few in (("BLOCK", 3), ("STEP", 10), ("ROWS", 25), ("COMPONENTS", 6)):
+        monkeypatch.setattr(PV, name, few)
+    rng = random.Random(3)
+    given = [(f"w{rng.randrange(30)}", [rng.randrange(-9, 9) / 4 for _ in range(rng.randrange(4))]) for _ in range(50)]
+    store = written(spark.createDataFrame(given, "word string, vector array<float>"), "vectors")
+    rows = sorted((part, f"t{part}-{rng.randrange(6)}", f"f{rng.randrange(2)}", f"w{rng.randrange(40)}", rng.randrange(1, 4)) for part in range(5) for _ in range(60))
+    names = ["part", "term", "field", "word", "n"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i:i + 7]]) for i in range(0, len(rows), 7)]
+    want = {}
+    for _, t, f, w, n in rows:
+        for word, v in given:
+            if word == w:
+                at = want.setdefault((t, f), [0, 0, 0])
+                for i, x in enumerate(v):
+                    at[i] += n * round(x * PV.UNIT)
+    got = [r for b in PV._task_sums(files_of(store), 3)(iter(batches)) for r in b.to_pylist()]
+    assert len(got) == len(want) and {(r["term"], r["field"]): r["vec"] for r in got} == want
+    forget(store)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files_of(store))
+
+
+def test_vectors_are_no_rows_of_a_shuffle(spark, vectors):
+    """Nor do texts or vectors of a field that the other side lacks go on to the second join."""
+    texts = spark.createDataFrame([("a", "f", "fox"), ("a", "g", "dog"), ("b", "f", "hound")], "term string, field string, text string")
+    vecs = PV.phrase_vectors(texts, vectors, terms=spark.createDataFrame([("a",), ("a",)], "term string"))
+    assert "Exchange" not in vecs._jdf.queryExecution().executedPlan().toString() and {r["term"] for r in vecs.collect()} == {"a"}
+    fields = {"x": ("f", "f"), "y": ("g", "f"), "z": ("g", "g")}
+    row = spark.createDataFrame([(["f"], {"f": [1], "g": [2]}), (["g"], {"f": [1], "g": [2]}), (["h"], {"f": [1]}), (None, {"f": [1]})], "_has array<string>, _v1 map<string,array<bigint>>")
+    assert [tuple(r) for r in row.select(*[c.alias(k) for k, c in PV.first_side(fields).items()]).collect()] == [([1], [2]), (None, [2]), (None, None), (None, None)]
+    defs = spark.createDataFrame([("a", "fox b "), ("b", "hound")], "term string, definition string")
+    pairs = spark.createDataFrame([("a", "b")], "w1 string, w2 string")
+    plan = FT.all_features(pairs, FT.term_material(pairs.select(PV.F.explode(PV.F.array("w1", "w2")).alias("term")), texts, defs, vectors))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Project" in x and " AS def1#" not in x and re.search(r"[\[ ]def1#\d+[,\]]", x)]
+
+
+def test_written_frees_its_shuffles(spark):
+    def files():
+        dirs = [d.toString() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+        return {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+    before = files()
+    rows = written(spark.range(1000).repartition(5, "id"), "rows")
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and rows.count() == 1000
