@@ -14,7 +14,7 @@ from ..operators import features as FT
 from ..operators import folds as O
 from ..operators import metrics as M
 from ..operators import models as MD
-from ..session import written
+from ..session import forget, written
 from . import glossary as G
 from . import q_eval as E
 from .catalog import register
@@ -32,7 +32,9 @@ def dataset(spark, d):
     made = FT.all_features(pairs, material(spark, d, pairs))
     vector = F.array(*[F.coalesce(F.col(n), F.lit(0.0)) for n in FT.ALL_FEATURES])
     made = made.select("w1", "w2", "same_first", "same_last", vector.alias("features"))
-    return written(O.ten_folds(rows, ["key"], seed=FOLD_SEED).join(made, ["w1", "w2"]), "dataset")
+    ds = written(O.ten_folds(rows, ["key"], seed=FOLD_SEED).join(made, ["w1", "w2"]), "dataset")
+    forget(made)  # the folds read nothing else
+    return ds
 
 
 def heuristic():

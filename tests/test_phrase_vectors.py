@@ -8,6 +8,7 @@ import time
 import pyarrow as pa
 import pytest
 
+from tessera import session
 from tessera.functions import text as T
 from tessera.functions.stem import porter
 from tessera.operators import features as FT
@@ -146,3 +147,20 @@ def test_written_frees_its_shuffles(spark):
     while files() - before and time.time() < end:
         time.sleep(0.2)
     assert not files() - before and rows.count() == 1000
+
+
+def test_folds_keep_the_data_set_alone(spark, tmp_path, monkeypatch):
+    """Definitions, stems and vectors leave the disk before the folds; files that are no scratch table stay."""
+    from tessera.plans import q_glossary_models as QM
+
+    words = "red green blue fox hound river stone cloud tower garden".split()
+    texts = [f"{words[i % 10]} {words[i * 3 % 10]} {words[i * 7 % 10]}\nthe {words[i % 7]} and {words[i % 4]}" for i in range(40)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, [i / 8, 0.5]) for i in range(8)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda s: f"{tmp_path}/shared")
+    ds = QM.dataset(spark, str(tmp_path))
+    left = {os.path.basename(d) for d, _, names in os.walk(f"{tmp_path}/shared") if any(n.endswith(".parquet") for n in names)}
+    assert "dataset" in left and not left & {"definitions", "stems", "phrase_vectors", "vectors"} and ds.count() > 30
+    forget(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert spark.read.parquet(f"{tmp_path}/documents.parquet").count() == 40
